@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, column, rows
+from .common import MEMO_LIMIT, column, rows, slices
 
 #: Characters of a chunk without its overlap, and of the overlap with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -118,24 +118,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
 
     def whole(batches):
         find, pieces = regex.compile(pattern).findall, Pieces(sent.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [pieces.ids(find(t)) if t else b"" for t in column(b, "text")]
             yield rows(IDS, [b.column(0), [len(x) // 4 for x in ids], ids])
 
     def split(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [(u, d, k, at, t[at : at + chunk + overlap]) for d, t, u in zip(*(column(b, c) for c in ("doc_id", "text", "uid")), strict=True) for k, at in enumerate(range(0, len(t), chunk))]
             for i in range(0, len(out), 256):
                 yield rows(CHUNKS, list(zip(*out[i : i + 256], strict=True)))
 
     def starts(batches):
         find = regex.compile(pattern).finditer
-        for b in batches:
+        for b in slices(batches):
             yield rows(STARTS, [*b.columns, [np.fromiter((m.start() for m in find(t)), "<i4").tobytes() for t in column(b, "text")]])
 
     def stitch(batches):
         compiled, pieces = regex.compile(pattern), Pieces(sent.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [pieces.ids(stitched(c, compiled, chunk)) for c in column(b, "chunks")]
             yield rows(IDS, [b.column(0), [len(x) // 4 for x in ids], ids])
 
@@ -154,7 +154,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def back(batches):
         get = sent.value.__getitem__
-        for b in batches:
+        for b in slices(batches):
             yield rows(BYTES, [*b.columns, [b"".join(map(get, np.frombuffer(x, "<i4").tolist())) for x in column(b, "ids")]])
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(back, "doc_id long, n_tokens long, ids binary, bytes binary")
@@ -165,7 +165,7 @@ def digests(decoded: DataFrame) -> DataFrame:
     df = decoded.select("doc_id", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"), "ids")
 
     def ordered(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = [hashlib.sha256(" ".join(map(str, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in column(b, "ids")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.string()), b.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

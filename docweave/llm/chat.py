@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, rows
+from .common import column, rows, slices
 
 # The template's markers.
 USER = ("[INST]", "[/INST]")
@@ -72,7 +72,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(turns).alias("turns"))
 
     def expand(batches):
-        for b in batches:
+        for b in slices(batches):
             for conv, turns in zip(column(b, "conv_id"), column(b, "turns"), strict=True):
                 prefix, size, k, out, held = [], 0, 0, [], 0
                 for n, t in enumerate(turns, 1):
@@ -95,7 +95,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, parsed from the formatted examples alone."""
 
     def parse(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for conv, example, last, text, start, end in zip(*(column(b, c) for c in ("conv_id", "example", "last", "formatted", "loss_start", "loss_end")), strict=True):
                 turns = turns_of(text) if last else []

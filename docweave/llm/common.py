@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries that a worker's memo of words keeps before it starts anew.
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,13 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+def slices(batches, n: int = 256):
+    """The batches in slices of ``n`` rows, so that a worker holds the Python objects of few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, alnum_words, column, cut, rows
+from .common import MEMO_LIMIT, alnum_words, column, cut, rows, slices
 
 #: Words of a window; windows that are looked up at once.
 WINDOW, BLOCK = 13, 200_000
@@ -49,7 +49,7 @@ def windows_of(benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
     """(item_id, window): the distinct windows of each item."""
 
     def cut_up(batches):
-        for b in batches:
+        for b in slices(batches):
             for item, text in zip(column(b, "item_id"), column(b, "text"), strict=True):
                 w = alnum_words(text)
                 found = list(dict.fromkeys(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))) if w else []
@@ -63,7 +63,7 @@ def counts_of(docs: DataFrame, sent) -> dict[int, int]:
 
     def count(batches):
         numbers, total = Numbers(sent.value), np.zeros(len(sent.value), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in column(b, "text"):
                 ids = numbers.of(t)
                 np.add.at(total, ids[ids >= 0], 1)
@@ -81,7 +81,7 @@ def index_of(docs: DataFrame, sent, anchors, k: int) -> DataFrame:
         wanted = np.zeros(len(sent.value) + 1, bool)
         wanted[anchors.value] = True  # the last entry stands for -1, no term
         pad = np.full(k - 1, -1, np.int32)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, text in zip(column(b, "doc_id"), column(b, "text"), strict=True):
                 ids = numbers.of(text)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WordHashes, blank_words, column, cut, gram_hashes, rows
+from .common import WordHashes, column, cut, gram_hashes, rows, slices
 
 #: Labelled rows that the list is fitted on at most (those of the least hash of their id).
 SAMPLE = 20_000
@@ -63,7 +63,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             yield rows(SCHEMA, [b.column(0), *zip(*(counts_of(t, hashes) for t in column(b, "text")), strict=True)] if b.num_rows else [[] for _ in SCHEMA])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, KINDS)
@@ -180,7 +180,7 @@ def apply(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def count(batches):
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             found = list(zip(*(counts_of(t, hashes) for t in b.column(place).to_pylist()), strict=True)) or [[] for _ in COUNTS]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in found)], names=schema.names)
 

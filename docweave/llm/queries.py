@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, quality
+from . import bpe, chat, decontaminate, license_scan, ngram_join, quality, suffix_dedup, token_counts
 from .common import read
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.duplicates(read(spark, sf_dir, "documents")).drop("uid")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -15,10 +19,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), ranks, P.PATTERN), ranks))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), list(bpe.load_ranks(spark, P.path("byte_bpe_50k.tiktoken"))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
@@ -30,5 +48,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op6_quality_rules, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
 ORACLES: dict[str, str] = {}
