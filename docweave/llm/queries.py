@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, license_scan, ngram_join, quality, suffix_dedup, token_counts
+from . import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(read(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op7_line_dedup, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
