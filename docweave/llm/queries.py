@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts
+from . import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.duplicates(read(spark, sf_dir, "documents")).drop("uid")
 
@@ -52,5 +56,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op7_line_dedup, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op7_line_dedup, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
 ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
