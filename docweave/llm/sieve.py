@@ -30,9 +30,9 @@ def sieve(df: DataFrame, key: str):
         for i in range(0, len(some), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 65536]), pa.array(words[some[i : i + 65536]])], names=["place", "bits"])
 
-    found = df.select(F.col(key).cast("long").alias("key")).mapInArrow(place, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = df.select(F.col(key).cast("long").alias("key")).mapInArrow(place, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()  # as large as the bitmap at most
     words = np.zeros(1 << (BITS - 6), np.int64)
-    words[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    words[found["place"].to_numpy()] = found["bits"].to_numpy()
     return spark.sparkContext.broadcast(words.view(np.uint8))
 
 

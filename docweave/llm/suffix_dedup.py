@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,10 @@ BLOCK = 1 << 19
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEPS = np.random.default_rng(20240301).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
-PHRASES = pa.schema([("trigger", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("place", pa.int64())])
+PHRASES = pa.schema([("trigger", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("span", pa.int64())])
 COUNTS = pa.schema([("trigger", pa.int64()), ("n", pa.int64())])
-CONTEXTS = pa.schema([*PHRASES, ("left", pa.binary()), ("right", pa.binary())]).remove(1)
-SPANS = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-WINDOWS = pa.schema([("trigger", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
+EXPANDED = pa.schema([("trigger", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+SPANS = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -85,6 +85,16 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def packed_span(lo, hi, place):
+    """First and last window start of a phrase and its trigger's place in one integer, ordered by the first."""
+    return (lo << 16) | ((hi - lo) << 8) | (place - lo)
+
+
+def parts(span):
+    lo = span >> 16
+    return lo, lo + ((span >> 8) & 255), lo + (span & 255)
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(id, row, text); ``row`` tells rows of the same id apart."""
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -126,60 +136,54 @@ def phrases(texts: DataFrame, bitmap) -> DataFrame:
                         continue
                     lo, hi, place = lo[k], hi[k], place[k]
                     key = mix(mix(window[lo] + np.uint64(7) * window[hi]) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
-                    out.append((signed(h[place]), signed(key), np.full(len(k), -1 if i is None else i), np.full(len(k), row), lo + at, hi + at, place + at))
+                    out.append((signed(h[place]), signed(key), np.full(len(k), -1 if i is None else i), np.full(len(k), row), packed_span(lo + at, hi + at, place + at)))
                     size += len(k)
             if out:
                 whole = [np.concatenate(c) for c in zip(*out, strict=True)]
                 for s in range(0, size, 100_000):
                     yield rows(PHRASES, [c[s : s + 100_000] for c in whole])
 
-    return texts.mapInArrow(find, "trigger long, key long, id long, row long, lo long, hi long, place long")
+    return texts.mapInArrow(find, "trigger long, key long, id long, row long, span long")
 
 
-def windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The single windows of the wanted (trigger, id, row, lo, hi) phrases."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("trigger", "lo", "hi")).alias("ranges"))
+def with_lists(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts with their wanted phrases."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("trigger", "span", (F.col("phrases") <= FEW).alias("few"))).alias("ranges"))
+    return texts.select(F.coalesce("id", F.lit(-1)).alias("id"), "row", "packed").join(lists, "row").select("id", "row", "packed", "ranges")
 
+
+def expanded(listed: DataFrame, side: bool) -> DataFrame:
+    """The wanted phrases of triggers with few phrases (``side``) or with many, ready to be compared.
+
+    Of a trigger with few phrases: each phrase with the bytes to the left and the right of the trigger, as many as a
+    window can hold. Of others: one row for each window (``window`` is its hash, ``place`` its start).
+    """
     def expand(batches):
-        for b in slices(batches):
-            ranges_of = b.column(b.schema.get_field_index("ranges"))
-            for j, (i, row, text) in enumerate(zip(*(column(b, c) for c in ("id", "row", "text")), strict=True)):
+        for b in slices(batches, 64):
+            ranges_of, out, many = b.column(b.schema.get_field_index("ranges")), [], []
+            for j, (i, row, packed) in enumerate(zip(*(column(b, c) for c in ("id", "row", "packed")), strict=True)):
+                raw = zstandard.decompress(packed)
                 r = ranges_of[j].values
-                trigger, lo, hi = (r.field(c).to_numpy() for c in range(3))
-                raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                for at in range(0, len(raw) - LENGTH + 1, BLOCK):
-                    _, window = hashes(raw[at : at + BLOCK + LENGTH - 1])
+                trigger, span, few = r.field(0).to_numpy(), r.field(1).to_numpy(), r.field(2).to_numpy(zero_copy_only=False)
+                lo, hi, place = parts(span)
+                for k in np.flatnonzero(few) if side else ():
+                    p = int(place[k])
+                    out.append((int(trigger[k]), None, i, row, p, int(span[k]), raw[max(0, p - REACH + 1) : p][::-1], raw[p + TRIGGER : p + LENGTH]))
+                trigger, lo, hi = trigger[~few], lo[~few], hi[~few]
+                for at in range(0, len(raw) - LENGTH + 1 if len(lo) and not side else 0, BLOCK):
+                    _, window = hashes(np.frombuffer(raw, np.uint8)[at : at + BLOCK + LENGTH - 1])
                     k = np.flatnonzero((lo >= at) & (lo < at + len(window)))
-                    if not len(k):
-                        continue
-                    n = hi[k] - lo[k] + 1
-                    place = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    own = np.repeat(trigger[k], n)
-                    for s in range(0, len(place), 100_000):
-                        p = place[s : s + 100_000]
-                        yield rows(WINDOWS, [own[s : s + 100_000], signed(window[p - at]), np.full(len(p), i), np.full(len(p), row), p])
-
-    found = texts.select(F.coalesce("id", F.lit(-1)).alias("id"), "row", "text").join(lists, ["id", "row"])
-    return found.mapInArrow(expand, "trigger long, window long, id long, row long, at long")
-
-
-def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted phrases with the bytes to the left and the right of their trigger, as many as a window can hold."""
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("trigger", "lo", "hi", "place")).alias("ranges"))
-
-    def bytes_around(batches):
-        for b in slices(batches):
-            ranges_of, out = b.column(b.schema.get_field_index("ranges")), []
-            for j, (i, row, text) in enumerate(zip(*(column(b, c) for c in ("id", "row", "text")), strict=True)):
-                raw = text.encode("utf-8", "replace")
-                for r in ranges_of[j].as_py():
-                    p = r["place"]
-                    out.append((r["trigger"], i, row, r["lo"], r["hi"], p, raw[max(0, p - REACH + 1) : p][::-1], raw[p + TRIGGER : p + LENGTH]))
+                    if len(k):
+                        n = hi[k] - lo[k] + 1
+                        starts = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                        many.append((np.repeat(trigger[k], n), signed(window[starts - at]), np.full(len(starts), i), np.full(len(starts), row), starts))
             for s in range(0, len(out), 20_000):
-                yield rows(CONTEXTS, list(zip(*out[s : s + 20_000], strict=True)))
+                yield rows(EXPANDED, list(zip(*out[s : s + 20_000], strict=True)))
+            for part in many:
+                none = pa.nulls(len(part[0]), pa.int64())
+                yield rows(EXPANDED, [*part, none, pa.nulls(len(part[0]), pa.binary()), pa.nulls(len(part[0]), pa.binary())])
 
-    found = texts.select(F.coalesce("id", F.lit(-1)).alias("id"), "row", "text").join(lists, ["id", "row"])
-    return found.mapInArrow(bytes_around, "trigger long, id long, row long, lo long, hi long, place long, left binary, right binary")
+    return listed.mapInArrow(expand, "trigger long, window long, id long, row long, place long, span long, left binary, right binary")
 
 
 def agree(a: bytes, b: bytes) -> int:
@@ -195,8 +199,8 @@ def agree(a: bytes, b: bytes) -> int:
 
 
 def side_by_side(found: DataFrame) -> DataFrame:
-    """(id, row, lo, hi): windows of a phrase that stand in an earlier phrase of the same trigger."""
-    grouped = found.groupBy("trigger").agg(F.collect_list(F.struct("id", "row", "place", "lo", "hi", "left", "right")).alias("phrases"))
+    """(row, lo, hi): windows of a phrase that stand in an earlier phrase of the same trigger."""
+    grouped = found.groupBy("trigger").agg(F.collect_list(F.struct("id", "row", "place", "span", "left", "right")).alias("phrases"))
 
     def compare(batches):
         for b in slices(batches, 2_048):
@@ -204,59 +208,62 @@ def side_by_side(found: DataFrame) -> DataFrame:
             for phrases in column(b, "phrases"):
                 phrases.sort(key=lambda p: (p["id"], p["row"], p["place"]))
                 for k, p in enumerate(phrases):
+                    first, last, _ = parts(p["span"])
                     for q in phrases[:k]:
                         most, least_ = agree(p["left"], q["left"]), REACH - 1 - agree(p["right"], q["right"])
-                        lo, hi = max(p["lo"], p["place"] - most), min(p["hi"], p["place"] - least_)
+                        lo, hi = max(first, p["place"] - most), min(last, p["place"] - least_)
                         if lo <= hi:
-                            out.add((p["id"], p["row"], lo, hi))
+                            out.add((p["row"], lo, hi))
             yield rows(SPANS, list(zip(*out, strict=True)) or [[] for _ in SPANS])
 
-    return grouped.select("phrases").mapInArrow(compare, "id long, row long, lo long, hi long")
+    return grouped.select("phrases").mapInArrow(compare, "row long, lo long, hi long")
 
 
-def with_bits(texts: DataFrame, bitmap, there: bool) -> DataFrame:
-    """The texts whose row may be among (or is surely not among) those of the bitmap."""
+def with_bits(texts: DataFrame, bitmap) -> DataFrame:
+    """The texts, zstd-packed, whose row may be among those of the bitmap."""
 
     def keep(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in slices(batches):
-            found = passes(bitmap.value, b.column(1).to_numpy())
-            yield b.filter(pa.array(found if there else ~found))
+            b = b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.encode("utf-8", "replace")) for t in column(b, "text")], pa.binary())], names=["id", "row", "packed"])
 
-    return texts.mapInArrow(keep, "id long, row long, text string")
+    return texts.mapInArrow(keep, "id long, row long, packed binary")
 
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, row, text) and the repeats (id, row, lo, hi): every window that starts in lo..hi is a repeat."""
+    """The texts (id, row, text) and the repeats (row, lo, hi): every window that starts in lo..hi is a repeat."""
     texts = texts_of(docs)
     repeated = trigger_counts(texts).where("n > 1")
     found = phrases(texts, sieve(repeated, "trigger"))
     # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
-    where = F.struct("id", "row", "lo", "hi", "place")
-    dictionary = cut(found.groupBy("trigger", "key").agg(F.min(where).alias("first"), F.count("*").alias("n")))
-    later = found.join(dictionary.where("n > 1").select("trigger", "key", "first"), ["trigger", "key"]).where(where != F.col("first")).select("id", "row", "lo", "hi")
+    dictionary = found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n"))
+    dictionary = cut(dictionary.select("trigger", "key", "first.*", "n"))
+    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
+    later = found.select("trigger", "key", "row", "span").join(firsts, ["trigger", "key"]).where("row <> first_row or span <> first_span")
+    later = later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi"))
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
-    wanted = cut(dictionary.join(several, "trigger").select("trigger", "phrases", "first.*"))
+    wanted = cut(dictionary.select("trigger", "row", "span").join(several, "trigger"))
     # Suffixes of the dictionary's phrases that share a trigger.
-    needed = with_bits(texts, sieve(wanted, "row"), True)
-    beside = side_by_side(contexts(needed, wanted.where(F.col("phrases") <= FEW)))
-    single = windows(needed, wanted.where(F.col("phrases") > FEW))
-    place = F.struct("id", "row", "at")
-    firsts = single.groupBy("trigger", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    more = single.join(firsts.select("trigger", "window", "first"), ["trigger", "window"]).where(place != F.col("first"))
-    return texts, later.unionByName(beside).unionByName(more.select("id", "row", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    listed = with_lists(with_bits(texts, sieve(wanted, "row")), wanted)  # both branches read the same shuffle
+    beside = side_by_side(expanded(listed, True))
+    single = expanded(listed, False).select("trigger", "window", "id", "row", "place")
+    first = single.groupBy("trigger", "window").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    more = single.join(first.select("trigger", "window", "first"), ["trigger", "window"]).where("row <> first.row or place <> first.place")
+    return texts, later.unionByName(beside).unionByName(more.select("row", F.col("place").alias("lo"), F.col("place").alias("hi")))
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     texts, repeats = spans(docs)
-    marks = cut(repeats.groupBy("id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
+    marks = cut(repeats.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
     bitmap = sieve(marks, "row")
 
     def strike(batches):
         for b in slices(batches):
             ranges_of, out = b.column(b.schema.get_field_index("marks")), []
-            for j, (i, text) in enumerate(zip(column(b, "id"), column(b, "text"), strict=True)):
-                raw = text.encode("utf-8", "replace")
+            for j, (i, packed) in enumerate(zip(column(b, "id"), column(b, "packed"), strict=True)):
+                raw = zstandard.decompress(packed)
                 gone = np.zeros(len(raw) + 1, np.int32)
                 if ranges_of[j].is_valid:
                     r = ranges_of[j].values
@@ -268,7 +275,12 @@ def remove(docs: DataFrame) -> DataFrame:
                 out.append((i, len(raw), len(raw) - len(kept), starts, hashlib.sha256(kept).hexdigest()))
             yield rows(RESULT, list(zip(*out, strict=True)) or [[] for _ in RESULT])
 
-    clean = with_bits(texts, bitmap, False)
-    whole = clean.select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    touched = with_bits(texts, bitmap, True).join(marks.withColumnRenamed("id", "mark_id"), "row", "left").select("id", "text", "marks")
-    return whole.unionByName(touched.mapInArrow(strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    def whole(batches):
+        for b in slices(batches):
+            b = b.filter(pa.array(~passes(bitmap.value, b.column(1).to_numpy())))
+            raw = [t.encode("utf-8", "replace") for t in column(b, "text")]
+            yield rows(RESULT, [b.column(0), [len(x) for x in raw], [0] * len(raw), [0] * len(raw), [hashlib.sha256(x).hexdigest() for x in raw]])
+
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    touched = with_bits(texts, bitmap).join(marks, "row", "left").select("id", "packed", "marks")
+    return texts.mapInArrow(whole, kinds).unionByName(touched.mapInArrow(strike, kinds))
