@@ -123,7 +123,7 @@ def boxed_blocks(blocks: DataFrame, page: int | None = None) -> DataFrame:
 
 def resolved_citations(cited: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """(document_id, chunk_id, page, section_name, block_id, content): a chunk of another document does not resolve."""
-    c = chunks.select("document_id", "chunk_id", "section_name", "content", F.try_element_at("block_ids", F.lit(1)).alias("block_id"))
+    c = chunks.select("document_id", "chunk_id", "section_name", "content", F.get("block_ids", F.lit(0)).alias("block_id"))
     return cited.join(c, ["document_id", "chunk_id"]).join(blocks.select("document_id", "block_id", "page"), ["document_id", "block_id"], "left")
 
 

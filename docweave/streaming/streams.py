@@ -9,7 +9,9 @@ from ..operators import admission, monitoring
 
 
 def read_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    """A file source; event times are made zoned ones, which watermarks need."""
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+    return found.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in found.columns else found
 
 
 def ingest(files: DataFrame, target: str, checkpoint: str):
