@@ -101,6 +101,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def trigger_counts(texts: DataFrame) -> DataFrame:
+    """(trigger, n): how often the upper 48 bits of each trigger stand; more than once is a hint only."""
     def count(batches):
         held, size = [], 0
 
@@ -112,7 +113,7 @@ def trigger_counts(texts: DataFrame) -> DataFrame:
         for b in slices(batches):
             for text in column(b, "text"):
                 for _, h, _, _, _, place in parse(text.encode("utf-8", "replace")):
-                    held.append(h[place])
+                    held.append(h[place] >> np.uint64(16))
                     size += len(place)
             if size > 2_000_000:
                 yield from flush()
@@ -131,7 +132,7 @@ def phrases(texts: DataFrame, bitmap) -> DataFrame:
             out, size = [], 0
             for i, row, text in zip(*(column(b, c) for c in ("id", "row", "text")), strict=True):
                 for at, h, window, lo, hi, place in parse(text.encode("utf-8", "replace")):
-                    k = np.flatnonzero(passes(bitmap.value, signed(h[place])))
+                    k = np.flatnonzero(passes(bitmap.value, signed(h[place] >> np.uint64(16))))
                     if not len(k):
                         continue
                     lo, hi, place = lo[k], hi[k], place[k]
@@ -253,26 +254,43 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, later.unionByName(beside).unionByName(more.select("row", F.col("place").alias("lo"), F.col("place").alias("hi")))
 
 
+def runs(repeats: DataFrame) -> DataFrame:
+    """(row, runs): the maximal runs of repeated bytes of each text, as packed pairs of start and end."""
+    schema = pa.schema([("row", pa.int64()), ("runs", pa.binary())])
+
+    def merge(batches):
+        for b in slices(batches):
+            ranges_of, out = b.column(b.schema.get_field_index("marks")), []
+            for j in range(b.num_rows):
+                r = ranges_of[j].values
+                lo, end = r.field(0).to_numpy(), r.field(1).to_numpy() + LENGTH
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate(end[order])
+                first = np.append(True, lo[1:] > end[:-1])
+                last = np.append(first[1:], True)
+                out.append(np.column_stack([lo[first], end[last]]).astype("<i8").tobytes())
+            yield rows(schema, [b.column(0), out])
+
+    return repeats.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")).mapInArrow(merge, "row long, runs binary")
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     texts, repeats = spans(docs)
-    marks = cut(repeats.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("marks")))
+    marks = cut(runs(repeats))
     bitmap = sieve(marks, "row")
 
     def strike(batches):
         for b in slices(batches):
-            ranges_of, out = b.column(b.schema.get_field_index("marks")), []
-            for j, (i, packed) in enumerate(zip(column(b, "id"), column(b, "packed"), strict=True)):
-                raw = zstandard.decompress(packed)
-                gone = np.zeros(len(raw) + 1, np.int32)
-                if ranges_of[j].is_valid:
-                    r = ranges_of[j].values
-                    np.add.at(gone, r.field(0).to_numpy(), 1)
-                    np.add.at(gone, r.field(1).to_numpy() + LENGTH, -1)
-                gone = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                out.append((i, len(raw), len(raw) - len(kept), starts, hashlib.sha256(kept).hexdigest()))
+            out = []
+            for i, packed, found in zip(*(column(b, c) for c in ("id", "packed", "runs")), strict=True):
+                raw, kept, at = zstandard.decompress(packed), [], 0
+                own = np.frombuffer(found or b"", "<i8").reshape(-1, 2).tolist()
+                for lo, end in own:
+                    kept.append(raw[at:lo])
+                    at = end
+                rest = b"".join([*kept, raw[at:]])
+                out.append((i, len(raw), len(raw) - len(rest), len(own), hashlib.sha256(rest).hexdigest()))
             yield rows(RESULT, list(zip(*out, strict=True)) or [[] for _ in RESULT])
 
     def whole(batches):
@@ -282,5 +300,5 @@ def remove(docs: DataFrame) -> DataFrame:
             yield rows(RESULT, [b.column(0), [len(x) for x in raw], [0] * len(raw), [0] * len(raw), [hashlib.sha256(x).hexdigest() for x in raw]])
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    touched = with_bits(texts, bitmap).join(marks, "row", "left").select("id", "packed", "marks")
+    touched = with_bits(texts, bitmap).join(marks, "row", "left").select("id", "packed", "runs")
     return texts.mapInArrow(whole, kinds).unionByName(touched.mapInArrow(strike, kinds))
