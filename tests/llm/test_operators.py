@@ -127,9 +127,9 @@ def test_light_subsets_and_remaining_pairs(spark, monkeypatch):
     """The same classes when nearly all sets are light, when all are heavy, and without pivots' help."""
     texts = near_copies(random.Random(3))
     want = joined(texts)
-    for boundary, rounds in ((200, 1), (8, 2)):
+    for boundary, pivots in ((200, (2,)), (8, (1, 2))):
         monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes, b=boundary: b)
-        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
         assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == want
 
 
