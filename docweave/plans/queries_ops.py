@@ -457,7 +457,7 @@ def visible_documents(spark, d):
     return one(everyone, "everything").unionByName(one(own, "own"))
 
 
-@query("stage_runs", sql("select document_id, 'document_chunked' as event_type, case when count(*) filter (length(text) < 10) > 0 then 'needs_review' else 'completed' end as status from blocks group by 1", "blocks"))
+@query("stage_runs", sql("select document_id, 'document_chunked' as event_type, case when count(*) filter (length(text) < 10 or length(text) // 4 > 2000) > 0 then 'needs_review' else 'completed' end as status from blocks group by 1", "blocks"))
 def stage_runs(spark, d):
     c = H.validate(S.blocks(spark, d).withColumnRenamed("text", "content"))
     return A.activity(A.run_log(c, "chunked"))

@@ -87,7 +87,7 @@ def shared_invoice_numbers(spark, d):
     return R.with_history(S.invoices(spark, d), R.DEFAULTS | CONFIG).where("same_number > 1").select("document_id", "same_number")
 
 
-@query("answer_contradictions", sql("select c.conv_id * 1000 + c.turn as answer_id, 'net_total' as fact_type from conversations c join inv on document_id = c.conv_id where c.role = 'assistant' and c.turn % 4 = 1", "inv"))
+@query("answer_contradictions", sql("select c.conv_id * 1000 + c.turn as answer_id, 'net_total' as fact_type from conversations c join inv on document_id = c.conv_id where c.role = 'assistant' and c.turn % 4 = 1 and invoice_total is not null", "inv"))
 def answer_contradictions(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'")
     inv = S.invoices(spark, d).select("document_id", F.col("invoice_total").alias("value"))

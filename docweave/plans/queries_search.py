@@ -153,7 +153,7 @@ def vector_lsh(spark, d):
     return V.lsh_top_k(vectors(spark, d), vector_queries(spark, d), 10, 64)
 
 
-@query("hash_vectors", sql("select doc_id, round(list_sum(list_transform(range(32), lambda i: cast(('0x' || substr(sha256(text), cast(i * 2 + 1 as bigint), 2)) as integer) / 255.0 * 2 - 1)), 6) as total, cast(64 as integer) as dim from documents"))
+@query("hash_vectors", sql("select doc_id, round(list_sum(list_transform(range(32), lambda i: cast(('0x' || substr(sha256(text), cast(i * 2 + 1 as bigint), 2)) as integer) / 255.0 * 2 - 1)), 6) + 0.0 as total, cast(64 as integer) as dim from documents"))
 def hash_vectors(spark, d):
     v = table(spark, d, "documents").select("doc_id", V.hash_vector("text").alias("v"))
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / 2, 6).alias("total"), F.size("v").alias("dim"))
