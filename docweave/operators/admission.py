@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import lookup
+
 # Fixed values.
 DENIED = ["bat", "cmd", "dll", "exe", "js", "msi", "ps1", "sh", "vbs"]
 ALLOWED = ["bmp", "csv", "docx", "eml", "html", "jpeg", "jpg", "md", "pdf", "png", "pptx", "tiff", "txt", "xlsx"]
@@ -21,11 +23,6 @@ DOCUMENT_TYPES = ["invoice", "receipt", "purchase_order", "bank_statement", "fin
 GENERIC = ["html", "spreadsheet", "presentation", "unknown"]
 
 
-def lookup(values: dict, key: Column, default=None) -> Column:
-    found = F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
-    return found if default is None else F.coalesce(found, F.lit(default))
-
-
 def base_name(c: str) -> Column:
     return F.replace(F.substring_index(c, "/", -1), F.lit("\x00"), F.lit(""))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import tokens
+
 # Fixed values.
 MAX_TOKENS, MAX_ROWS, LARGEST_CHUNK, SHORTEST_CHUNK = 500, 25, 2000, 10
 SECTION_WORDS = {"header": ["invoice", "vendor", "from"], "customer": ["bill to", "customer", "client"], "payment": ["payment", "due date", "terms"], "totals": ["total", "subtotal", "tax"]}
@@ -12,10 +14,6 @@ NARRATIVE = ["management's discussion", "md&a", "notes to financial statements",
 FAMILIES = {"invoice": "sections", "receipt": "sections", "purchase_order": "sections", "contract": "clauses", "policy": "clauses", "manual": "clauses", "financial_statement": "narrative", "bank_statement": "narrative", "tax_document": "narrative", "audit_report": "narrative"}
 
 
-def tokens(c) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))
-
-
 def reading_order(blocks: DataFrame) -> DataFrame:
     """(document_id, page, block_ids): the blocks of each page in order."""
     ids = F.transform(F.sort_array(F.collect_list(F.struct("order", "block_id"))), lambda b: b["block_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunking import tokens
+from ..functions.columns import tokens
 
 # Fixed values.
 REFUSALS = ["i don't have enough information", "cannot find", "no relevant information"]

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import jaccard, token_set
+
 # Fixed values.
 STOP_WORDS = ["a", "an", "and", "are", "did", "for", "in", "is", "of", "on", "the", "to", "we"]
 ACRONYMS = {"po": "purchase order", "inv": "invoice", "vat": "value added tax", "gst": "goods and services tax"}
@@ -157,14 +159,6 @@ def rerank(results: DataFrame, least: float = 0.0, n: int | None = None) -> Data
     return ranked(s, n, score="final")
 
 
-def token_set(c: str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
 def diverse(results: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Results in rank order, each kept if no kept one before it is too much like it."""
     items = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", token_set("content").alias("words"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import money
 from .tables import table
 
 TYPES = ["invoice"] * 5 + ["receipt", "purchase_order", "contract", "policy", "unknown"]
@@ -48,12 +49,6 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def money(c) -> F.Column:
-    """An amount as text with two digits, rounded half up by whole cents."""
-    cents = F.floor(F.abs(c) * 100 + 0.5).cast("long")
-    return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-
-
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, document_type, file_name, text): the documents as texts with labelled lines."""
     inv = invoices(spark, sf_dir)
