@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries that a worker's memo of words keeps before it starts anew.
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,7 @@ def slices(batches, n: int = 256):
     for b in batches:
         for i in range(0, b.num_rows, n):
             yield b.slice(i, n)
+        pa.default_memory_pool().release_unused()  # a worker lives through many tasks
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

@@ -115,7 +115,7 @@ def trigger_counts(texts: DataFrame) -> DataFrame:
                 for _, h, _, _, _, place in parse(text.encode("utf-8", "replace")):
                     held.append(h[place] >> np.uint64(16))
                     size += len(place)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
