@@ -13,7 +13,8 @@ phrases with equal continuations: the dictionary is the distinct keys, the parse
 
 Order is (doc_id, row, start). Defined results: null and empty texts, and texts of fewer than 100 bytes, lose nothing;
 repeated rows are documents of their own in the order of their row number; rows without a doc_id come first; extra
-columns are not read. Windows are equal when a 64-bit trigger hash and a 64-bit window hash are equal.
+columns are not read. Windows are equal when a 64-bit trigger hash and a 64-bit window hash are equal. A phrase across
+the edge of two blocks of a long text is two phrases of one trigger occurrence, which are not compared with each other.
 """
 
 from __future__ import annotations
@@ -211,6 +212,8 @@ def side_by_side(found: DataFrame) -> DataFrame:
                 for k, p in enumerate(phrases):
                     first, last, _ = parts(p["span"])
                     for q in phrases[:k]:
+                        if (q["row"], q["place"]) == (p["row"], p["place"]):
+                            continue  # the phrase across a block's edge, in two parts
                         most, least_ = agree(p["left"], q["left"]), REACH - 1 - agree(p["right"], q["right"])
                         lo, hi = max(first, p["place"] - most), min(last, p["place"] - least_)
                         if lo <= hi:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from docweave.llm import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from docweave.llm.components import components
@@ -191,6 +192,22 @@ def test_repeats_across_blocks(monkeypatch):
     assert np.array_equal(np.concatenate([w for _, _, w, _, _, _ in suffix_dedup.parse(raw)]), whole)
 
 
+def test_removal_across_blocks(spark, monkeypatch):
+    """Bytes that stand once stay at the edges of blocks, and repeats across edges go."""
+    rng = random.Random(9)
+    texts = [" ".join(words(800, rng, 10**6)) for _ in range(3)]
+    texts += [texts[0][300:1500] + texts[1][700:2900], texts[2][37:], "ab" * 600]
+    want = struck(texts)
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # so that workers see the small blocks
+    try:
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 256)
+        for few in (16, 2):
+            monkeypatch.setattr(suffix_dedup, "FEW", few)
+            assert sorted(map(tuple, suffix_dedup.remove(frame(spark, texts)).collect())) == want
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = {r.doc_id: r for r in suffix_dedup.remove(odd).collect()}
     assert len(got) == odd.count() and got[7].n_removed < got[7].n_bytes and got[8].n_removed == got[8].n_bytes and got[8].n_spans == 1
