@@ -140,6 +140,11 @@ def shared(around, terms):
 
 def report(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document."""
+    return judged(docs, benchmark, k).drop("uid")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
+    """The report's rows with ``uid``, the number of the row."""
     every, found = search(docs, benchmark, k)
     found = cut(found.select("uid", "item_id", "start", "length").distinct())
     order = Window.partitionBy("uid").orderBy("start", "length")
@@ -149,10 +154,10 @@ def report(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
     items = found.select("uid", F.col("item_id").cast("string").alias("item")).distinct().groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = every.join(hit.join(items, "uid"), "uid", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated ones. Rows of a contaminated doc_id go; rows without an id stay."""
-    bad = report(docs, benchmark, k).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows; rows without an id, or with the same one, are judged each by its own text."""
+    bad = judged(docs, benchmark, k).where("contaminated").select(F.col("uid").alias("uid_of_row"))
+    return docs.withColumn("uid_of_row", F.monotonically_increasing_id()).join(bad, "uid_of_row", "left_anti").select(*docs.columns)

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark import cloudpickle
 
+import corpus_pipeline
 from docweave.llm import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from docweave.llm.components import components
 
@@ -142,6 +143,38 @@ def test_join_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 9, 10}
 
 
+@pytest.mark.parametrize("shingle,percent", [(5, 80), (2, 60)])
+def test_near_duplicates_of_other_parameters(spark, shingle, percent):
+    """Classes against all pairs; one row of each stays, also where rows have no id or share one."""
+    rng = random.Random(10)
+    base = [words(n, rng, 10**6) for n in (7, 8, 9, 13, 60, 240)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:i], f"n{i}", *w[i + 1 :]]) for w in base for i in range(0, len(w), 9)] + [" ".join([*w, "end"]) for w in base] + ["a b", "A b", ""]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        k = min(shingle, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= percent * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = ngram_join.duplicates(frame(spark, texts), shingle, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1 + i, len(s), 1 + root[i]) for i, s in enumerate(sets)]
+    for ids in ([None] * len(texts), [5] * len(texts), [None if i % 2 else i for i in range(len(texts))]):
+        kept = ngram_join.deduplicate(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), shingle, percent).collect()
+        assert len(kept) == len(set(root))
+
+
+def test_pipeline_judges_near_copies_by_five_words(spark):
+    w = words(600, random.Random(11), 10**6)
+    near = [f"n{i}" if i % 50 == 25 else x for i, x in enumerate(w)]  # 5-grams 0.82, 3-grams 0.89
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (None, " ".join(w))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)]
@@ -295,6 +328,14 @@ def test_contamination_of_odd_rows(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_contaminated_rows_without_an_id_go(spark):
+    item = " ".join(f"q{i}" for i in range(40))
+    rows = [(None, item), (None, "a text of its own"), (3, item), (3, "one more text"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, (r.text for r in kept))) == ["None", "a text of its own", "one more text"]
+
+
 # ---- quality rules --------------------------------------------------------------------------------------------------
 
 
