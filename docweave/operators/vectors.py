@@ -101,19 +101,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
     return out
 
 
-def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 12, bits: int = 6, seed: int = 7) -> DataFrame:
-    """As ``top_k`` among vectors that share a random-hyperplane bucket with the query (approximate)."""
+def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 12, bits: int = 6, seed: int = 7, probes: int = 4) -> DataFrame:
+    """As ``top_k`` among vectors in a random-hyperplane bucket of the query's or in a neighbouring one (approximate).
+
+    In each table a query looks into its own bucket and those beyond the ``probes`` hyperplanes it lies nearest to.
+    """
     import numpy as np
 
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4)
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4).tolist()
+    sent = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in own)) for own in planes))
+
+    def hashed(d, c):
+        """A row for each table ``t``, with the distances ``m`` to its hyperplanes."""
+        return d.select("*", F.posexplode(F.transform(sent, lambda own: F.transform(own, lambda p: _dot(F.col(c), p)))).alias("t", "m"))
 
-    def buckets(v):
-        sign = lambda p: F.when(_dot(v, F.array(*map(F.lit, p.tolist()))) >= 0, "1").otherwise("0")
-        return F.array(*(F.concat(F.lit(f"{t}:"), *(sign(planes[t, b]) for b in range(bits))) for t in range(tables)))
+    def bucket(flip):
+        sign = F.transform("m", lambda x, b: F.when((x >= 0) != (b == flip), "1").otherwise("0"))
+        return F.concat_ws(":", F.col("t").cast("string"), F.array_join(sign, ""))
 
     base = vectors.select("id", unit("vector").alias("v")).where("v is not null")
     q = queries.select("query_id", unit("vector").alias("q")).where("q is not null")
-    a, b = base.select("id", F.explode(buckets(F.col("v"))).alias("bucket")), q.select("query_id", F.explode(buckets(F.col("q"))).alias("bucket"))
+    order = F.array_sort(F.transform("m", lambda x, b: F.struct(F.abs(x).alias("x"), b.alias("b"))))
+    near = F.transform(F.slice(order, 1, probes), lambda s: s["b"])
+    asked = hashed(q, "q").select("query_id", "t", "m", F.explode(F.concat(F.array(F.lit(-1)), near)).alias("flip"))
+    a, b = hashed(base, "v").select("id", bucket(F.lit(-1)).alias("bucket")), asked.select("query_id", bucket(F.col("flip")).alias("bucket"))
     pairs = a.join(b, "bucket").where("id <> query_id").select("id", "query_id").distinct()
     scored = pairs.join(base, "id").join(q, "query_id").select("query_id", "id", F.round(_dot(F.col("q"), F.col("v")), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

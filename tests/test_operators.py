@@ -110,3 +110,14 @@ def test_entry_without_training_operators():
     for p in (root / "docweave").rglob("*.py"):
         if "llm" not in p.relative_to(root / "docweave").parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_lsh_finds_nine_of_ten_neighbours(spark):
+    from docweave.plans import queries_search as S
+
+    d = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.id) for r in vectors.top_k(S.vectors(spark, d), S.vector_queries(spark, d), 10).collect()}
+    found = {(r.query_id, r.id) for r in S.vector_lsh(spark, d).collect()}
+    recall = len(exact & found) / len(exact)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.9
