@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words keeps before it starts anew.
 MEMO_LIMIT = 100_000
@@ -19,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests), a folder is made and set."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a folder; a cluster needs one."""
     given = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="docweave-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)
@@ -33,12 +36,58 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``shared_folder`` named."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: packed better than a checkpoint, for wide rows."""
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, and the name of that column, which no other column has.
+
+    The rows are written once, so every later read sees the same numbers, however the plan that made ``df`` deals its rows.
+    """
+    name, taken = "uid", {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return stored(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """(uid, doc_id, text) of every row; see ``numbered``."""
+    return numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[0]
+
+
+def texts_of(rows: DataFrame, uid: str) -> DataFrame:
+    """(uid, doc_id, text) of ``numbered`` rows."""
+    return rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, size: str = "size", parts: int = 1_000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``size`` how many rows of ``left`` have the key.
+
+    Keys that hold more than one row in ``parts`` are fewer than ``parts``: these are broadcast, so that no task gets
+    all rows of one. The others are shuffled.
+    """
+    limit = max(1_000, (right.agg(F.sum(size)).first()[0] or 0) // parts)
+    heavy = F.broadcast(right.where(F.col(size) > limit))
+    light = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col(size) <= limit), key)
+    return left.join(heavy, key).unionByName(light)
+
+
 class WordHashes(dict):
     """word (bytes) -> 63-bit hash, computed once for each distinct word."""
 

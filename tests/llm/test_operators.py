@@ -125,14 +125,34 @@ def test_near_duplicates_are_exact(spark, seed):
     assert got == joined(texts)
 
 
-def test_light_subsets_and_remaining_pairs(spark, monkeypatch):
-    """The same classes when nearly all sets are light, when all are heavy, and without pivots' help."""
+@pytest.mark.parametrize("boundary,few,merged", [(200, 4, 4), (8, 2, 4), (8, 2, 1), (60, 2, 0)])
+def test_light_subsets_and_long_lists(spark, monkeypatch, boundary, few, merged):
+    """The same classes when nearly all sets are light, when all are heavy, and when lists of three go by pivots."""
     texts = near_copies(random.Random(3))
-    want = joined(texts)
-    for boundary, pivots in ((200, (2,)), (8, (1, 2))):
-        monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes, b=boundary: b)
-        monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
-        assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == want
+    monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes: boundary)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
+
+
+@pytest.mark.parametrize("shape", ["changed", "shortened", "chain"])
+def test_large_groups_of_near_copies(spark, monkeypatch, shape):
+    """Groups of which many do not link with each other: copies with 0 to 9 changes, cut copies, and a chain."""
+    rng = random.Random(14)
+    monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes: 9)
+    base = words(150, rng, 10**6)
+    texts = []
+    for i in range(60):
+        w = list(base)
+        if shape == "changed":
+            for _ in range(rng.randrange(10)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(300)}"
+        elif shape == "shortened":
+            w = w[rng.randrange(12) : 150 - rng.randrange(40)]
+        else:
+            w[: 2 * i] = [f"n{j}" for j in range(2 * i)]
+        texts.append(" ".join(w))
+    assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
 
 
 def test_join_of_odd_rows(odd, empty):
