@@ -2,15 +2,17 @@
 
 Every text is the sequence of the ids of its lines with words. Prefix doubling sorts all suffixes of all sequences by
 their first 1, 2, 4, ... lines: the rank of a suffix by 2d lines is the order of (its rank by d, the rank by d of the
-suffix d lines on). Two overlapping ranks give any depth between. Suffixes of equal rank by d lines are an interval of
-the suffix array whose longest common prefix is at least d. A suffix that shares its rank with no other cannot lie in a
-deeper interval and goes no further. All occurrences of an interval but the first are later copies; the copies that
-overlap or touch join to the maximal repeated runs, and these lines are deleted.
-
-A run counts from ``min_lines`` lines on, or as a single line of at least ``min_words`` words. Order is (doc_id, row,
-line). Defined results: null texts count as empty; lines without words are in no run and stay; repeated rows are texts
-of their own in the order of their row number; rows without a doc_id come first; columns besides doc_id and text are
-kept by ``apply`` and not read.
+suffix d lines on). Two overlapping ranks give any depth between, so ``min_lines`` need not be a power of two. Suffixes of equal
+rank by d lines are an interval of the suffix array whose longest common prefix is at least d. A suffix that shares its
+rank with no other cannot lie in a deeper interval and goes no further; the doubling ends when no rank is shared. Each interval's
+occurrences but the first are later copies; from the deepest intervals of neighbouring suffixes come the maximal repeated
+runs, and their lines are deleted.
+
+A run counts from ``min_lines`` lines on, or as a single line of at least ``min_words`` words (repeated shorter lines,
+such as headings, stay). Order is (doc_id, row, line). Defined results: null texts count as empty; lines without words are in
+no run and stay; of tied copies the first in order stays; repeated rows are texts of their own in the order of their row
+number; rows without a doc_id come first; an empty table stays empty; columns besides doc_id and text are kept by ``apply``
+and not read. Lines are equal when their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, rows, slices
+from .common import column, cut, join_counted, numbered, numbered_texts, rows, slices, texts_of
 
-MIN_LINES, MIN_WORDS = 2, 12
+MIN_LINES, MIN_WORDS = 2, 5
 
 LINES = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("line", pa.int64()), ("words", pa.int32())])
 WHERE = ["id", "row", "k"]
@@ -33,13 +35,13 @@ def has_words(line: str) -> bool:
     return bool(line.strip(" \t\n\r\x0b\x0c"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, row, k, line, words): k counts the lines with words, ``line`` is a 64-bit hash of the line."""
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(id, row, k, line, words) of (uid, doc_id, text): k counts the lines with words, ``line`` is a 64-bit hash."""
 
     def split(batches):
         for b in slices(batches):
             out = []
-            for i, row, text in zip(*(column(b, c) for c in ("id", "row", "text")), strict=True):
+            for i, row, text in zip(*(column(b, c) for c in ("doc_id", "uid", "text")), strict=True):
                 k = 0
                 for raw in (text or "").encode("utf-8", "replace").split(b"\n"):
                     if n := len(raw.split()):
@@ -49,93 +51,112 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 i, row, k, line, n = zip(*out, strict=True)
                 yield rows(LINES, [i, row, k, np.array(line, np.uint64).view(np.int64), n])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
-    return ids.mapInArrow(split, "id long, row long, k int, line long, words int")
+    return texts.select("doc_id", "uid", "text").mapInArrow(split, "id long, row long, k int, line long, words int")
 
 
 def ranked(suffixes: DataFrame, *by: str) -> DataFrame:
-    """The suffixes with their ``rank`` in the order of the given columns; those alone in their rank are left out."""
-    keys = suffixes.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1")
+    """The suffixes (cut) with their ``rank`` in the order of the given columns, and whether they are a ``later`` copy.
+
+    Those alone in their rank are left out.
+    """
+    place = F.struct(*WHERE)
+    keys = suffixes.groupBy(*by).agg(F.count("*").alias("size"), F.min(place).alias("first")).where("size > 1")
     # Ids rise through the sorted ranges, so they order the keys as the columns do.
-    order = cut(keys.repartitionByRange(*by).sortWithinPartitions(*by).select(*by, F.monotonically_increasing_id().alias("rank")))
-    return suffixes.join(order, list(by))
+    order = cut(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
+    return join_counted(suffixes, order, *by).select(*WHERE, "words", "rank", (place != F.col("first")).alias("later"))
 
 
-def later_copies(suffixes: DataFrame, depth: int) -> DataFrame:
-    """(row, k, depth): the suffixes whose first ``depth`` lines, as their rank has them, stand earlier."""
-    place = F.struct(*WHERE)
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
-    return suffixes.join(first, "rank").where(place != F.col("first")).select("row", "k", F.lit(depth).alias("depth"))
+def further(now: DataFrame, step: int) -> DataFrame:
+    """The suffixes with their rank ``here`` and that of the suffix ``step`` lines on, ``next``, if both are shared."""
+    on = Window.partitionBy("row").orderBy("k")
+    if step == 1:
+        then = F.when(F.lead("k", 1).over(on) == F.col("k") + 1, F.lead("rank", 1).over(on))
+    else:
+        then = F.max("rank").over(on.rangeBetween(step, step))
+    return cut(now.select(*WHERE, "words", F.col("rank").alias("here"), then.alias("next")).where("next is not null"))
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated(texts: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, k, depth): lines k .. k + depth - 1 of a row stand earlier in the corpus."""
-    on = Window.partitionBy("row").orderBy("k")
-    now = cut(ranked(lines_of(docs), "line").select(*WHERE, "rank", "words"))
-    found = later_copies(now.where(F.col("words") >= min_words), 1)
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)  # the last ranks may overlap
-        further = F.lead("rank", 1).over(on) if step == 1 else F.max(F.when(F.lit(True), F.col("rank"))).over(on.rangeBetween(step, step))
-        near = F.lead("k", 1).over(on) == F.col("k") + 1 if step == 1 else F.lit(True)
-        pairs = now.withColumn("next", F.when(near, further)).where("next is not null")
-        now = cut(ranked(pairs.withColumnRenamed("rank", "here"), "here", "next").select(*WHERE, "rank", "words"))
+    now = cut(ranked(cut(lines_of(texts)), "line"))
+    found, depth = now.where("later").where((F.col("words") >= min_words) | F.lit(min_lines == 1)).select("row", "k", F.lit(1).alias("depth")), 1
+    while True:
+        step = min(depth, min_lines - depth) if depth < min_lines else depth  # the last ranks may overlap
+        now = cut(ranked(further(now, step), "here", "next"))
+        if now.isEmpty():
+            return found
         depth += step
-    return found.unionByName(later_copies(now, depth))
+        if depth >= min_lines:
+            found = found.unionByName(now.where("later").select("row", "k", F.lit(depth).alias("depth")))
 
 
-def marked(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, str]:
-    """``docs`` with the list of its lines to delete, in a column of the returned name."""
-    gone = repeated(docs, min_lines, min_words).select("row", F.explode(F.sequence("k", F.col("k") + F.col("depth") - 1)).alias("k"))
-    gone = gone.groupBy("row").agg(F.collect_set("k").alias("gone"))
-    name, key = "gone_lines", "row_of_line"
-    while name in docs.columns or key in docs.columns:
-        name, key = f"_{name}", f"_{key}"
-    gone = gone.select(F.col("row").alias(key), F.col("gone").alias(name))
-    return docs.withColumn(key, F.monotonically_increasing_id()).join(gone, key, "left").drop(key), name
+def maximal(found: DataFrame) -> DataFrame:
+    """(row, runs): the maximal repeated runs of each row, as packed pairs of their first line and the line after their last."""
+    schema = pa.schema([("row", pa.int64()), ("runs", pa.binary())])
 
-
-def struck(text: str, gone: set[int]) -> tuple[str, int, int, int]:
-    """What is left of a text, its lines with words, how many of them go, and in how many runs."""
-    kept, k, runs, before = [], 0, 0, False
+    def merge(batches):
+        for b in slices(batches):
+            marks, out = b.column(b.schema.get_field_index("marks")), []
+            for j in range(b.num_rows):
+                lo, depth = (marks[j].values.field(i).to_numpy().astype(np.int64) for i in range(2))
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate((lo + depth)[order])
+                first = np.append(True, lo[1:] > end[:-1])
+                out.append(np.column_stack([lo[first], end[np.append(first[1:], True)]]).astype("<i8").tobytes())
+            yield rows(schema, [b.column(0), out])
+
+    return found.groupBy("row").agg(F.collect_list(F.struct("k", "depth")).alias("marks")).mapInArrow(merge, "row long, runs binary")
+
+
+def marked(every: DataFrame, uid: str, min_lines: int, min_words: int) -> tuple[DataFrame, str]:
+    """The numbered rows with their runs, in a column of the returned name."""
+    name = "runs"
+    while name in (c.lower() for c in every.columns):
+        name = f"_{name}"
+    runs = maximal(repeated(texts_of(every, uid), min_lines, min_words))
+    return every.join(runs.select(F.col("row").alias(uid), F.col("runs").alias(name)), uid, "left"), name
+
+
+def struck(text: str, packed: bytes | None) -> tuple[str, int, int, int]:
+    """What is left of a text without its runs, its lines with words, how many of them go, and how many runs."""
+    runs = np.frombuffer(packed or b"", "<i8").reshape(-1, 2).tolist()
+    kept, k, at = [], 0, 0
     for line in text.split("\n"):
         if not has_words(line):
             kept.append(line)
             continue
-        now = k in gone
-        k += 1
-        runs += now and not before
-        before = now
-        if not now:
+        while at < len(runs) and runs[at][1] <= k:
+            at += 1
+        if at == len(runs) or k < runs[at][0]:
             kept.append(line)
-    return "\n".join(kept), k, len(gone), runs
+        k += 1
+    return "\n".join(kept), k, sum(b - a for a, b in runs), len(runs)
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept_text_sha256) of each document."""
-    found, name = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_lines, min_words)
+    found, name = marked(numbered_texts(docs), "uid", min_lines, min_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("text", pa.string())])
 
     def strike(batches):
         for b in slices(batches):
-            out = [struck(t or "", set(g or ())) for t, g in zip(column(b, "text"), column(b, "gone"), strict=True)]
-            text, *numbers = zip(*out, strict=True)
+            text, *numbers = zip(*(struck(t or "", r) for t, r in zip(column(b, "text"), column(b, "runs"), strict=True)), strict=True)
             yield rows(schema, [b.column(0), *numbers, text])
 
-    out = found.select("doc_id", "text", F.col(name).alias("gone")).mapInArrow(strike, "doc_id long, n_lines long, n_removed long, n_runs long, text string")
+    out = found.select("doc_id", "text", F.col(name).alias("runs")).mapInArrow(strike, "doc_id long, n_lines long, n_removed long, n_runs long, text string")
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def apply(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated lines, n_chars set anew; texts of which no line with words is left go."""
-    found, name = marked(docs, min_lines, min_words)
+    found, name = marked(*numbered(docs), min_lines, min_words)
     text, schema = docs.columns.index("text"), docs.schema
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def strike(batches):
         for b in slices(batches):
             gone = b.column(len(schema)).to_pylist()
-            out = [(t, False) if not g else (s[0], s[1] == s[2]) for t, g in zip(b.column(text).to_pylist(), gone, strict=True) for s in [struck(t or "", set(g or ()))]]
+            out = [(t, False) if not g else (s[0], s[1] == s[2]) for t, g in zip(b.column(text).to_pylist(), gone, strict=True) for s in [struck(t or "", g)]]
             columns = list(b.columns[: len(schema)])
             columns[text] = pa.array([t for t, _ in out], pa.string())
             if size is not None:
@@ -157,7 +178,7 @@ with split as (
 ), paired as (
   select *, lead(line) over (partition by doc_id order by k) as next from numbered
 ), judged as (
-  select *, words >= 12 and row_number() over (partition by line order by doc_id, k) > 1 as one,
+  select *, words >= 5 and row_number() over (partition by line order by doc_id, k) > 1 as one,
     next is not null and row_number() over (partition by line, next order by doc_id, k) > 1 as two
   from paired
 ), marked as (
