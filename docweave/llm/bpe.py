@@ -5,8 +5,9 @@ task of its own; two neighbours are stitched at the first pre-token start that b
 there on both go on alike; then the pieces are encoded. Texts of one chunk skip the cutting and the shuffle.
 
 Defined results: a null text counts as empty and gives no ids; every input row gives one output row, so repeated rows
-repeat; input columns other than ``doc_id`` and ``text`` are not read. If two neighbours share no start in their
-overlap (a word longer than it), the text is pre-tokenised from its last certain start on, so the ids stay right.
+repeat; input columns other than ``doc_id`` and ``text`` are not read; an empty table gives no rows. If neighbours share no
+start in their overlap (a word longer than it), these chunks are pre-tokenised once more as one piece from the last certain
+start on, and that piece grows by its own size each time, so the ids stay right and the work stays linear.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from .common import MEMO_LIMIT, column, rows, slices
 #: Characters of a chunk without its overlap, and of the overlap with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
 
+#: Patterns whose pre-tokens hold a blank at their start only, unless they are white space as a whole.
+BLANK_STARTS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
 IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 CHUNKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("start", pa.int64()), ("text", pa.string())])
 STARTS = pa.schema([*CHUNKS, ("starts", pa.binary())])
@@ -83,32 +87,113 @@ class Pieces(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+class Units(dict):
+    """A word with all that stands at it -> the ids of its pre-tokens, behind a blank (``before``) or at a text's start.
+
+    A blank between two other characters that are no white space always starts a pre-token, in patterns whose pre-tokens
+    hold a blank at their start only (``BLANK_STARTS``). So texts can be cut there, and equal units have equal ids.
+    """
+
+    def __init__(self, find, pieces: Pieces, before: str):
+        self.find, self.pieces, self.before = find, pieces, before
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) > MEMO_LIMIT:
+            self.clear()
+        ids = self.pieces.ids(self.find(self.before + unit))
+        if len(unit) < 64:
+            self[unit] = ids
+        return ids
+
+
+def units_of(text: str) -> list[str]:
+    """A text cut at the blanks between characters that are no white space; the blanks are left out."""
+    units = text.split(" ")
+    if all(u and not u[0].isspace() and not u[-1].isspace() for u in units):
+        return units
+    out, run, last = [], [], None
+    for u in units:
+        if last is None or (last and u and not last[-1].isspace() and not u[0].isspace()):
+            out.append(run)
+            run = []
+        run.append(u)
+        last = u
+    return [" ".join(r) for r in [*out[1:], run]]
+
+
+class Encoder:
+    """The ids of whole texts."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.pattern = regex.compile(pattern)
+        self.pieces = Pieces(ranks)
+        self.by_blanks = pattern in BLANK_STARTS
+        self.first, self.others = (Units(self.pattern.findall, self.pieces, b) for b in ("", " "))
+
+    def ids(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.by_blanks:
+            return self.pieces.ids(self.pattern.findall(text))
+        first, *others = units_of(text)
+        return self.first[first] + b"".join(map(self.others.__getitem__, others))
+
+
 def stitched(chunks: list[dict], pattern, chunk: int) -> list[str]:
     """The pre-tokens of a text from those of its overlapping chunks, in order of their place."""
     pieces: list[str] = []
-    head, base = "", 0  # text not yet cut for good, and its place
+    parts: list[str] = []  # text not yet cut for good, from ``base`` on and up to ``end``
+    base = end = 0
     starts = np.empty(0, np.int64)
-    for c in chunks:
+    again, due = False, 0  # starts must be found anew, at the latest once the text reaches ``due``
+    for k, c in enumerate(chunks):
         own = np.frombuffer(c["starts"], "<i4").astype(np.int64) + c["start"]
-        text = head + c["text"][base + len(head) - c["start"] :]
+        parts.append(c["text"][end - c["start"] :])
+        end = int(c["start"]) + len(c["text"])
         shared = np.intersect1d(starts, own[own > c["start"]], assume_unique=True)
-        if not pieces and not len(starts):
+        if not k:
             starts = own
-        elif len(shared):
+        elif len(shared) and not again:
             starts = np.concatenate([starts[starts < shared[0]], own[own >= shared[0]]])
         else:
-            starts = np.array([base + m.start() for m in pattern.finditer(text)], np.int64)
+            if not again:
+                again, due = True, base + 2 * (end - base)
+            if end < due and k + 1 < len(chunks):
+                continue
+            parts = ["".join(parts)]
+            starts, again = np.array([base + m.start() for m in pattern.finditer(parts[0])], np.int64), False
         # What lies before the last start of the part that no later chunk sees is certain.
         keep = max(base, int(c["start"]) + chunk)
-        k = int(np.searchsorted(starts, keep, "right")) - 1
-        if k > 0:
-            at = (starts[: k + 1] - base).tolist()
+        i = int(np.searchsorted(starts, keep, "right")) - 1
+        if i > 0:
+            text = "".join(parts)
+            at = (starts[: i + 1] - base).tolist()
             pieces += [text[a:b] for a, b in zip(at, at[1:], strict=False)]
-            head, base, starts = text[at[-1] :], base + at[-1], starts[k:]
-        else:
-            head = text
-    at = [*(starts - base).tolist(), len(head)]
-    return pieces + [head[a:b] for a, b in zip(at, at[1:], strict=False)]
+            parts, base, starts = [text[at[-1] :]], base + at[-1], starts[i:]
+    text = "".join(parts)
+    at = [*(starts - base).tolist(), len(text)]
+    return pieces + [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+class Gather:
+    """Byte strings by number, and their concatenation for many numbers at once."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        n = max(strings, default=-1) + 1
+        self.size = np.zeros(n, np.int64)
+        for i, b in strings.items():
+            self.size[i] = len(b)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self.bytes = np.frombuffer(b"".join(strings[i] for i in sorted(strings)), np.uint8)
+
+    def joined(self, packed: bytes, stretch: int = 1 << 16) -> bytes:
+        out = []
+        for i in range(0, len(packed) // 4, stretch):
+            ids = np.frombuffer(packed, "<i4", min(stretch, len(packed) // 4 - i), 4 * i)
+            size = self.size[ids]
+            shift = self.start[ids] - np.concatenate([[0], np.cumsum(size)[:-1]])
+            out.append(self.bytes[np.repeat(shift, size) + np.arange(size.sum())].tobytes())
+        return b"".join(out)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -117,9 +202,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def whole(batches):
-        find, pieces = regex.compile(pattern).findall, Pieces(sent.value)
+        encoder = Encoder(sent.value, pattern)
         for b in slices(batches):
-            ids = [pieces.ids(find(t)) if t else b"" for t in column(b, "text")]
+            ids = list(map(encoder.ids, column(b, "text")))
             yield rows(IDS, [b.column(0), [len(x) // 4 for x in ids], ids])
 
     def split(batches):
@@ -153,9 +238,9 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     sent = tokens.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
 
     def back(batches):
-        get = sent.value.__getitem__
+        tokens = Gather(sent.value)
         for b in slices(batches):
-            yield rows(BYTES, [*b.columns, [b"".join(map(get, np.frombuffer(x, "<i4").tolist())) for x in column(b, "ids")]])
+            yield rows(BYTES, [*b.columns, list(map(tokens.joined, column(b, "ids")))])
 
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(back, "doc_id long, n_tokens long, ids binary, bytes binary")
 
@@ -165,8 +250,12 @@ def digests(decoded: DataFrame) -> DataFrame:
     df = decoded.select("doc_id", "n_tokens", F.sha2("bytes", 256).alias("decoded_sha256"), "ids")
 
     def ordered(batches):
+        most, numbers = -1, Gather({})
         for b in slices(batches):
-            ids = [hashlib.sha256(" ".join(map(str, np.frombuffer(x, "<i4").tolist())).encode()).hexdigest() for x in column(b, "ids")]
+            packed = column(b, "ids")
+            if (top := max((int(np.frombuffer(x, "<i4").max()) for x in packed if x), default=-1)) > most:
+                most, numbers = top, Gather({i: b"%d " % i for i in range(top + 1)})
+            ids = [hashlib.sha256(numbers.joined(x)[:-1]).hexdigest() for x in packed]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.string()), b.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.mapInArrow(ordered, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
