@@ -76,16 +76,16 @@ def texts_of(rows: DataFrame, uid: str) -> DataFrame:
     return rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, size: str = "size", parts: int = 1_000) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, *on: str, size: str = "size", parts: int = 1_000) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and in ``size`` how many rows of ``left`` have the key.
 
     Keys that hold more than one row in ``parts`` are fewer than ``parts``: these are broadcast, so that no task gets
-    all rows of one. The others are shuffled.
+    all rows of one. The others are shuffled. Both sides are read twice, so they should be cut.
     """
     limit = max(1_000, (right.agg(F.sum(size)).first()[0] or 0) // parts)
     heavy = F.broadcast(right.where(F.col(size) > limit))
-    light = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col(size) <= limit), key)
-    return left.join(heavy, key).unionByName(light)
+    light = left.join(heavy.select(*on), list(on), "left_anti").join(right.where(F.col(size) <= limit), list(on))
+    return left.join(heavy, list(on)).unionByName(light)
 
 
 class WordHashes(dict):

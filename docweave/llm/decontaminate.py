@@ -1,14 +1,16 @@
 """Benchmark decontamination with a positional inverted index.
 
-Method: the words of all benchmark windows are counted over the whole corpus; each window is looked up by its rarest
-term. The index stores the postings of these terms (document, position and the words at the 2k-1 places around it, as
-numbers of the benchmark's vocabulary); a join on the term and the offset-adjusted comparison of all the window's
-terms leaves the exact phrase matches. ``proximity`` gives the places that share most of a window's terms instead.
+Method: the words of all benchmark windows are counted over the whole corpus; each window is looked up from its rarest
+term on. The index stores, for each document, the positions of the benchmark's terms at and around every occurrence
+of such a rarest term: its posting lists. A window's places are the intersection of its terms' lists, each
+less the term's offset in the window, taken from the rarest term to the commonest until nothing is left: exact phrase matches.
+Where a window has none in a document, the words around each occurrence of its rarest term are searched for its other
+terms: at least ``near`` of them make a proximity match. Documents are dealt over all tasks, so no term's list meets in one.
 
 Defined results: a text without words, or a null text, has no windows and no hits; an item of fewer than ``k`` words is
 one window; repeated rows are judged each for itself; repeated item ids count once; a null item_id is left out; extra
-columns are not read. Benchmarks of more than ``BLOCK`` windows are looked up block by block, so that what is broadcast
-stays bounded.
+columns are not read; an empty table on either side gives no matches. Benchmarks of more than ``BLOCK`` windows are looked up
+block by block (one item may lie in several), so that what is broadcast stays bounded; each block reads the texts twice.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, alnum_words, column, cut, rows, slices
+from .common import MEMO_LIMIT, alnum_words, column, cut, numbered, numbered_texts, rows, slices, stored, texts_of
 
-#: Words of a window; windows that are looked up at once.
-WINDOW, BLOCK = 13, 200_000
+#: Words of a window; windows that are looked up at once; terms of a window that make a proximity match.
+WINDOW, BLOCK, NEAR = 13, 200_000, 10
 
 WINDOWS = pa.schema([("item_id", pa.int64()), ("window", pa.list_(pa.binary()))])
 COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64())])
-INDEX = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("terms", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("around", pa.list_(pa.binary()))])
+INDEX = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("terms", pa.binary()), ("places", pa.binary())])
+MATCHES = pa.schema([("uid", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string())])
 
 
 class Numbers(dict):
@@ -73,91 +76,148 @@ def counts_of(docs: DataFrame, sent) -> dict[int, int]:
     return {r.term: r.n for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def index_of(docs: DataFrame, sent, anchors, k: int) -> DataFrame:
-    """(doc_id, n_words, terms, places, around): one row per document with its postings of the anchor terms."""
+def index_of(texts: DataFrame, sent, anchors, k: int) -> DataFrame:
+    """(uid, doc_id, n_words, terms, places): the postings at and around the anchor terms, as packed 32-bit integers in the order of place."""
 
     def post(batches):
         numbers = Numbers(sent.value)
         wanted = np.zeros(len(sent.value) + 1, bool)
         wanted[anchors.value] = True  # the last entry stands for -1, no term
-        pad = np.full(k - 1, -1, np.int32)
         for b in slices(batches):
             out = []
-            for doc, text in zip(column(b, "doc_id"), column(b, "text"), strict=True):
+            for uid, doc, text in zip(*(column(b, c) for c in ("uid", "doc_id", "text")), strict=True):
                 ids = numbers.of(text)
-                places = np.flatnonzero(wanted[ids])
-                near = np.concatenate([pad, ids, pad])
-                out.append((doc, len(ids), ids[places], places.astype(np.int32), [near[p : p + 2 * k - 1].tobytes() for p in places]))
+                at = np.flatnonzero(wanted[ids])
+                if not len(at):
+                    out.append((uid, doc, len(ids), None, None))
+                    continue
+                edge = np.zeros(len(ids) + 1, np.int32)
+                np.add.at(edge, np.maximum(at - k + 1, 0), 1)
+                np.add.at(edge, np.minimum(at + k, len(ids)), -1)
+                places = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & (ids >= 0)).astype("<i4")
+                out.append((uid, doc, len(ids), ids[places].astype("<i4").tobytes(), places.tobytes()))
             for i in range(0, len(out), 512):
                 yield rows(INDEX, list(zip(*out[i : i + 512], strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, "doc_id long, n_words long, terms array<int>, places array<int>, around array<binary>")
+    return texts.select("uid", "doc_id", "text").mapInArrow(post, "uid long, doc_id long, n_words long, terms binary, places binary")
 
 
-def lookups(windows: list, counts_for, k: int) -> tuple[list, list[int]]:
-    """(term, offset, terms as bytes, length, item) of each window's rarest term, and these terms."""
-    out, anchors = [], set()
-    for item, ids in windows:
-        offset = min(range(len(ids)), key=lambda i: (counts_for(ids[i]), ids[i], i))
-        anchors.add(ids[offset])
-        out.append((int(ids[offset]), offset, np.array(ids, np.int32).tobytes(), len(ids), item))
-    return out, sorted(anchors)
-
-
-def search(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, near: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The index's documents (uid, doc_id, n_words) and the matches (uid, doc_id, item_id, start, length, kind).
+def lookups(windows: list, counted: dict[int, int], least: int) -> dict[int, list]:
+    """rarest term -> windows (item, terms from the rarest on, their offsets, length, terms for proximity) that have it.
 
-    kind is ``phrase``, or ``proximity`` where at least ``near`` terms of a window stand around its rarest term.
+    A window with a term that the corpus lacks has no exact match; it stays for proximity if ``least`` of its terms occur.
     """
-    spark = docs.sparkSession
+    out: dict[int, list] = {}
+    for item, ids in windows:
+        order = sorted((i for i in range(len(ids)) if ids[i] in counted), key=lambda i: (counted[ids[i]], ids[i], i))
+        terms = list(dict.fromkeys(ids[i] for i in order))
+        if len(order) == len(ids) or len(terms) >= least:
+            whole = [(ids[i], i) for i in order] if len(order) == len(ids) else []
+            out.setdefault(ids[order[0]], []).append((item, whole, len(ids), terms))
+    return out
+
+
+def intersected(lists: dict[int, np.ndarray], window: list[tuple[int, int]]) -> np.ndarray:
+    """The starts of the window (term, offset) in a document with these posting lists (term -> rising places)."""
+    starts = np.empty(0, np.int64)
+    for n, (term, offset) in enumerate(window):
+        own = lists.get(term)
+        if own is None:
+            return starts[:0]
+        if not n:
+            starts = own - offset
+        else:
+            at = np.searchsorted(own, starts + offset)
+            starts = starts[own[np.minimum(at, len(own) - 1)] == starts + offset]
+        if not len(starts):
+            break
+    return starts
+
+
+def around(lists: dict[int, np.ndarray], terms: list[int], k: int, least: int) -> np.ndarray:
+    """The places of the first term that have at least ``least`` of the terms within ``k`` - 1 words."""
+    own = lists[terms[0]]
+    n = np.zeros(len(own), np.int64)
+    for left, t in enumerate(terms, 1 - len(terms)):
+        if (of := lists.get(t)) is not None:
+            n += np.searchsorted(of, own + k) > np.searchsorted(of, own - k + 1)
+        if n.max() - left < least:
+            return own[:0]
+    return own[n >= least]
+
+
+def search(texts: DataFrame, benchmark: DataFrame, k: int = WINDOW, near: int | None = NEAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, n_words) of the texts (uid, doc_id, text), and the matches (uid, item_id, start, length, kind) in them.
+
+    kind is ``phrase``, or ``proximity`` where a window has no phrase match in a document but at least ``near`` of its terms stand
+    within ``k`` - 1 words of an occurrence of its rarest term (at ``start``; ``length`` is 1).
+    """
+    spark = texts.sparkSession
     windows = cut(windows_of(benchmark, k))
     blocks = max(1, -(-windows.count() // block))
-    docs_out, found = None, None
+    least, every, found = near or k + 1, None, None
     for i in range(blocks):
-        part = [(r.item_id, r.window) for r in windows.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == i).toLocalIterator()]
+        part = [(r.item_id, r.window) for r in windows.where(F.pmod(F.hash("item_id", "window"), F.lit(blocks)) == i).toLocalIterator()]  # about ``block``
         words = sorted({bytes(w) for _, ws in part for w in ws})
         vocabulary = {w: n for n, w in enumerate(words)}
         sent = spark.sparkContext.broadcast(vocabulary)
-        counted = counts_of(docs, sent)
-        table, anchors = lookups([(item, [vocabulary[bytes(w)] for w in ws]) for item, ws in part], lambda t: counted.get(t, 0), k)
-        indexed = cut(index_of(docs, sent, spark.sparkContext.broadcast(np.array(anchors, np.int64)), k).withColumn("uid", F.monotonically_increasing_id()))
-        looked = spark.createDataFrame(table, "term int, offset int, terms binary, length int, item_id long")
-        postings = indexed.where(F.size("terms") > 0).select("uid", "doc_id", F.explode(F.arrays_zip("terms", "places", "around")).alias("p")).select("uid", "doc_id", F.col("p.terms").alias("anchor"), "p.places", "p.around")
-        # one block of windows: its size is bounded by ``block``
-        pairs = postings.join(F.broadcast(looked), postings["anchor"] == looked["term"])
-        phrase = F.expr(f"substring(around, 4 * ({k - 1} - offset) + 1, 4 * length)") == F.col("terms")
-        hit = pairs.where(phrase) if near is None else pairs.withColumn("shared", shared(F.col("around"), F.col("terms"))).where(phrase | (F.col("shared") >= near))
-        hit = hit.select("uid", "doc_id", "item_id", (F.col("places") - F.col("offset")).alias("start"), "length", F.when(phrase, "phrase").otherwise("proximity").alias("kind"))
-        docs_out, found = docs_out if docs_out is not None else indexed.select("uid", "doc_id", "n_words"), hit if found is None else found.unionByName(hit)
-    return docs_out, found
-
-
-def shared(around, terms):
-    """How many different terms of a window stand in the words around a place."""
-    ints = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), (F.octet_length(c) / 4).cast("int") - 1), lambda i: F.substring(c, i * 4 + 1, F.lit(4))))
-    return F.size(F.array_intersect(ints(around), ints(terms)))
+        table = lookups([(item, [vocabulary[bytes(w)] for w in ws]) for item, ws in part], counts_of(texts, sent), least)
+        index = stored(index_of(texts, sent, spark.sparkContext.broadcast(np.array(sorted(table), np.int64)), k))
+        hit = matches(index.where("terms is not null").select("uid", "terms", "places"), spark.sparkContext.broadcast(table), k, least)
+        every, found = index.select("uid", "doc_id", "n_words") if every is None else every, hit if found is None else found.unionByName(hit)
+    return every, found
+
+
+def matches(index: DataFrame, sent, k: int, least: int) -> DataFrame:
+    """The matches of the windows of one block, by intersecting posting lists."""
+
+    def meet(batches):
+        for b in slices(batches):
+            out = []
+            for uid, terms, places in zip(*(column(b, c) for c in ("uid", "terms", "places")), strict=True):
+                terms, places = np.frombuffer(terms, "<i4"), np.frombuffer(places, "<i4").astype(np.int64)
+                order = np.argsort(terms, kind="stable")
+                kinds, first = np.unique(terms[order], return_index=True)
+                lists = dict(zip(kinds.tolist(), np.split(places[order], first[1:]), strict=True))
+                for term in lists.keys() & sent.value.keys():
+                    for item, window, length, distinct in sent.value[term]:
+                        starts = intersected(lists, window)
+                        out += [(uid, item, s, length, "phrase") for s in starts.tolist()]
+                        if not len(starts) and len(distinct) >= least:
+                            out += [(uid, item, s, 1, "proximity") for s in around(lists, distinct, k, least).tolist()]
+            for i in range(0, len(out), 50_000):
+                yield rows(MATCHES, list(zip(*out[i : i + 50_000], strict=True)))
+
+    return index.mapInArrow(meet, "uid long, item_id long, start long, length long, kind string")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document."""
-    return judged(docs, benchmark, k).drop("uid")
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items) of each document.
+
+    ``n_near_items``: items with a proximity match and without a phrase match.
+    """
+    return judged(numbered_texts(docs), benchmark, k).drop("uid")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """The report's rows with ``uid``, the number of the row."""
-    every, found = search(docs, benchmark, k)
-    found = cut(found.select("uid", "item_id", "start", "length").distinct())
+def judged(texts: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
+    """The report's rows with ``uid``, for numbered texts (uid, doc_id, text)."""
+    every, found = search(texts, benchmark, k)
+    found = cut(found)
+    exact = found.where("kind = 'phrase'")
     order = Window.partitionBy("uid").orderBy("start", "length")
     before = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.select("uid", "start", "length").distinct().withColumn("new", F.col("start") + F.col("length") - F.greatest("start", F.coalesce(before, F.lit(0))))
+    spans = exact.select("uid", "start", "length").distinct().withColumn("new", F.col("start") + F.col("length") - F.greatest("start", F.coalesce(before, F.lit(0))))
     hit = spans.groupBy("uid").agg(F.sum(F.greatest("new", F.lit(0))).cast("long").alias("n_hit"))
-    items = found.select("uid", F.col("item_id").cast("string").alias("item")).distinct().groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = every.join(hit.join(items, "uid"), "uid", "left")
+    of_item = found.groupBy("uid", F.col("item_id").cast("string").alias("item")).agg(F.max(F.col("kind") == "phrase").alias("exact"))
+    items = of_item.groupBy("uid").agg(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if(~F.col("exact")).alias("n_near_items"))
+    out = every.join(items.join(hit, "uid", "left"), "uid", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    contaminated = (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+    return out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), contaminated.alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated rows; rows without an id, or with the same one, are judged each by its own text."""
-    bad = judged(docs, benchmark, k).where("contaminated").select(F.col("uid").alias("uid_of_row"))
-    return docs.withColumn("uid_of_row", F.monotonically_increasing_id()).join(bad, "uid_of_row", "left_anti").select(*docs.columns)
+    every, uid = numbered(docs)
+    bad = judged(texts_of(every, uid), benchmark, k).where("contaminated").select(F.col("uid").alias(uid))
+    return every.join(bad, uid, "left_anti").select(*docs.columns)

@@ -125,13 +125,13 @@ def test_near_duplicates_are_exact(spark, seed):
     assert got == joined(texts)
 
 
-@pytest.mark.parametrize("boundary,few,merged", [(200, 4, 4), (8, 2, 4), (8, 2, 1), (60, 2, 0)])
-def test_light_subsets_and_long_lists(spark, monkeypatch, boundary, few, merged):
+@pytest.mark.parametrize("boundary,few,each", [(200, 4, 16), (8, 2, 0), (60, 2, 1)])
+def test_light_subsets_and_long_lists(spark, monkeypatch, boundary, few, each):
     """The same classes when nearly all sets are light, when all are heavy, and when lists of three go by pivots."""
     texts = near_copies(random.Random(3))
     monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes: boundary)
     monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    monkeypatch.setattr(ngram_join, "EACH", each)
     assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
 
 
@@ -140,6 +140,7 @@ def test_large_groups_of_near_copies(spark, monkeypatch, shape):
     """Groups of which many do not link with each other: copies with 0 to 9 changes, cut copies, and a chain."""
     rng = random.Random(14)
     monkeypatch.setattr(ngram_join, "boundary_of", lambda nodes: 9)
+    monkeypatch.setattr(ngram_join, "EACH", 1)
     base = words(150, rng, 10**6)
     texts = []
     for i in range(60):
@@ -272,7 +273,7 @@ def test_repeats_of_odd_rows(odd, empty):
 
 def test_repeated_lines_are_those_of_the_sql(spark):
     rng = random.Random(8)
-    lines = [" ".join(words(rng.choice((1, 3, 14)), rng)) for _ in range(30)] + ["", "  "]
+    lines = [" ".join(words(rng.choice((1, 3, 4, 5, 14)), rng)) for _ in range(30)] + ["", "  "]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(12)))) for i in range(80)] + [(900, None), (901, "")]
     got = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     con = duckdb.connect()
@@ -325,19 +326,51 @@ def contaminated(texts, items, k=13):
 
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_contamination_is_exact(spark, block, monkeypatch):
-    monkeypatch.setattr(decontaminate.search, "__defaults__", (decontaminate.WINDOW, None, block))
+    monkeypatch.setattr(decontaminate.search, "__defaults__", (decontaminate.WINDOW, decontaminate.NEAR, block))
     rng = random.Random(9)
     items = [(i, " ".join(words(rng.choice((2, 5, 13, 20, 40)), rng, 60))) for i in range(12)] + [(50, None), (51, " ... "), (52, "Zebra")]
     texts = [" ".join([*words(rng.randrange(40), rng, 60), *(rng.choice(items)[1] or "").upper().split(), *words(rng.randrange(300), rng, 60)]) for _ in range(40)] + [None, "", "zebra-ZEBRA"]
     got = decontaminate.report(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(map(tuple, got.collect())) == contaminated(texts, items)
+    assert sorted(tuple(r)[:6] for r in got.collect()) == contaminated(texts, items)
+
+
+def near_places(text, item, k=13, least=10):
+    """Whether some window of the item has no place in the text but ``least`` of its terms around its rarest term."""
+    w, v = text.split(), item.split()
+    n = Counter(w)
+    for s in range(max(1, len(v) - k + 1)):
+        window = v[s : s + k]
+        if any(w[p : p + len(window)] == window for p in range(len(w))):
+            continue
+        known = [x for x in window if n[x]]
+        if known:
+            # ties are broken by the order of the words
+            rarest = min(known, key=lambda x: (n[x], x))
+            if any(len(set(window) & set(w[max(0, p - k + 1) : p + k])) >= least for p in range(len(w)) if w[p] == rarest):
+                return True
+    return False
 
 
 def test_proximity(spark):
-    item = [(1, " ".join(f"t{i}" for i in range(13)))]
-    text = " ".join(["x"] * 5 + [f"t{i}" for i in range(6)] + ["gap"] + [f"t{i}" for i in range(6, 13)])
-    _, found = decontaminate.search(frame(spark, [text, "t0 and t5"]), spark.createDataFrame(item, "item_id long, text string"), near=10)
-    assert {(r.doc_id, r.kind) for r in found.collect()} == {(1, "proximity")}
+    rng = random.Random(21)
+    item = [f"t{i:02d}" for i in range(20)]
+    texts = [" ".join(["x"] * 5 + item[:6] + ["gap"] + item[6:13]), "t00 and t05", " ".join(item)]
+    for _ in range(25):
+        w = list(item)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = rng.choice([*item, "y", "z"])
+        texts.append(" ".join(w))
+    for text in texts:
+        found = decontaminate.report(frame(spark, [text]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).first()
+        exact = contaminated([text], [(1, " ".join(item))])[0][3]
+        assert found.n_near_items == int(near_places(text, " ".join(item)) and not exact), text
+
+
+def test_one_item_of_many_windows_lies_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.search, "__defaults__", (decontaminate.WINDOW, decontaminate.NEAR, 5))
+    item = " ".join(f"q{i}" for i in range(40))
+    got = decontaminate.report(frame(spark, [item]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (got.n_hit, got.n_items, got.n_near_items) == (40, 1, 0)
 
 
 def test_contamination_of_odd_rows(spark, odd, empty):
