@@ -2,14 +2,16 @@
 
 From labelled texts (never those held out), Spark counts in how many toxic and clean texts each word and each word
 beginning stands, and in how many different contexts. Those that mark toxic texts form the lexicon, kept as a trie.
-Each token of a text is looked up by the trie of beginnings, and else its Levenshtein automaton (one edit) is run
-against the trie of words, so misspelled terms are found. The window around a hit tells quotation from abuse: quotation marks
+Each token of a text is looked up among the terms, and else its Levenshtein automaton (one edit) is run against the trie of
+words and beginnings, so misspelled terms and misspelled inflections are found. A beginning is matched with an edit only if
+that speaks for toxic texts in the sample as well. The window around a hit tells quotation from abuse: quotation marks
 around it and words of saying before it move its weight from abuse to quotation. A logistic regression of the summed
 weights gives the score.
 
 Defined results: null and empty texts score as texts without a hit; repeated rows are scored each for itself; labels
-of null or of several values for one id count as their largest; without labels nothing is in the lexicon and all score
-0; columns besides doc_id and text are not read.
+of null do not count, and of several values for one id the largest does; equal scores are possible and equal texts have
+them; without labels nothing is in the lexicon and all score 0; an empty table stays empty; columns besides doc_id and text
+(and the label) are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import MEMO_LIMIT, column, cut, rows, slices
 
-#: Labelled rows (of the least hash) that lexicon and weights are learned from at most; lexicon terms at most.
-SAMPLE, TERMS = 20_000, 4_000
+#: Labelled rows (of the least hash) that lexicon and weights are learned from at most. What is learned is bounded by them.
+SAMPLE = 20_000
 #: A term must stand in so many toxic texts and contexts, and in at most this share of clean texts among its texts.
 SUPPORT, IMPURE = 6, 0.02
 #: Lengths of word beginnings; shortest term that may be misspelled; tokens of the context window.
@@ -56,7 +58,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(known), "doc_id")  # at most SAMPLE rows
-    return cut(texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"]).drop("digest"))
+    once = texts.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["digest"])
+    return cut(once.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(SAMPLE).drop("digest"))  # an id may have many texts
 
 
 def count_terms(sample: DataFrame) -> DataFrame:
@@ -106,10 +109,10 @@ def contexts_of(sample: DataFrame, sent) -> DataFrame:
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """(word beginnings, words) that mark toxic texts; a beginning stands for all words that start with it."""
     pure = count_terms(sample).where((F.col("toxic") >= SUPPORT) & (F.col("clean") <= IMPURE * (F.col("toxic") + F.col("clean"))))
-    top = pure.orderBy(F.desc("toxic"), "term", "word").limit(TERMS).collect()
+    top = pure.orderBy(F.desc("toxic"), "term", "word").collect()  # terms of the sample
     if not top:
         return [], []
-    wanted = sample.sparkSession.sparkContext.broadcast({(r.term, r.word) for r in top})  # at most TERMS terms
+    wanted = sample.sparkSession.sparkContext.broadcast({(r.term, r.word) for r in top})
     seen = {(r.term, r.word): r.contexts for r in contexts_of(sample, wanted).collect()}
     good = [(r.term, r.word) for r in top if seen.get((r.term, r.word), 0) >= max(SUPPORT, r.toxic // 2)]
     stems: set[str] = set()
@@ -119,25 +122,45 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     return sorted(stems), sorted(t for t, word in good if word)
 
 
+def fuzzy_stems(sample: DataFrame, stems: list[str], words: list[str]) -> list[str]:
+    """The beginnings whose misspelled forms mark toxic texts of the sample no less than the beginnings themselves."""
+    sent = sample.sparkSession.sparkContext.broadcast((stems, words))
+
+    def count(batches):
+        lexicon, counts = Lexicon(*sent.value, sent.value[0]), {}
+        exact = Lexicon(*sent.value)
+        for b in slices(batches):
+            for text, label in zip(column(b, "text"), column(b, "label"), strict=True):
+                tokens = {t.strip(_EDGES) for t in text.lower().split()}
+                for stem in {s for t in tokens if not exact[t] and lexicon.near(t) for s in lexicon.trie.within_one_edit(t) if s in lexicon.stems}:
+                    counts.setdefault(stem, [0, 0])[1 if label == 1 else 0] += 1
+        yield rows(TERM, [list(counts), [False] * len(counts), [n[1] for n in counts.values()], [n[0] for n in counts.values()]])
+
+    found = sample.select("text", "label").mapInArrow(count, "term string, word boolean, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    bad = {r.term for r in found.where(F.col("clean") > IMPURE * (F.col("toxic") + F.col("clean"))).collect()}  # terms of the sample
+    return [s for s in stems if s not in bad]
+
+
 class Trie:
-    """Characters -> nodes; the empty string as a key marks the end of a word."""
+    """Characters -> nodes; the empty string as a key holds the terms that end there, with whether they are whole words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], beginnings: list[str] = ()):
         self.root: dict = {}
-        for w in words:
+        for w, whole in [*((w, True) for w in words), *((w, False) for w in beginnings)]:
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = True
+            node.setdefault("", []).append((w, whole))
 
-    def within_one_edit(self, token: str) -> bool:
-        """Whether the token's Levenshtein automaton for one edit and the trie accept a word in common."""
-        n = len(token)
+    def within_one_edit(self, token: str) -> list[str]:
+        """The words, and the beginnings of words, that the token's Levenshtein automaton for one edit and the trie accept."""
+        n, out = len(token), []
         todo = [(self.root, ((0, 0),))]  # states: (read characters of the token, edits)
         while todo:
             node, states = todo.pop()
-            if "" in node and any(n - i + e <= 1 for i, e in states):
-                return True
+            for term, whole in node.get("", ()):
+                if not whole or any(n - i + e <= 1 for i, e in states):
+                    out.append(term)
             for c, below in node.items():
                 if not c:
                     continue
@@ -153,17 +176,17 @@ class Trie:
                                 after.add((i + 2, 1))  # the token has a character more
                 if after:
                     todo.append((below, tuple(after)))
-        return False
+        return out
 
 
 class Lexicon(dict):
     """raw token -> 0 (no term), 1 (a term) or 2 (a misspelled term)."""
 
-    def __init__(self, stems: list[str], words: list[str]):
+    def __init__(self, stems: list[str], words: list[str], fuzzy: list[str] = ()):
         self.stems, self.words = set(stems), set(words)
-        long = [w for w in words if len(w) >= FUZZY]
-        self.trie = Trie(long)
-        self.heads, self.tails = {w[:2] for w in long}, {w[2:5] for w in long}
+        long, begin = ([w for w in ws if len(w) >= FUZZY] for ws in (words, fuzzy))
+        self.trie = Trie(long, begin)
+        self.heads, self.tails = {w[:2] for w in (*long, *begin)}, {w[2:5] for w in (*long, *begin)}
 
     def __missing__(self, raw: str) -> int:
         if len(self) > MEMO_LIMIT:
@@ -171,15 +194,14 @@ class Lexicon(dict):
         kind = self[raw] = self.kind(raw.strip(_EDGES))
         return kind
 
+    def near(self, t: str) -> bool:
+        """Whether one edit may make a term of the token: it leaves the first two characters of the term, or the next three, as they are."""
+        return len(t) >= FUZZY - 1 and (t[:2] in self.heads or t[1:4] in self.tails or t[2:5] in self.tails or t[3:6] in self.tails)
+
     def kind(self, t: str) -> int:
         if t in self.words or any(t[:n] in self.stems for n in range(STEM[0], min(STEM[1], len(t)) + 1)):
             return 1
-        if not FUZZY - 1 <= len(t) <= 40:
-            return 0
-        # One edit leaves the first two characters, or the next three, of the word as they are.
-        if t[:2] in self.heads or t[1:4] in self.tails or t[2:5] in self.tails or t[3:6] in self.tails:
-            return 2 * self.trie.within_one_edit(t)
-        return 0
+        return 2 if self.near(t) and self.trie.within_one_edit(t) else 0
 
 
 def quotation(tokens: list[str], i: int) -> float:
@@ -203,16 +225,18 @@ def found_in(text: str | None, lexicon: Lexicon) -> tuple:
     return (*(math.log1p(x) for pair in sums for x in pair), math.log1p(100 * len(hits) / max(50, len(tokens))), len(hits))
 
 
-def features(docs: DataFrame, stems: list[str], words: list[str]) -> DataFrame:
-    """(doc_id, *FEATURES, n_terms) of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast((stems, words))  # at most TERMS terms
+def features(docs: DataFrame, terms: tuple[list[str], list[str], list[str]], *keep: str) -> DataFrame:
+    """(doc_id, *FEATURES, n_terms) of every whole text, and the columns to ``keep`` (of integers)."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample they were learned from
+    schema = pa.schema([*FOUND, *((c, pa.int64()) for c in keep)])
 
     def find(batches):
         lexicon = Lexicon(*sent.value)
         for b in slices(batches):
-            yield rows(FOUND, [b.column(0), *zip(*(found_in(t, lexicon) for t in column(b, "text")), strict=True)])
+            yield rows(schema, [b.column(0), *zip(*(found_in(t, lexicon) for t in column(b, "text")), strict=True), *b.columns[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, ", ".join(["doc_id long", *(f"{c} double" for c in FEATURES), "n_terms long"]))
+    kinds = ", ".join(["doc_id long", *(f"{c} double" for c in FEATURES), "n_terms long", *(f"{c} long" for c in keep)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).cast("long").alias(c) for c in keep)).mapInArrow(find, kinds)
 
 
 #: Weights before any row is seen, and how strongly they hold: hits speak for toxicity, quoted ones less.
@@ -236,9 +260,10 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataFram
     """(doc_id, held_out, score, predicted, n_terms) of each document."""
     sample = training_rows(docs, labels, target)
     stems, words = learn_lexicon(sample)
-    got = features(sample, stems, words).join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").collect()  # at most SAMPLE rows and their repeats
+    terms = (stems, words, fuzzy_stems(sample, stems, words))
+    got = features(sample, terms, "label").orderBy("doc_id", *FEATURES, "label").collect()  # at most SAMPLE rows
     x, y = np.array([[r[c] for c in FEATURES] for r in got]).reshape(-1, len(FEATURES)), np.array([float(r["label"] == 1) for r in got])
-    found = features(docs, stems, words)
+    found = features(docs, terms)
     if not len(got):
         p = F.lit(0.0)
     else:
