@@ -23,17 +23,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, mix, rows, slices
-from .sieve import passes, sieve
+from .common import Scratch, column, cut, join_counted, mix, numbered_texts, raw, rows, slices
+from .sieve import KEPT, buckets_for, packed, passes, repeated, sieve
 
 LENGTH, TRIGGER = 100, 32
 REACH = LENGTH - TRIGGER + 1
 #: Phrases of one trigger that are compared side by side.
 FEW = 16
+#: Stands for a missing doc_id, before all others.
+NO_ID = -(1 << 62)
 #: Window starts of a long text that are worked on at once.
 BLOCK = 1 << 19
 
@@ -41,7 +42,6 @@ _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _STEPS = np.random.default_rng(20240301).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 PHRASES = pa.schema([("trigger", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("span", pa.int64())])
-COUNTS = pa.schema([("trigger", pa.int64()), ("n", pa.int64())])
 EXPANDED = pa.schema([("trigger", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 SPANS = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -97,32 +97,28 @@ def parts(span):
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """(id, row, text); ``row`` tells rows of the same id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    """(id, row, packed), written once: ``row`` tells rows of the same id apart."""
+    return numbered_texts(docs).select(F.col("doc_id").alias("id"), F.col("uid").alias("row"), "packed")
 
 
-def trigger_counts(texts: DataFrame) -> DataFrame:
-    """(trigger, n): how often the upper 48 bits of each trigger stand; more than once is a hint only."""
+def repeated_triggers(texts: DataFrame) -> DataFrame:
+    """(key): the upper bits of the hashes of triggers that stand twice; a hint only."""
+    buckets = buckets_for(texts)
+
     def count(batches):
         held, size = [], 0
-
-        def flush():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(found), 100_000):
-                yield rows(COUNTS, [signed(found[i : i + 100_000]), n[i : i + 100_000]])
-
         for b in slices(batches):
-            for text in column(b, "text"):
-                for _, h, _, _, _, place in parse(text.encode("utf-8", "replace")):
-                    held.append(h[place] >> np.uint64(16))
+            for text in column(b, "packed"):
+                for _, h, _, _, _, place in parse(raw(text)):
+                    held.append(h[place])
                     size += len(place)
             if size > 1_000_000:
-                yield from flush()
+                yield from packed(np.concatenate(held), buckets)
                 held, size = [], 0
         if size:
-            yield from flush()
+            yield from packed(np.concatenate(held), buckets)
 
-    return texts.select("text").mapInArrow(count, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
+    return repeated(texts.select("packed").mapInArrow(count, "bucket long, keys binary"))
 
 
 def phrases(texts: DataFrame, bitmap) -> DataFrame:
@@ -131,14 +127,14 @@ def phrases(texts: DataFrame, bitmap) -> DataFrame:
     def find(batches):
         for b in slices(batches):
             out, size = [], 0
-            for i, row, text in zip(*(column(b, c) for c in ("id", "row", "text")), strict=True):
-                for at, h, window, lo, hi, place in parse(text.encode("utf-8", "replace")):
-                    k = np.flatnonzero(passes(bitmap.value, signed(h[place] >> np.uint64(16))))
+            for i, row, text in zip(*(column(b, c) for c in ("id", "row", "packed")), strict=True):
+                for at, h, window, lo, hi, place in parse(raw(text)):
+                    k = np.flatnonzero(passes(bitmap.value, h[place] >> np.uint64(64 - KEPT)))
                     if not len(k):
                         continue
                     lo, hi, place = lo[k], hi[k], place[k]
                     key = mix(mix(window[lo] + np.uint64(7) * window[hi]) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
-                    out.append((signed(h[place]), signed(key), np.full(len(k), -1 if i is None else i), np.full(len(k), row), packed_span(lo + at, hi + at, place + at)))
+                    out.append((signed(h[place]), signed(key), np.full(len(k), NO_ID if i is None else i), np.full(len(k), row), packed_span(lo + at, hi + at, place + at)))
                     size += len(k)
             if out:
                 whole = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -151,7 +147,7 @@ def phrases(texts: DataFrame, bitmap) -> DataFrame:
 def with_lists(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts with their wanted phrases."""
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("trigger", "span", (F.col("phrases") <= FEW).alias("few"))).alias("ranges"))
-    return texts.select(F.coalesce("id", F.lit(-1)).alias("id"), "row", "packed").join(lists, "row").select("id", "row", "packed", "ranges")
+    return texts.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row", "packed").join(lists, "row").select("id", "row", "packed", "ranges")
 
 
 def expanded(listed: DataFrame, side: bool) -> DataFrame:
@@ -164,16 +160,16 @@ def expanded(listed: DataFrame, side: bool) -> DataFrame:
         for b in slices(batches, 64):
             ranges_of, out, many = b.column(b.schema.get_field_index("ranges")), [], []
             for j, (i, row, packed) in enumerate(zip(*(column(b, c) for c in ("id", "row", "packed")), strict=True)):
-                raw = zstandard.decompress(packed)
+                text = raw(packed)
                 r = ranges_of[j].values
                 trigger, span, few = r.field(0).to_numpy(), r.field(1).to_numpy(), r.field(2).to_numpy(zero_copy_only=False)
                 lo, hi, place = parts(span)
                 for k in np.flatnonzero(few) if side else ():
                     p = int(place[k])
-                    out.append((int(trigger[k]), None, i, row, p, int(span[k]), raw[max(0, p - REACH + 1) : p][::-1], raw[p + TRIGGER : p + LENGTH]))
+                    out.append((int(trigger[k]), None, i, row, p, int(span[k]), text[max(0, p - REACH + 1) : p][::-1], text[p + TRIGGER : p + LENGTH]))
                 trigger, lo, hi = trigger[~few], lo[~few], hi[~few]
-                for at in range(0, len(raw) - LENGTH + 1 if len(lo) and not side else 0, BLOCK):
-                    _, window = hashes(np.frombuffer(raw, np.uint8)[at : at + BLOCK + LENGTH - 1])
+                for at in range(0, len(text) - LENGTH + 1 if len(lo) and not side else 0, BLOCK):
+                    _, window = hashes(np.frombuffer(text, np.uint8)[at : at + BLOCK + LENGTH - 1])
                     k = np.flatnonzero((lo >= at) & (lo < at + len(window)))
                     if len(k):
                         n = hi[k] - lo[k] + 1
@@ -224,37 +220,42 @@ def side_by_side(found: DataFrame) -> DataFrame:
 
 
 def with_bits(texts: DataFrame, bitmap) -> DataFrame:
-    """The texts, zstd-packed, whose row may be among those of the bitmap."""
+    """The texts whose row may be among those of the bitmap."""
 
     def keep(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in slices(batches):
-            b = b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.encode("utf-8", "replace")) for t in column(b, "text")], pa.binary())], names=["id", "row", "packed"])
+        for b in batches:
+            yield b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy())))
 
     return texts.mapInArrow(keep, "id long, row long, packed binary")
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, row, text) and the repeats (row, lo, hi): every window that starts in lo..hi is a repeat."""
-    texts = texts_of(docs)
-    repeated = trigger_counts(texts).where("n > 1")
-    found = phrases(texts, sieve(repeated, "trigger"))
+def with_keys(found: DataFrame, bitmap) -> DataFrame:
+    """The phrases whose key may be among those of the bitmap."""
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(passes(bitmap.value, b.column(1).to_numpy())))
+
+    return found.select("trigger", "key", "row", "span").mapInArrow(keep, "trigger long, key long, row long, span long")
+
+
+def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The repeats (row, lo, hi) in the texts (id, row, packed): every window that starts in lo..hi is a repeat."""
+    found = scratch.keep(phrases(texts, sieve(cut(repeated_triggers(texts)), "key")))
     # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
-    dictionary = found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n"))
-    dictionary = cut(dictionary.select("trigger", "key", "first.*", "n"))
-    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
-    later = found.select("trigger", "key", "row", "span").join(firsts, ["trigger", "key"]).where("row <> first_row or span <> first_span")
+    dictionary = scratch.keep(found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n")).select("trigger", "key", "first.*", "n"))
+    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"), "n")
+    later = join_counted(with_keys(found, sieve(firsts, "key")), firsts, "trigger", "key", size="n").where("row <> first_row or span <> first_span")
     later = later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi"))
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
-    wanted = cut(dictionary.select("trigger", "row", "span").join(several, "trigger"))
+    wanted = scratch.keep(dictionary.select("trigger", "row", "span").join(several, "trigger"))
     # Suffixes of the dictionary's phrases that share a trigger.
     listed = with_lists(with_bits(texts, sieve(wanted, "row")), wanted)  # both branches read the same shuffle
     beside = side_by_side(expanded(listed, True))
     single = expanded(listed, False).select("trigger", "window", "id", "row", "place")
     first = single.groupBy("trigger", "window").agg(F.min(F.struct("id", "row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     more = single.join(first.select("trigger", "window", "first"), ["trigger", "window"]).where("row <> first.row or place <> first.place")
-    return texts, later.unionByName(beside).unionByName(more.select("row", F.col("place").alias("lo"), F.col("place").alias("hi")))
+    return later.unionByName(beside).unionByName(more.select("row", F.col("place").alias("lo"), F.col("place").alias("hi")))
 
 
 def runs(repeats: DataFrame) -> DataFrame:
@@ -279,28 +280,29 @@ def runs(repeats: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    texts, repeats = spans(docs)
-    marks = cut(runs(repeats))
+    texts = texts_of(docs)
+    with Scratch(docs.sparkSession) as scratch:
+        marks = cut(runs(spans(texts, scratch)))
     bitmap = sieve(marks, "row")
 
     def strike(batches):
         for b in slices(batches):
             out = []
             for i, packed, found in zip(*(column(b, c) for c in ("id", "packed", "runs")), strict=True):
-                raw, kept, at = zstandard.decompress(packed), [], 0
+                text, kept, at = raw(packed), [], 0
                 own = np.frombuffer(found or b"", "<i8").reshape(-1, 2).tolist()
                 for lo, end in own:
-                    kept.append(raw[at:lo])
+                    kept.append(text[at:lo])
                     at = end
-                rest = b"".join([*kept, raw[at:]])
-                out.append((i, len(raw), len(raw) - len(rest), len(own), hashlib.sha256(rest).hexdigest()))
+                rest = b"".join([*kept, text[at:]])
+                out.append((i, len(text), len(text) - len(rest), len(own), hashlib.sha256(rest).hexdigest()))
             yield rows(RESULT, list(zip(*out, strict=True)) or [[] for _ in RESULT])
 
     def whole(batches):
         for b in slices(batches):
             b = b.filter(pa.array(~passes(bitmap.value, b.column(1).to_numpy())))
-            raw = [t.encode("utf-8", "replace") for t in column(b, "text")]
-            yield rows(RESULT, [b.column(0), [len(x) for x in raw], [0] * len(raw), [0] * len(raw), [hashlib.sha256(x).hexdigest() for x in raw]])
+            texts = list(map(raw, column(b, "packed")))
+            yield rows(RESULT, [b.column(0), [len(x) for x in texts], [0] * len(texts), [0] * len(texts), [hashlib.sha256(x).hexdigest() for x in texts]])
 
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     touched = with_bits(texts, bitmap).join(marks, "row", "left").select("id", "packed", "runs")
