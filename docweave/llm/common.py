@@ -8,8 +8,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: Entries that a worker's memo of words keeps before it starts anew.
 MEMO_LIMIT = 100_000
@@ -48,32 +50,81 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there: packed better than a checkpoint, for wide rows."""
-    folder = shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+class Scratch:
+    """Frames that are written to the shared folder and go at the end of a ``with`` block.
+
+    Columnar files pack rows of numbers better than a checkpoint. What a returned frame still reads must not lie here.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_folder(spark), 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        remove_folder(self.spark, self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+
+_press, _unpress = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+
+def press(text: str | None) -> bytes | None:
+    return None if text is None else _press(text.encode("utf-8", "replace"))
+
+
+def raw(packed: bytes | None) -> bytes:
+    """The UTF-8 of a packed text; a null one counts as empty."""
+    return b"" if packed is None else _unpress(packed)
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a number for each row, and the name of that column, which no other column has.
+    """``df`` with its text packed (zstd) and a number for each row, and the name of that column, which no other column has.
 
-    The rows are written once, so every later read sees the same numbers, however the plan that made ``df`` deals its rows.
+    The rows are written once (a checkpoint), so every later read sees the same numbers, however the plan that made
+    ``df`` deals its rows.
     """
-    name, taken = "uid", {c.lower() for c in df.columns}
+    name, taken, at = "uid", {c.lower() for c in df.columns}, df.columns.index("text")
     while name in taken:
         name = f"_{name}"
-    return stored(df.withColumn(name, F.monotonically_increasing_id())), name
+    fields = df.schema.fields
+    schema = StructType([StructField(name, LongType()), *fields[:at], StructField("text", BinaryType()), *fields[at + 1 :]])
+
+    def pack(batches):
+        for b in slices(batches):
+            columns = list(b.columns)
+            columns[at + 1] = pa.array(map(press, columns[at + 1].to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return cut(df.select(F.monotonically_increasing_id().alias(name), F.col("*")).mapInArrow(pack, schema)), name
+
+
+def unpacked(every: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of ``numbered`` as they were, without the number."""
+    at = schema.names.index("text")
+
+    def unpack(batches):
+        for b in slices(batches):
+            columns = list(b.columns)
+            columns[at] = pa.array([None if t is None else _unpress(t).decode() for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return every.select(*schema.names).mapInArrow(unpack, schema)
 
 
 def numbered_texts(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text) of every row; see ``numbered``."""
-    return numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))[0]
+    """(uid, doc_id, packed) of every row; see ``numbered``."""
+    return texts_of(*numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
 
 
 def texts_of(rows: DataFrame, uid: str) -> DataFrame:
-    """(uid, doc_id, text) of ``numbered`` rows."""
-    return rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(uid, doc_id, packed) of ``numbered`` rows."""
+    return rows.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("packed"))
 
 
 def join_counted(left: DataFrame, right: DataFrame, *on: str, size: str = "size", parts: int = 1_000) -> DataFrame:
@@ -126,9 +177,9 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def alnum_words(text: str | None) -> list[bytes]:
-    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text after A-Z are lower-cased, as UTF-8."""
-    return text.encode("utf-8", "replace").translate(ALNUM).split() if text else []
+def alnum_words(text: str | bytes | None) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text (or its UTF-8) after A-Z are lower-cased, as UTF-8."""
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).translate(ALNUM).split() if text else []
 
 
 def blank_words(text: str | None) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, alnum_words, column, cut, numbered, numbered_texts, rows, slices, stored, texts_of
+from .common import MEMO_LIMIT, alnum_words, column, cut, numbered, numbered_texts, raw, rows, slices, texts_of, unpacked
 
 #: Words of a window; windows that are looked up at once; terms of a window that make a proximity match.
 WINDOW, BLOCK, NEAR = 13, 200_000, 10
@@ -43,7 +43,7 @@ class Numbers(dict):
         n = self[word] = self.vocabulary.get(word, -1)
         return n
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: bytes) -> np.ndarray:
         words = alnum_words(text)
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
@@ -67,13 +67,13 @@ def counts_of(docs: DataFrame, sent) -> dict[int, int]:
     def count(batches):
         numbers, total = Numbers(sent.value), np.zeros(len(sent.value), np.int64)
         for b in slices(batches):
-            for t in column(b, "text"):
-                ids = numbers.of(t)
+            for t in column(b, "packed"):
+                ids = numbers.of(raw(t))
                 np.add.at(total, ids[ids >= 0], 1)
         found = np.flatnonzero(total)
         yield rows(COUNTS, [found.astype(np.int32), total[found]])
 
-    return {r.term: r.n for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return {r.term: r.n for r in docs.select("packed").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
 def index_of(texts: DataFrame, sent, anchors, k: int) -> DataFrame:
@@ -85,8 +85,8 @@ def index_of(texts: DataFrame, sent, anchors, k: int) -> DataFrame:
         wanted[anchors.value] = True  # the last entry stands for -1, no term
         for b in slices(batches):
             out = []
-            for uid, doc, text in zip(*(column(b, c) for c in ("uid", "doc_id", "text")), strict=True):
-                ids = numbers.of(text)
+            for uid, doc, text in zip(*(column(b, c) for c in ("uid", "doc_id", "packed")), strict=True):
+                ids = numbers.of(raw(text))
                 at = np.flatnonzero(wanted[ids])
                 if not len(at):
                     out.append((uid, doc, len(ids), None, None))
@@ -99,7 +99,7 @@ def index_of(texts: DataFrame, sent, anchors, k: int) -> DataFrame:
             for i in range(0, len(out), 512):
                 yield rows(INDEX, list(zip(*out[i : i + 512], strict=True)))
 
-    return texts.select("uid", "doc_id", "text").mapInArrow(post, "uid long, doc_id long, n_words long, terms binary, places binary")
+    return texts.select("uid", "doc_id", "packed").mapInArrow(post, "uid long, doc_id long, n_words long, terms binary, places binary")
 
 
 def lookups(windows: list, counted: dict[int, int], least: int) -> dict[int, list]:
@@ -147,7 +147,7 @@ def around(lists: dict[int, np.ndarray], terms: list[int], k: int, least: int) -
 
 
 def search(texts: DataFrame, benchmark: DataFrame, k: int = WINDOW, near: int | None = NEAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(uid, doc_id, n_words) of the texts (uid, doc_id, text), and the matches (uid, item_id, start, length, kind) in them.
+    """(uid, doc_id, n_words) of the texts (uid, doc_id, packed), and the matches (uid, item_id, start, length, kind) in them.
 
     kind is ``phrase``, or ``proximity`` where a window has no phrase match in a document but at least ``near`` of its terms stand
     within ``k`` - 1 words of an occurrence of its rarest term (at ``start``; ``length`` is 1).
@@ -162,7 +162,7 @@ def search(texts: DataFrame, benchmark: DataFrame, k: int = WINDOW, near: int |
         vocabulary = {w: n for n, w in enumerate(words)}
         sent = spark.sparkContext.broadcast(vocabulary)
         table = lookups([(item, [vocabulary[bytes(w)] for w in ws]) for item, ws in part], counts_of(texts, sent), least)
-        index = stored(index_of(texts, sent, spark.sparkContext.broadcast(np.array(sorted(table), np.int64)), k))
+        index = cut(index_of(texts, sent, spark.sparkContext.broadcast(np.array(sorted(table), np.int64)), k))
         hit = matches(index.where("terms is not null").select("uid", "terms", "places"), spark.sparkContext.broadcast(table), k, least)
         every, found = index.select("uid", "doc_id", "n_words") if every is None else every, hit if found is None else found.unionByName(hit)
     return every, found
@@ -200,7 +200,7 @@ def report(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
 
 
 def judged(texts: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
-    """The report's rows with ``uid``, for numbered texts (uid, doc_id, text)."""
+    """The report's rows with ``uid``, for numbered texts (uid, doc_id, packed)."""
     every, found = search(texts, benchmark, k)
     found = cut(found)
     exact = found.where("kind = 'phrase'")
@@ -220,4 +220,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW) -> DataFrame:
     """``docs`` without the contaminated rows; rows without an id, or with the same one, are judged each by its own text."""
     every, uid = numbered(docs)
     bad = judged(texts_of(every, uid), benchmark, k).where("contaminated").select(F.col("uid").alias(uid))
-    return every.join(bad, uid, "left_anti").select(*docs.columns)
+    return unpacked(every.join(bad, uid, "left_anti"), docs.schema)

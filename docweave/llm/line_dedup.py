@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, join_counted, numbered, numbered_texts, rows, slices, texts_of
+from .common import column, cut, join_counted, numbered, raw, rows, slices, texts_of
 
 MIN_LINES, MIN_WORDS = 2, 5
 
@@ -31,27 +31,27 @@ LINES = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), (
 WHERE = ["id", "row", "k"]
 
 
-def has_words(line: str) -> bool:
-    return bool(line.strip(" \t\n\r\x0b\x0c"))
+def has_words(line: bytes) -> bool:
+    return bool(line.strip(b" \t\n\r\x0b\x0c"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """(id, row, k, line, words) of (uid, doc_id, text): k counts the lines with words, ``line`` is a 64-bit hash."""
+    """(id, row, k, line, words) of (uid, doc_id, packed): k counts the lines with words, ``line`` is a 64-bit hash."""
 
     def split(batches):
         for b in slices(batches):
             out = []
-            for i, row, text in zip(*(column(b, c) for c in ("doc_id", "uid", "text")), strict=True):
+            for i, row, text in zip(*(column(b, c) for c in ("doc_id", "uid", "packed")), strict=True):
                 k = 0
-                for raw in (text or "").encode("utf-8", "replace").split(b"\n"):
-                    if n := len(raw.split()):
-                        out.append((-(1 << 62) if i is None else i, row, k, xxhash.xxh3_64_intdigest(raw), n))
+                for line in raw(text).split(b"\n"):
+                    if n := len(line.split()):
+                        out.append((-(1 << 62) if i is None else i, row, k, xxhash.xxh3_64_intdigest(line), n))
                         k += 1
             if out:
                 i, row, k, line, n = zip(*out, strict=True)
                 yield rows(LINES, [i, row, k, np.array(line, np.uint64).view(np.int64), n])
 
-    return texts.select("doc_id", "uid", "text").mapInArrow(split, "id long, row long, k int, line long, words int")
+    return texts.select("doc_id", "uid", "packed").mapInArrow(split, "id long, row long, k int, line long, words int")
 
 
 def ranked(suffixes: DataFrame, *by: str) -> DataFrame:
@@ -117,11 +117,11 @@ def marked(every: DataFrame, uid: str, min_lines: int, min_words: int) -> tuple[
     return every.join(runs.select(F.col("row").alias(uid), F.col("runs").alias(name)), uid, "left"), name
 
 
-def struck(text: str, packed: bytes | None) -> tuple[str, int, int, int]:
+def struck(text: bytes, packed: bytes | None) -> tuple[str, int, int, int]:
     """What is left of a text without its runs, its lines with words, how many of them go, and how many runs."""
     runs = np.frombuffer(packed or b"", "<i8").reshape(-1, 2).tolist()
     kept, k, at = [], 0, 0
-    for line in text.split("\n"):
+    for line in text.split(b"\n"):
         if not has_words(line):
             kept.append(line)
             continue
@@ -130,17 +130,17 @@ def struck(text: str, packed: bytes | None) -> tuple[str, int, int, int]:
         if at == len(runs) or k < runs[at][0]:
             kept.append(line)
         k += 1
-    return "\n".join(kept), k, sum(b - a for a, b in runs), len(runs)
+    return b"\n".join(kept).decode(), k, sum(b - a for a, b in runs), len(runs)
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept_text_sha256) of each document."""
-    found, name = marked(numbered_texts(docs), "uid", min_lines, min_words)
+    found, name = marked(*numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), min_lines, min_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("text", pa.string())])
 
     def strike(batches):
         for b in slices(batches):
-            text, *numbers = zip(*(struck(t or "", r) for t, r in zip(column(b, "text"), column(b, "runs"), strict=True)), strict=True)
+            text, *numbers = zip(*(struck(raw(t), r) for t, r in zip(column(b, "text"), column(b, "runs"), strict=True)), strict=True)
             yield rows(schema, [b.column(0), *numbers, text])
 
     out = found.select("doc_id", "text", F.col(name).alias("runs")).mapInArrow(strike, "doc_id long, n_lines long, n_removed long, n_runs long, text string")
@@ -156,7 +156,8 @@ def apply(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     def strike(batches):
         for b in slices(batches):
             gone = b.column(len(schema)).to_pylist()
-            out = [(t, False) if not g else (s[0], s[1] == s[2]) for t, g in zip(b.column(text).to_pylist(), gone, strict=True) for s in [struck(t or "", g)]]
+            packed = zip(b.column(text).to_pylist(), gone, strict=True)
+            out = [(None if t is None else s[0], bool(g) and s[1] == s[2]) for t, g in packed for s in [struck(raw(t), g)]]
             columns = list(b.columns[: len(schema)])
             columns[text] = pa.array([t for t, _ in out], pa.string())
             if size is not None:

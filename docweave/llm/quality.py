@@ -5,8 +5,8 @@ grows conjunctions of thresholds that single out rejected texts, prunes each on
 the rows that a rule covers before it grows the next. The ordered list becomes one conditional Spark expression.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged each for itself;
-ratios of texts without words count as 0; without labels of both classes the list is empty and only the base rule
-rejects; input columns other than ``doc_id`` and ``text`` are not read (``apply`` keeps them all).
+equal texts get equal verdicts; ratios of texts without words count as 0; an empty table stays empty; without labels of both
+classes the list is empty and only the base rule rejects; 3-word windows are equal when their 64-bit hashes are; input columns other than ``doc_id`` and ``text`` are not read (``apply`` keeps them all).
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WordHashes, column, cut, gram_hashes, rows, slices
 
-#: Labelled rows that the list is fitted on at most (those of the least hash of their id).
+#: Labelled ids (of the least hash) that the list is fitted on at most, and twice as many rows where ids repeat.
 SAMPLE = 20_000
-#: A rule is kept only if it is that precise on the rows held back, and covers so many rows.
-PRECISION, SUPPORT, CONDITIONS, RULES = 0.98, 5, 4, 24
+#: A rule is kept only if it is that precise on all rows of the sample, and covers so many. The list ends with the first that is not.
+PRECISION, SUPPORT = 0.98, 5
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_marks", "n_digits"]
 SCHEMA = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)])
@@ -88,7 +88,7 @@ def cover(x: np.ndarray, bad: np.ndarray) -> list[list[tuple[str, str, float]]]:
     """Sequential covering over the rows of ``x``; every third row is held back for pruning."""
     names, held = list(FEATURES), np.arange(len(x)) % 3 == 2
     left, rules = np.ones(len(x), bool), []
-    while len(rules) < RULES and (left & bad & ~held).sum() >= SUPPORT:
+    while (left & bad & ~held).sum() >= SUPPORT:
         rule = grow(x[left & ~held], bad[left & ~held])
         rule = prune(rule, x[left & held], bad[left & held])
         met = meets(rule, x) & left
@@ -111,7 +111,7 @@ def grow(x: np.ndarray, bad: np.ndarray) -> list:
     """Add the condition of the largest information gain until no good row is met."""
     rule: list = []
     inside = np.ones(len(x), bool)
-    while len(rule) < CONDITIONS and (inside & ~bad).any():
+    while (inside & ~bad).any():
         p0, n0 = (inside & bad).sum(), (inside & ~bad).sum()
         best = (1e-9, None, None)
         for j in range(x.shape[1]):

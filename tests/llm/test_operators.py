@@ -493,7 +493,9 @@ def test_automaton_and_trie_find_one_edit(lexicon, token):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    assert toxicity.Trie(lexicon).within_one_edit(token) == any(edits(w, token) <= 1 for w in lexicon)
+    assert sorted(toxicity.Trie(lexicon).within_one_edit(token)) == sorted(w for w in lexicon if edits(w, token) <= 1)
+    begun = {w for w in lexicon if any(edits(w, token[:n]) <= 1 for n in range(len(token) + 1))}
+    assert set(toxicity.Trie([], lexicon).within_one_edit(token)) == begun
 
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
@@ -515,6 +517,8 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     right = sum(r.predicted == dict(labels)[d] for d, r in got.items() if r.held_out)
     assert right >= 0.97 * sum(r.held_out for r in got.values()) and all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.Lexicon([], bad).kind("grumbok") == 2 and toxicity.Lexicon([], bad).kind("word") == 0
+    inflected = toxicity.Lexicon(["grumbik"], [], ["grumbik"])
+    assert inflected.kind("grumbiking") == 1 and inflected.kind("grumpiking") == 2 and inflected.kind("g" * 60) == 0
     assert toxicity.score(odd, lab).count() == odd.count() and toxicity.score(empty, lab).count() == 0
     assert all(r.score == 0 and r.predicted == 0 for r in toxicity.score(odd, lab.where("doc_id < 0")).collect())
 
