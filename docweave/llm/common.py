@@ -111,7 +111,7 @@ def unpacked(every: DataFrame, schema: StructType) -> DataFrame:
     def unpack(batches):
         for b in slices(batches):
             columns = list(b.columns)
-            columns[at] = pa.array([None if t is None else _unpress(t).decode() for t in columns[at].to_pylist()], pa.string())
+            columns[at] = pa.array([None if t is None else raw(t).decode() for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return every.select(*schema.names).mapInArrow(unpack, schema)
