@@ -9,7 +9,7 @@ from ..functions.columns import lookup
 
 # Fixed values.
 DENIED = ["bat", "cmd", "dll", "exe", "js", "msi", "ps1", "sh", "vbs"]
-ALLOWED = ["bmp", "csv", "docx", "eml", "html", "jpeg", "jpg", "md", "pdf", "png", "pptx", "tiff", "txt", "xlsx"]
+ALLOWED = ["pdf", "docx", "xlsx", "pptx", "csv", "html", "txt", "md", "png", "jpg", "jpeg", "tiff", "bmp", "eml"]
 MAX_BYTES = 50 * 1024 * 1024
 PARSERS = {"bmp": "image", "docx": "docx", "html": "html", "jpeg": "image", "jpg": "image", "md": "text", "pdf": "pdf", "png": "image", "pptx": "pptx", "tiff": "image", "txt": "text", "xlsx": "xlsx"}
 MIME = {"bmp": "image/bmp", "csv": "text/csv", "eml": "message/rfc822", "html": "text/html", "jpeg": "image/jpeg", "jpg": "image/jpeg", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png", "tiff": "image/tiff", "txt": "text/plain"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..functions.columns import tokens
 MAX_TOKENS, MAX_ROWS, LARGEST_CHUNK, SHORTEST_CHUNK = 500, 25, 2000, 10
 SECTION_WORDS = {"header": ["invoice", "vendor", "from"], "customer": ["bill to", "customer", "client"], "payment": ["payment", "due date", "terms"], "totals": ["total", "subtotal", "tax"]}
 NARRATIVE = ["management's discussion", "md&a", "notes to financial statements", "report of independent", "auditor's report", "risk factors", "critical accounting", "liquidity and capital resources"]
-FAMILIES = {"invoice": "sections", "receipt": "sections", "purchase_order": "sections", "contract": "clauses", "policy": "clauses", "manual": "clauses", "financial_statement": "narrative", "bank_statement": "narrative", "tax_document": "narrative", "audit_report": "narrative"}
+FAMILIES = {"invoice": "sections", "receipt": "sections", "purchase_order": "sections", "contract": "clauses", "policy": "headings", "manual": "headings", "financial_statement": "narrative", "bank_statement": "narrative", "tax_document": "narrative", "audit_report": "narrative"}
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:
@@ -145,12 +148,17 @@ def table_chunks(cells: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return g.select("table_id", "batch", F.concat_ws("\n", top, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("content"), F.element_at("rows", 1)["row"].alias("first_row"), F.element_at("rows", -1)["row"].alias("last_row"))
 
 
-def by_family(blocks: DataFrame, types: DataFrame) -> DataFrame:
-    """Chunks of all documents, each by the family of its type (document_id, document_type)."""
-    family = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in FAMILIES.items() for x in p)), F.col("document_type")), F.lit("generic"))
+def by_family(blocks: DataFrame, types: DataFrame, own: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Chunks of all documents, each by the family of its type (document_id, document_type).
+
+    ``own``: further chunkers by document type, functions of blocks that give the columns of ``windowed``.
+    """
+    families = FAMILIES | {t: t for t in own or ()}
+    family = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in families.items() for x in p)), F.col("document_type")), F.lit("generic"))
     b = blocks.join(types.select("document_id", family.alias("family")), "document_id")
     of = lambda name: b.where(F.col("family") == name).drop("family")
-    return keyword_sections(of("sections")).unionByName(clauses(of("clauses"))).unionByName(windowed(of("narrative"), narrative=True)).unionByName(windowed(of("generic")))
+    parts = [keyword_sections(of("sections")), clauses(of("clauses")), clauses(of("headings"), None, "section"), windowed(of("narrative"), narrative=True), windowed(of("generic"))]
+    return reduce(DataFrame.unionByName, [*parts, *(f(of(t)) for t, f in (own or {}).items())])
 
 
 def validate(chunks: DataFrame) -> DataFrame:

@@ -58,10 +58,13 @@ def answer_status(answers: DataFrame) -> DataFrame:
 
 def selected_documents(chunks: DataFrame, budget: int, condensed: DataFrame | None = None) -> DataFrame:
     """(document_id, mode, content, n_tokens): all chunks of a document if they fit the budget, else its condensed text."""
-    g = chunks.groupBy("document_id").agg(F.sum(tokens("content")).alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), "\n").alias("whole"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+    g = chunks.groupBy("document_id").agg(F.sum(tokens("content")).alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+    g = g.withColumn("whole", F.array_join(F.transform("parts", lambda c: c["content"]), "\n"))
     fits = F.col("n_tokens") <= budget
     if condensed is None:
-        condensed = g.select("document_id", F.substring("whole", 1, 4 * budget).alias("condensed"))
+        # as many characters of the beginning of every chunk as the budget leaves it
+        share = F.greatest(F.lit(1), F.floor(F.lit(4 * budget) / F.size("parts"))).cast("int")
+        condensed = g.select("document_id", F.array_join(F.transform("parts", lambda c: F.substring(c["content"], F.lit(1), share)), "\n").alias("condensed"))
     out = g.join(condensed, "document_id", "left")
     return out.select("document_id", F.when(fits, "whole").otherwise("condensed").alias("mode"), F.when(fits, F.col("whole")).otherwise(F.col("condensed")).alias("content"), "n_tokens", "pages")
 
@@ -135,13 +138,21 @@ def memory_tokens(c: str) -> Column:
     return F.floor(F.length(F.to_json(F.col(c))) / 4).cast("int")
 
 
-def memory_trail(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(run_id, document_id, position, findings_so_far, flags_so_far): running totals in document order."""
+def memory_trail(found: DataFrame, docs: DataFrame, width: int = 10_000) -> DataFrame:
+    """(run_id, document_id, position, findings_so_far, flags_so_far): running totals in document order.
+
+    Totals run within stretches of ``width`` ids, and start from those of the stretches before, so no task gets a whole run.
+    """
     per = found.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if("triggered").alias("t"))
-    own = docs.join(per, "document_id", "left")
-    w = Window.partitionBy("run_id").orderBy("document_id")
+    own = docs.join(per, "document_id", "left").select("run_id", "document_id", F.floor(F.col("document_id") / width).alias("part"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
+    sums = own.groupBy("run_id", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
+    before = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = sums.select("run_id", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("docs", "all_n", "all_t")))
+    w = Window.partitionBy("run_id", "part").orderBy("document_id")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("run_id", "document_id", F.row_number().over(w).alias("position"), F.sum(F.coalesce("n", F.lit(0))).over(run).alias("findings_so_far"), F.sum(F.coalesce("t", F.lit(0))).over(run).alias("flags_so_far"))
+    within = own.select("run_id", "document_id", "part", F.row_number().over(w).alias("i"), F.sum("n").over(run).alias("n"), F.sum("t").over(run).alias("t"))
+    out = within.join(start, ["run_id", "part"])
+    return out.select("run_id", "document_id", (F.col("docs") + F.col("i")).cast("int").alias("position"), (F.col("all_n") + F.col("n")).alias("findings_so_far"), (F.col("all_t") + F.col("t")).alias("flags_so_far"))
 
 
 def flag_counts(found: DataFrame, key: str) -> DataFrame:

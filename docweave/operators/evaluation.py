@@ -53,12 +53,29 @@ def numerical_accuracy(answers: DataFrame, facts: DataFrame) -> DataFrame:
     return answers.select("answer_id").join(g, "answer_id", "left")
 
 
+#: Ranges of a key's values that are counted before values are numbered.
+RANGES = 64
+
+
 def percentiles(samples: DataFrame, *keys: str, value: str = "ms", ps=(50, 95, 99)) -> DataFrame:
-    """avg and nearest-rank percentiles of each key, without collecting a key's values."""
-    own = Window.partitionBy(*keys)
-    r = samples.withColumn("i", F.row_number().over(own.orderBy(value)) - 1).withColumn("n", F.count("*").over(own))
+    """avg and nearest-rank percentiles of each key, without bringing a key's values together.
+
+    The values of a key are counted by ranges between its approximate quantiles; the counts before each range find the one that
+    holds a rank, and only within that range values are numbered.
+    """
+    bounds = samples.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10_000).alias("bounds"), F.count("*").alias("n"), F.round(F.avg(value), 6).alias("avg"))
+    part = F.size(F.filter("bounds", lambda b: b < F.col(value)))
+    dealt = samples.select(*keys, value).join(bounds.select(*keys, "bounds"), list(keys)).select(*keys, value, part.alias("part"))
+    sizes = dealt.groupBy(*keys, "part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size"))  # up to RANGES rows a key
     at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return r.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("avg"), *(F.max(F.when(F.col("i") == at(p), F.col(value))).alias(f"p{p}") for p in ps))
+    asked = bounds.select(*keys, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("at")) for p in ps))).alias("a")).select(*keys, "a.*")
+    held = asked.join(before, list(keys)).where("before <= at and at < before + size").select(*keys, "part", "p", (F.col("at") - F.col("before")).alias("at"))
+    values = dealt.join(held.select(*keys, "part").distinct(), [*keys, "part"]).groupBy(*keys, "part", value).agg(F.count("*").alias("times"))
+    upto = values.withColumn("upto", F.sum("times").over(Window.partitionBy(*keys, "part").orderBy(value)))
+    found = held.join(upto, [*keys, "part"]).where("upto > at").groupBy(*keys, "p").agg(F.min(value).alias("found"))
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("p") == p, F.col("found"))).alias(f"p{p}") for p in ps))
+    return bounds.select(*keys, "avg").join(wide, list(keys), "left")
 
 
 def mean_metrics(long: DataFrame, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -127,8 +128,8 @@ def search_fields(fields: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def field_map(fields: DataFrame) -> DataFrame:
-    """(document_id, fields): the last value of each key as a map."""
-    last = fields.groupBy("document_id", "key").agg(F.max_by("value", F.struct("confidence", "value")).alias("value"))
+    """(document_id, fields): the last value of each key, by ``seq``, as a map."""
+    last = fields.groupBy("document_id", "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
     return last.groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("fields"))
 
 
@@ -158,10 +159,11 @@ def money_facts(docs: DataFrame) -> DataFrame:
     return _facts(docs, [(k, captured(p)) for k, p in MONEY.items()], 0.75)
 
 
-def statement_facts(docs: DataFrame) -> DataFrame:
-    """Facts of statements without tables: the first label variant that matches."""
-    quoted = lambda s: s.replace("'", "'")
-    return _facts(docs, [(k, F.coalesce(*(captured(rf"(?i){quoted(v)}[:\s]+\$?\(?([\d,]+\.?\d*)\)?") for v in names))) for k, names in STATEMENT.items()], 0.5)
+def statement_facts(docs: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Facts of statements that have no ``tables`` (document_id): the first label variant that matches."""
+    if tables is not None:
+        docs = docs.join(tables.select("document_id").distinct(), "document_id", "left_anti")
+    return _facts(docs, [(k, F.coalesce(*(captured(rf"(?i){re.escape(v)}[:\s]+\$?\(?([\d,]+\.?\d*)\)?") for v in names))) for k, names in STATEMENT.items()], 0.5)
 
 
 def cell_number(c: Column) -> Column:
@@ -212,9 +214,9 @@ def text_line_items(docs: DataFrame, have: DataFrame | None = None) -> DataFrame
 
 
 def fact_map(facts: DataFrame) -> DataFrame:
-    """One row per document with each fact type as a column."""
-    kinds = list(MONEY)
-    return facts.groupBy("document_id").agg(*(F.max_by(F.when(F.col("fact_type") == k, F.col("value")), F.when(F.col("fact_type") == k, F.col("confidence"))).alias(k) for k in kinds))
+    """One row per document with each fact type as a column; the last fact of a type, by ``seq``, counts."""
+    of = lambda k, *c: F.when(F.col("fact_type") == k, F.struct(*c))
+    return facts.groupBy("document_id").agg(*(F.max(of(k, "seq", "value"))["value"].alias(k) for k in MONEY))
 
 
 def fact_issues(wide: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
-SENSITIVE = ["access_token", "api_key", "authorization", "credit_card", "hashed_password", "password", "refresh_token", "secret", "ssn", "token"]
+SENSITIVE = ["password", "hashed_password", "token", "access_token", "refresh_token", "api_key", "secret", "authorization", "ssn", "credit_card"]
 CATEGORIES = {"AuthenticationError": "authentication", "AuthorizationError": "authorization", "DocumentNotFound": "validation", "OCRFailed": "ocr", "RuleEngineError": "internal", "StorageError": "storage", "ValidationFailed": "validation"}
 
 
@@ -60,10 +60,10 @@ def cost_by_user(usage: DataFrame, n: int = 10) -> DataFrame:
 
 
 def alerts(rules: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(name, metric, value, severity) of active rules whose condition (gt, lt, eq) holds."""
+    """(name, metric, value, severity) of active rules whose condition (gt, lt, eq) holds, and further columns of the metrics."""
     v, t, c = F.col("value"), F.col("threshold"), F.col("condition")
     met = F.when(c == "gt", v > t).when(c == "lt", v < t).when(c == "eq", v == t).otherwise(False)
-    return rules.where("active").join(metrics, "metric").where(met).select("name", "metric", "value", "severity")
+    return rules.where("active").join(metrics, "metric").where(met).select("name", "metric", "value", "severity", *(c for c in metrics.columns if c not in ("metric", "value")))
 
 
 def alert_states(log: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import jaccard, token_set
 
 # Fixed values.
-STOP_WORDS = ["a", "an", "and", "are", "did", "for", "in", "is", "of", "on", "the", "to", "we"]
+STOP_WORDS = ["the", "a", "an", "is", "are", "of", "to", "in", "for", "on", "and", "did", "we"]
 ACRONYMS = {"po": "purchase order", "inv": "invoice", "vat": "value added tax", "gst": "goods and services tax"}
 SYNONYMS = {"pay": ["payment", "paid"], "cost": ["price", "amount", "total"], "vendor": ["supplier", "seller"], "customer": ["client", "buyer"], "contract": ["agreement"], "invoice": ["bill"]}
 TYPE_HINTS = ["invoice", "contract", "receipt", "policy"]
-K1, B, FLOOR = 1.5, 0.75, 0.25
+K1, B, FLOOR, RRF = 1.5, 0.75, 0.25, 60
 DIGITS = 6
 
 
@@ -64,10 +65,10 @@ def filters_of(q: str) -> dict[str, Column]:
 
 
 def named_file(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, file_name, document_id): the newest document of a file name in the question; null if there is none."""
+    """(query_id, file_name, document_id): the asking user's newest document of a file name in the question; null if there is none."""
     name = F.nullif(F.lower(F.regexp_extract("query", r"(?i)\b([\w\-]+\.(?:pdf|docx|xlsx|xls|pptx|csv|html|txt|md))\b", 1)), F.lit(""))
-    newest = docs.groupBy(F.lower("file_name").alias("name")).agg(F.max_by("document_id", F.struct("created_at", "document_id")).alias("document_id"))
-    return queries.select("query_id", name.alias("name")).where("name is not null").join(newest, "name", "left").select("query_id", F.col("name").alias("file_name"), "document_id")
+    newest = docs.groupBy("user_id", F.lower("file_name").alias("name")).agg(F.max_by("document_id", F.struct("created_at", "document_id")).alias("document_id"))
+    return queries.select("query_id", "user_id", name.alias("name")).where("name is not null").join(newest, ["user_id", "name"], "left").select("query_id", F.col("name").alias("file_name"), "document_id")
 
 
 def merged_filters(explicit: dict[str, Column], automatic: dict[str, Column]) -> dict[str, Column]:
@@ -76,9 +77,9 @@ def merged_filters(explicit: dict[str, Column], automatic: dict[str, Column]) ->
 
 def postings(chunks: DataFrame, *scope: str) -> DataFrame:
     """(*scope, chunk_id, term, tf, length): the inverted index of blank-separated lower-case tokens."""
-    t = chunks.select(*scope, "chunk_id", F.explode(F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != "")).alias("term"))
-    tf = t.groupBy(*scope, "chunk_id", "term").agg(F.count("*").alias("tf"))
-    return tf.join(t.groupBy(*scope, "chunk_id").agg(F.count("*").alias("length")), [*scope, "chunk_id"])
+    words = chunks.select(*scope, "chunk_id", F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != "").alias("words"))
+    t = words.select(*scope, "chunk_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+    return t.groupBy(*scope, "chunk_id", "term", "length").agg(F.count("*").alias("tf")).select(*scope, "chunk_id", "term", "tf", "length")
 
 
 def term_statistics(index: DataFrame, *scope: str) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +114,7 @@ def best_of_variants(scores: DataFrame, k: int) -> DataFrame:
     return ranked(scores.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
-def reciprocal_rank_fusion(*lists: DataFrame, k: int = 60) -> DataFrame:
+def reciprocal_rank_fusion(*lists: DataFrame, k: int = RRF) -> DataFrame:
     """(query_id, chunk_id, fused) of ranked lists (query_id, chunk_id, rank)."""
     all_lists = reduce(DataFrame.unionByName, (x.select("query_id", "chunk_id", "rank") for x in lists))
     return all_lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("fused"))
@@ -125,11 +126,23 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, weight: float = 0.6) ->
     return both.select("query_id", "chunk_id", F.round(weight * F.coalesce("d", F.lit(0.0)) + (1 - weight) * F.coalesce("s", F.lit(0.0)), DIGITS).alias("fused"))
 
 
-def hybrid(dense: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, chunk_id, fused, rank): BM25 over each query's dense candidates, fused with their dense ranks."""
+def hybrid(dense: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, unfiltered: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, fused, rank, dense_score, sparse_score): BM25 over each query's dense candidates, fused with their dense ranks.
+
+    ``dense`` (query_id, chunk_id, score, rank) holds the results under the query's filters; queries that have none there
+    take those of ``unfiltered``.
+    """
+    if unfiltered is not None:
+        every = unfiltered.select("query_id", "chunk_id", F.struct("score", "rank").alias("free"))
+        both = dense.select("query_id", "chunk_id", F.struct("score", "rank").alias("own")).join(every, ["query_id", "chunk_id"], "full")
+        some = F.max(F.col("own").isNotNull()).over(Window.partitionBy("query_id"))
+        dense = both.select("query_id", "chunk_id", F.when(some, F.col("own")).otherwise(F.col("free")).alias("r")).where("r is not null").select("query_id", "chunk_id", "r.score", "r.rank")
     candidates = dense.select("query_id", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id")
     sparse = _scoped(candidates, queries)
-    return ranked(reciprocal_rank_fusion(dense, sparse), k, score="fused")
+    part = lambda d, name: d.select("query_id", "chunk_id", "rank", F.col("score").alias(name))
+    both = part(dense, "dense_score").unionByName(part(sparse, "sparse_score"), allowMissingColumns=True)
+    fused = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank"))), 9).alias("fused"), F.max("dense_score").alias("dense_score"), F.max("sparse_score").alias("sparse_score"))
+    return ranked(fused, k, score="fused")
 
 
 def _scoped(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -139,10 +152,21 @@ def _scoped(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", "score", "rank")
 
 
-def fallback(queries: DataFrame, found: DataFrame, chunks: DataFrame, most: int = 200) -> DataFrame:
-    """(query_id, chunk_id): for queries without a dense result, the first chunks of the corpus order."""
-    first = chunks.orderBy("chunk_index", "chunk_id").limit(most).select("chunk_id")
-    return queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id").crossJoin(F.broadcast(first))  # ``most`` rows
+def fallback(queries: DataFrame, found: DataFrame, chunks: DataFrame, most: int = 200, named: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): for queries without a dense result, candidates by their BM25 score.
+
+    The candidates are the chunks of the document that the query names (``named``: query_id, document_id), else the first
+    ``most`` chunks of the corpus order.
+    """
+    lacking = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    first = chunks.orderBy("chunk_index", "chunk_id").limit(most).select("chunk_id", "content")
+    own = None
+    if named is not None:
+        scope = lacking.join(named.where("document_id is not null").select("query_id", "document_id"), "query_id")
+        own = scope.join(chunks.select("document_id", "chunk_id", "content"), "document_id").select("query_id", "chunk_id", "content")
+        lacking = lacking.join(scope.select("query_id"), "query_id", "left_anti")
+    candidates = lacking.crossJoin(F.broadcast(first))  # ``most`` rows
+    return _scoped(candidates if own is None else candidates.unionByName(own), queries)
 
 
 def with_content(results: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -153,8 +177,13 @@ def final_score(fused: str, rerank: str, weight: float = 0.8) -> Column:
     return F.round(weight / (1 + F.exp(-F.col(rerank))) + (1 - weight) * F.least(F.col(fused), F.lit(1.0)), DIGITS)
 
 
-def rerank(results: DataFrame, least: float = 0.0, n: int | None = None) -> DataFrame:
-    """Results (fused, rerank_score) by final score; without a rerank score the fused order stays."""
+def rerank(results: DataFrame, least: float = 0.0, n: int | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Results (fused, rerank_score) by final score; without a rerank score the fused order stays.
+
+    ``scorer`` makes the rerank score of the columns query and content: a column expression or a pandas UDF.
+    """
+    if scorer is not None:
+        results = results.withColumn("rerank_score", scorer(F.col("query"), F.col("content")))
     s = results.withColumn("final", F.when(F.col("rerank_score").isNull(), F.col("fused")).otherwise(final_score("fused", "rerank_score"))).where(F.col("final") >= least)
     return ranked(s, n, score="final")
 

@@ -16,7 +16,13 @@ WEIGHTS = {"low": 5, "medium": 15, "high": 35, "critical": 60}
 OTHER_WEIGHT = 10
 LEVELS = {"medium": 25, "high": 60, "critical": 85}
 ROUTES = {"low": "auto_approve", "medium": "reviewer_queue", "high": "senior_auditor", "critical": "immediate_escalation"}
-CURRENCIES = ["AED", "AUD", "CAD", "EUR", "GBP", "INR", "JPY", "PKR", "USD"]
+# The currency codes of ISO 4217.
+CURRENCIES = (
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUC CUP CVE CZK DJF DKK DOP DZD "
+    "EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HRK HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD "
+    "MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SLL SOS SRD SSP STN SVC SYP SZL "
+    "THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN UYI UYU UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWL"
+).split()
 
 DEFAULTS = {"min_ocr_confidence": 0.6, "tolerance_pct": 0.02, "approval_limit": 10000.0, "high_value_threshold": 50000.0, "split_from": 0.8, "split_days": 30, "required_sections": ["purpose", "scope", "policy"]}
 

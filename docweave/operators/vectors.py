@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +49,13 @@ def records(chunks: DataFrame, fields: DataFrame, ents: DataFrame, docs: DataFra
 
 
 def to_embed(new: DataFrame, store: DataFrame) -> DataFrame:
-    """The records whose content has no active vector yet."""
-    return new.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).join(store.where("is_active").select("hash").distinct(), "hash", "left_anti")
+    """The records (text, model) whose content has no active vector of the same model yet."""
+    return new.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).join(store.where("is_active").select("hash", "model").distinct(), ["hash", "model"], "left_anti")
+
+
+def embedded(recs: DataFrame, embedder: Callable[[Column], Column]) -> DataFrame:
+    """The records with their ``vector``. ``embedder`` makes a column of vectors of a column of texts: a column expression or a pandas UDF."""
+    return recs.withColumn("vector", embedder(F.col("text")))
 
 
 def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,18 +94,69 @@ def unit(v: str) -> Column:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000) -> DataFrame:
-    """(query_id, id, score, rank) by cosine. ``queries`` (query_id, vector) is a stated set; it is sent in blocks."""
-    base = (vectors if where is None else vectors.where(where)).select("id", unit("vector").alias("v")).where("v is not null")
-    q = queries.select("query_id", unit("vector").alias("q")).where("q is not null")
-    blocks = max(1, -(-q.count() // block))
-    out = None
+    """(query_id, id, score, rank) by cosine, without the query itself. ``queries`` (query_id, vector) is a stated set.
+
+    The queries are sent in blocks of about ``block``. Every task multiplies its vectors with a block as matrices, and hands
+    on no more than its own ``k`` best of each query; ties go to the lower id.
+    """
+    import math
+
+    base = (vectors if where is None else vectors.where(where)).select("id", "vector").where("vector is not null")
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    blocks, out = max(1, math.ceil(asked.count() / block)), None
     for i in range(blocks):
-        part = F.broadcast(q.where(F.pmod(F.hash("query_id"), F.lit(blocks)) == i))  # about ``block`` queries
-        scored = part.join(base, F.col("query_id") != F.col("id"), "inner").select("query_id", "id", F.round(_dot(F.col("q"), F.col("v")), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        scored = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        part = asked.where(F.pmod(F.hash("query_id"), F.lit(blocks)) == i).toArrow()  # about ``block`` vectors
+        best = base.mapInArrow(_nearest(part, k), kinds)
+        out = best if out is None else out.unionByName(best)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(part, k: int):
+    """A function for mapInArrow that gives the ``k`` nearest rows of a partition for each query of an Arrow table."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def units(ids, vectors, dim):
+        """The ids and scaled vectors of those of the right length that are not all zero."""
+        sized = pc.equal(pc.list_value_length(vectors), dim)
+        ids, m = ids.filter(sized), vectors.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        norm = np.sqrt((m * m).sum(axis=1))
+        some = norm > 0
+        return np.array(ids.to_pylist(), dtype=object)[some], m[some] / norm[some, None]
+
+    asked = part.combine_chunks()
+    sizes = [n for n in pc.list_value_length(asked["vector"]).to_pylist() if n]
+    dim = max(set(sizes), key=sizes.count) if sizes else 0
+    names, q = units(asked["query_id"].combine_chunks(), asked["vector"].combine_chunks(), dim) if dim else ([], None)
+
+    def find(batches):
+        held: list[list[tuple[float, object]]] = [[] for _ in names]
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for at in range(0, b.num_rows if dim else 0, 2_048):
+                ids, v = units(b.column(0).slice(at, 2_048), b.column(1).slice(at, 2_048), dim)
+                if not len(ids):
+                    continue
+                scores = np.round(v @ q.T, 6)
+                # one more than k, for the query itself may be among them
+                least = np.partition(scores, -min(k + 1, len(ids)), axis=0)[-min(k + 1, len(ids))]
+                for j, name in enumerate(names):
+                    own = held[j]
+                    floor = max(least[j], -own[-1][0]) if len(own) == k else least[j]
+                    new = [(-scores[i, j], ids[i]) for i in np.flatnonzero(scores[:, j] >= floor) if ids[i] != name]
+                    if new:
+                        held[j] = sorted(own + new)[:k]
+        if kind is None:
+            return
+        flat = [(name, i, -s + 0.0) for name, own in zip(names, held, strict=True) for s, i in own]
+        a, i, s = zip(*flat, strict=True) if flat else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, asked["query_id"].type), pa.array(i, kind), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+    return find
 
 
 def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 12, bits: int = 6, seed: int = 7, probes: int = 4) -> DataFrame:

@@ -31,10 +31,11 @@ FRAMES = {
       from (select doc_id as document_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ord from documents) where trim(line) <> ''""",
     "files": """select doc_id as file_id, case when doc_id % 97 = 0 then '..' else (case when doc_id % 4 = 0 then '../up/' else '' end) || 'doc-' || doc_id || (case when e = '' then '' else '.' || e end) end as file_name,
       cast(case when doc_id % 13 = 0 then 0 when doc_id % 17 = 0 then 62914560 else strlen(text) end as bigint) as size, text as content, source from (select *, list_extract(['txt', 'md', 'exe', 'html', 'TXT', 'csv', 'zip', 'pdf', 'js', ''], doc_id % 10 + 1) as e from documents)""",
-    "chunks": """select doc_id || '_c0' as chunk_id, doc_id as document_id, 0 as chunk_index, left(text, 400) as content from documents""",
+    "chunks": """select document_id || '_c' || section as chunk_id, document_id, section as chunk_index, string_agg(text, chr(10) order by ord) as content, min(page) as page
+      from (select *, cast(sum(case when type = 'heading' then 1 else 0 end) over (partition by document_id order by ord) as bigint) as section from blocks) group by document_id, section""",
     "queries": """select item_id as query_id, array_to_string(regexp_extract_all(text, '\\S+')[1:6], ' ') as query from benchmark""",
 }
-NEEDS = {"inv0": ["sums"], "inv": ["inv0"], "lines": ["items"], "texts": ["inv", "lines"]}
+NEEDS = {"inv0": ["sums"], "inv": ["inv0"], "lines": ["items"], "texts": ["inv", "lines"], "chunks": ["blocks"]}
 MONEY = "(case when {0} < 0 then '-' else '' end || cast(floor(abs({0}) * 100 + 0.5) as bigint) // 100 || '.' || lpad(cast(cast(floor(abs({0}) * 100 + 0.5) as bigint) % 100 as varchar), 2, '0'))"
 
 

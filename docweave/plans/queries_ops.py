@@ -80,7 +80,7 @@ def block_chunks(spark, d):
     return b.select("document_id", F.col("order").alias("chunk_index"), F.col("text").alias("content"), F.array("page").alias("pages"))
 
 
-@query("selected_documents", sql("select document_id, case when n <= 200 then 'whole' else 'condensed' end as mode, cast(n as bigint) as n_tokens, sha256(case when n <= 200 then w else left(w, 800) end) as content_sha256 from (select document_id, sum(greatest(1, length(text) // 4)) as n, string_agg(text, chr(10) order by ord) as w from blocks group by 1)", "blocks"))
+@query("selected_documents", sql("select document_id, case when n <= 200 then 'whole' else 'condensed' end as mode, cast(n as bigint) as n_tokens, sha256(case when n <= 200 then w else c end) as content_sha256 from (select document_id, sum(greatest(1, length(text) // 4)) as n, string_agg(text, chr(10) order by ord) as w, string_agg(left(text, greatest(1, 800 // of)), chr(10) order by ord) as c from (select *, count(*) over (partition by document_id) as of from blocks) group by 1)", "blocks"))
 def selected_documents(spark, d):
     return T.selected_documents(block_chunks(spark, d), 200).select("document_id", "mode", "n_tokens", F.sha2("content", 256).alias("content_sha256"))
 
@@ -139,10 +139,10 @@ def audit_capped_flags(spark, d):
     return T.capped(f.withColumn("position", F.concat(F.col("document_id").cast("string"), "rule_key")), 5).select("run_id", "document_id", "rule_key")
 
 
-@query("audit_memory_records", "select event_id, 0 as findings, cast(case when event_id % 3 = 0 then 1 else 0 end as integer) as flags from events where event_id % 10 = 0")
+@query("audit_memory_records", "select event_id, 0 as findings, cast(case when event_id % 3 = 0 then 1 else 0 end as integer) as flags from events")
 def audit_memory_records(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, '{"risk_flags": [{"severity": "high", "text": "x"}]}').when(F.col("event_id") % 3 == 1, '{"key_findings": null}').otherwise("broken")
-    m = table(spark, d, "events").where("event_id % 10 = 0").select("event_id", raw.alias("raw")).select("event_id", T.memory_of("raw").alias("m"))
+    m = table(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", T.memory_of("raw").alias("m"))
     return m.select("event_id", F.size("m.key_findings").alias("findings"), F.size("m.risk_flags").alias("flags"))
 
 
@@ -421,11 +421,12 @@ def boxed_blocks(spark, d):
     return N.boxed_blocks(b, 1).select("document_id", "block_id", "text")
 
 
-@query("resolved_citations", sql("select document_id, chunk_id, block_id, 1 as page from (select doc_id as document_id, doc_id || '_c0' as chunk_id, doc_id || '_b0' as block_id from documents where doc_id % 5 = 0)"))
+@query("resolved_citations", sql("select document_id, chunk_id, block_id, page from (select document_id, document_id || '_c' || section as chunk_id, arg_min(block_id, ord) as block_id, arg_min(page, ord) as page from (select *, cast(sum(case when type = 'heading' then 1 else 0 end) over (partition by document_id order by ord) as bigint) as section from blocks) where document_id % 5 = 0 group by document_id, section)", "blocks"))
 def resolved_citations(spark, d):
-    c = chunks(spark, d).withColumn("block_ids", F.array(F.concat(F.col("document_id").cast("string"), F.lit("_b0"))))
+    c = H.clauses(S.blocks(spark, d), None)
+    c = c.withColumn("chunk_id", F.concat(F.col("document_id").cast("string"), F.lit("_c"), F.col("section").cast("string")))
     cited = c.where("document_id % 5 in (0, 1)").select(F.when(F.col("document_id") % 5 == 0, F.col("document_id")).otherwise(-1).alias("document_id"), "chunk_id")
-    blocks = c.select("document_id", F.get("block_ids", F.lit(0)).alias("block_id"), F.lit(1).alias("page"))
+    blocks = S.blocks(spark, d).select("document_id", "block_id", "page")
     return N.resolved_citations(cited, c, blocks).select("document_id", "chunk_id", "block_id", "page")
 
 
@@ -467,6 +468,8 @@ def _folder(spark) -> str:
     import uuid
 
     given = spark.conf.get("spark.checkpoint.dir", "")
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{given or 'file://' + tempfile.mkdtemp(prefix='docweave-')}/{uuid.uuid4().hex}"
 
 
@@ -490,10 +493,10 @@ def stream_error_groups(spark, d):
     return _streamed(spark, streams.error_groups(e), "complete").select("fingerprint", "times")
 
 
-@query("stream_counters", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2")
+@query("stream_counters", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 10 minute group by 1, 2")
 def stream_counters(spark, d):
     t = table(spark, d, "events")
-    return _streamed(spark, streams.counters(streams.read_stream(spark, f"{d}/events.parquet*", t.schema), "event_type", "1 hour"), "complete").withColumn("start", F.col("start").cast("string"))
+    return _streamed(spark, streams.counters(streams.read_stream(spark, f"{d}/events.parquet*", t.schema), "event_type", "1 hour"), "append").withColumn("start", F.col("start").cast("string"))
 
 
 @query("stream_sliding", "select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(avg(value), 6) as mean from (select *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as start from events) group by 1, 2")
@@ -521,10 +524,12 @@ def stream_ingest(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("extension").agg(F.count("*").alias("n"))
 
 
-@query("stream_alerts", None)
+@query("stream_alerts", "select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type as metric, n as value, 'busy-' || event_type as name, 'high' as severity from (select date_trunc('hour', ts) as start, event_type, cast(count(*) as double) as n from events group by 1, 2) where n > 1")
 def stream_alerts(spark, d):
     folder, t = _folder(spark), table(spark, d, "events")
     c = streams.counters(streams.read_stream(spark, f"{d}/events.parquet*", t.schema), "event_type", "1 hour").select("start", F.col("event_type").alias("metric"), F.col("n").cast("double").alias("value"))
     rules = t.select("event_type").distinct().select(F.concat(F.lit("busy-"), "event_type").alias("name"), F.col("event_type").alias("metric"), F.lit("gt").alias("condition"), F.lit(1.0).alias("threshold"), F.lit("high").alias("severity"), F.lit(True).alias("active"))
     streams.windowed_alerts(c, rules, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema("metric string, value double, name string, severity string, start timestamp").parquet(f"{folder}/out")
+    found = spark.read.schema("metric string, value double, name string, severity string, start timestamp, batch int").parquet(f"{folder}/out")
+    last = found.groupBy("start", "metric", "name", "severity").agg(F.max_by("value", "batch").alias("value"))
+    return last.withColumn("start", F.col("start").cast("string"))

@@ -23,24 +23,28 @@ def query(name: str, oracle: str | None = None):
 
 
 def chunks(spark, d):
-    t = table(spark, d, "documents")
-    i = F.col("doc_id")
-    return t.select(F.concat(i.cast("string"), F.lit("_c0")).alias("chunk_id"), i.alias("document_id"), F.lit(0).alias("chunk_index"), F.substring("text", 1, 400).alias("content"), F.array(F.lit(1)).alias("pages"), F.lit("body").alias("section_name"))
+    """The chunks of all whole documents: one for each heading with all that follows it."""
+    from ..operators.chunking import clauses
+    from ..sources.frames import blocks
+
+    c = clauses(blocks(spark, d), None)
+    return c.select(F.concat(F.col("document_id").cast("string"), F.lit("_c"), F.col("section").cast("string")).alias("chunk_id"), "document_id", F.col("section").alias("chunk_index"), "content", "pages", "section_name")
 
 
 def questions(spark, d):
+    """The stated set of questions: of each benchmark item, its first six words."""
     t = table(spark, d, "benchmark")
     return t.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 1, 6), " ").alias("query"))
 
 
 _parts = "select query_id, unnest(string_split(query, ' ')) as w, unnest(range(len(string_split(query, ' ')))) as i from asked"
-_asked = "select item_id as query_id, case item_id % 4 when 0 then 'Pay  the invoice   of Vendor ' || item_id || '?' when 1 then 'po and VAT for contract from Acme Corp in 2019' when 2 then 'what did  we cost in doc-' || item_id || '.txt ?' else 'Is the customer policy 1999 valid?' end as query from benchmark"
+_asked = "select conv_id * 1000 + turn as query_id, text as query from conversations where role = 'user' and text <> ''"
 
 
 def asked(spark, d):
-    i = F.col("item_id")
-    text = F.when(i % 4 == 0, F.concat(F.lit("Pay  the invoice   of Vendor "), i.cast("string"), F.lit("?"))).when(i % 4 == 1, "po and VAT for contract from Acme Corp in 2019").when(i % 4 == 2, F.concat(F.lit("what did  we cost in doc-"), i.cast("string"), F.lit(".txt ?"))).otherwise("Is the customer policy 1999 valid?")
-    return table(spark, d, "benchmark").select(i.alias("query_id"), text.alias("query"))
+    """The questions that users asked: all user turns of the conversations."""
+    t = table(spark, d, "conversations").where("role = 'user' and text <> ''")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
 @query("normalised_queries", sql("select query_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) as query from asked", asked=_asked))
@@ -90,10 +94,13 @@ def query_filters(spark, d):
     return asked(spark, d).select("query_id", *(c.alias(k) for k, c in f.items()))
 
 
-@query("named_files", sql("select query_id, name as file_name, document_id from (select query_id, 'doc-' || query_id || '.txt' as name from asked where query_id % 4 = 2) left join (select doc_id as document_id, 'doc-' || doc_id || '.txt' as f from documents) on name = f", asked=_asked))
+@query("named_files", sql("select query_id, name as file_name, document_id from (select item_id as query_id, item_id % 7 as user_id, 'doc-' || item_id || '.txt' as name from benchmark) q left join (select doc_id as document_id, doc_id % 7 as owner, 'doc-' || doc_id // 2 * 2 || '.txt' as f, row_number() over (partition by doc_id % 7, doc_id // 2 order by doc_id desc) as n from documents) f on name = f and user_id = owner and n = 1"))
 def named_files(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("created_at"))
-    return Q.named_file(asked(spark, d), docs)
+    i = F.col("doc_id")
+    name = lambda n: F.concat(F.lit("doc-"), n.cast("string"), F.lit(".txt"))
+    docs = table(spark, d, "documents").select(i.alias("document_id"), (i % 7).alias("user_id"), name(i - i % 2).alias("file_name"), i.alias("created_at"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 7).alias("user_id"), F.concat(F.lit("what do we owe in "), name(F.col("item_id")), F.lit(" ?")).alias("query"))
+    return Q.named_file(q, docs)
 
 
 _bm = {
@@ -174,7 +181,7 @@ def recs(spark, d):
     return V.records(c, f, e, t)
 
 
-_recs = """select document_id, document_id || '_c0' as ref, 'text' as type, content as text from chunks where length(content) >= 200 union all select document_id, document_id || '_c0', 'table', content from chunks where length(content) >= 200 and document_id % 10 = 0
+_recs = """select document_id, chunk_id as ref, 'text' as type, content as text from chunks where length(content) >= 200 union all select document_id, chunk_id, 'table', content from chunks where length(content) >= 200 and document_id % 10 = 0
 union all select doc_id, cast(doc_id as varchar), 'metadata', 'language: ' || lang || '; source: ' || source from documents union all select doc_id, doc_id || '_b0', 'entity', 'origin: ' || source from documents union all select doc_id, cast(doc_id as varchar), 'summary', left(text, 1500) from documents"""
 
 
@@ -183,10 +190,11 @@ def embedding_records(spark, d):
     return recs(spark, d).select("document_id", "ref", "type", F.sha2("text", 256).alias("hash"))
 
 
-@query("records_to_embed", sql("select type, count(*) as n from recs where sha256(text) not in (select sha256(text) from recs where document_id % 2 = 0) group by 1", "chunks", recs=_recs))
+@query("records_to_embed", sql("select type, count(*) as n from recs where sha256(text) not in (select sha256(text) from recs where document_id % 4 = 0) group by 1", "chunks", recs=_recs))
 def records_to_embed(spark, d):
-    r = recs(spark, d)
-    store = r.where("document_id % 2 = 0").select(F.sha2("text", 256).alias("hash"), F.lit(True).alias("is_active"))
+    r = recs(spark, d).withColumn("model", F.lit("new"))
+    model = F.when(F.col("document_id") % 4 == 0, "new").otherwise("old")
+    store = r.where("document_id % 2 = 0").select(F.sha2("text", 256).alias("hash"), model.alias("model"), F.lit(True).alias("is_active"))
     return V.to_embed(r, store).groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -232,52 +240,113 @@ def payloads(spark, d):
 
 
 def dense(spark, d):
-    """A dense ranking that both engines can make: chunks of the query's residue class by id."""
-    q = questions(spark, d).select("query_id")
-    c = chunks(spark, d).where("document_id < 400")
-    j = c.join(q, (F.col("document_id") % 40) == (F.col("query_id") % 40)).select("query_id", "chunk_id", "document_id")
-    return j.withColumn("score", 1.0 / (1 + F.col("document_id") % 97)).select("query_id", "chunk_id", "score")
+    """(query_id, chunk_id, score, rank): the 30 nearest chunks of each question by their vectors."""
+    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
+    q = questions(spark, d).select("query_id", V.hash_vector("query", 32).alias("vector"))
+    return V.top_k(c, q, 30).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
 
 
-_dense = "select query_id, chunk_id, 1.0::double / (1 + document_id % 97) as score, cast(row_number() over (partition by query_id order by 1.0::double / (1 + document_id % 97) desc, chunk_id) as integer) as rank from chunks join queries on document_id % 40 = query_id % 40 where document_id < 400"
+def _bytes(text):
+    return f"list_transform(range(32), lambda i: cast(('0x' || substr(sha256({text}), cast(i * 2 + 1 as bigint), 2)) as integer) / 255.0::double * 2 - 1)"
 
 
-@query("rank_fusion", sql("select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as fused from (select query_id, chunk_id, rank from dense union all select query_id, chunk_id, rank from ranked) group by 1, 2", "chunks", "queries", dense=_dense, **_bm))
+_dense = {
+    "cvec": f"select *, sqrt(list_dot_product(v, v)) as length_v from (select chunk_id, {_bytes('content')} as v from chunks)", "qvec": f"select *, sqrt(list_dot_product(q, q)) as length_q from (select query_id, {_bytes('query')} as q from queries)",
+    "near": "select query_id, chunk_id, round(list_dot_product(q, v) / (length_q * length_v), 6) as score from cvec, qvec",
+    "dense": "select * from (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from near) where rank <= 30",
+}
+
+
+@query("rank_fusion", sql("select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as fused from (select query_id, chunk_id, rank from dense union all select query_id, chunk_id, rank from ranked) group by 1, 2", "chunks", "queries", **_dense, **_bm))
 def rank_fusion(spark, d):
-    return Q.reciprocal_rank_fusion(Q.ranked(dense(spark, d), None), bm25_search(spark, d))
+    return Q.reciprocal_rank_fusion(dense(spark, d), bm25_search(spark, d))
 
 
-@query("weighted_fusion", sql("select query_id, chunk_id, round(0.6 * coalesce(d.score / max_d, 0) + 0.4 * coalesce(s.score / max_s, 0), 6) as fused from (select *, max(score) over (partition by query_id) as max_d from dense) d full join (select *, max(score) over (partition by query_id) as max_s from ranked) s using (query_id, chunk_id)", "chunks", "queries", dense=_dense, **_bm))
+@query("weighted_fusion", sql("select query_id, chunk_id, round(0.6 * coalesce(d.score / max_d, 0) + 0.4 * coalesce(s.score / max_s, 0), 6) as fused from (select *, max(score) over (partition by query_id) as max_d from dense) d full join (select *, max(score) over (partition by query_id) as max_s from ranked) s using (query_id, chunk_id)", "chunks", "queries", **_dense, **_bm))
 def weighted_fusion(spark, d):
     return Q.weighted_fusion(dense(spark, d), bm25_search(spark, d))
 
 
-@query("hybrid_search", None)
+def _scoped(cands: str) -> dict[str, str]:
+    """BM25 in SQL with the statistics of each query's own candidates (query_id, chunk_id), as ``csp`` with ranks."""
+    return {
+        "qt": _bm["qt"], "ctok": f"select query_id as set_id, chunk_id, t as term from (select query_id, chunk_id, unnest(regexp_split_to_array(lower(content), '\\s+')) as t from {cands} join chunks using (chunk_id)) where t <> ''",
+        "ctf": "select set_id, chunk_id, term, count(*) as tf from ctok group by 1, 2, 3", "clen": "select set_id, chunk_id, count(*) as length from ctok group by 1, 2", "ctot": "select set_id, count(*) as n, avg(length) as mean_length from clen group by 1",
+        "craw": "select set_id, term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from ctf join ctot using (set_id) group by set_id, term, n", "cidf": "select set_id, term, case when raw < 0 then 0.25 * avg(raw) over (partition by set_id) else raw end as idf from craw",
+        "cbm": "select set_id as query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) as score from (select query_id as set_id, term, times from qt) join ctf using (set_id, term) join cidf using (set_id, term) join clen using (set_id, chunk_id) join ctot using (set_id) group by 1, 2",
+        "csp": "select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from cbm where score > 0",
+    }
+
+
+_filtered = {
+    "found": "select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from near join chunks using (chunk_id) join documents on doc_id = document_id where lang = case when query_id % 5 = 0 then 'xx' else 'de' end",
+    "densef": "select * from found where rank <= 30", "cands": "select query_id, chunk_id, score, rank from densef union all select query_id, chunk_id, score, rank from dense where query_id not in (select query_id from densef)",
+}
+_fused = "select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as fused from (select query_id, chunk_id, rank from cands union all select query_id, chunk_id, rank from csp) group by 1, 2"
+
+
+@query("hybrid_search", sql("select f.query_id, f.chunk_id, fused, f.rank, c.score as dense_score, s.score as sparse_score from (select *, cast(row_number() over (partition by query_id order by fused desc, chunk_id) as integer) as rank from fu) f left join cands c using (query_id, chunk_id) left join csp s using (query_id, chunk_id) where f.rank <= 10", "chunks", "queries", **_dense, **_filtered, **_scoped("cands"), fu=_fused))
 def hybrid_search(spark, d):
-    return Q.hybrid(Q.ranked(dense(spark, d), 30), chunks(spark, d), questions(spark, d), 10)
+    """Questions ask for German texts, every fifth for a language that no text is in: these fall back to all texts."""
+    german = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("document_id"))
+    c = chunks(spark, d)
+    v = c.join(german, "document_id", "left_semi").select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
+    q = questions(spark, d).where("query_id % 5 <> 0").select("query_id", V.hash_vector("query", 32).alias("vector"))
+    filtered = V.top_k(v, q, 30).withColumnRenamed("id", "chunk_id")
+    return Q.hybrid(filtered, c, questions(spark, d), 10, dense(spark, d))
+
+
+_lacking = {
+    "first": "select chunk_id from chunks order by chunk_index, chunk_id limit 200", "lack": "select query_id from queries where query_id % 3 <> 0", "named": "select query_id, query_id as document_id from lack where query_id % 3 = 1 and query_id in (select doc_id from documents)",
+    "cands": "select query_id, chunk_id from named join chunks using (document_id) union all select query_id, chunk_id from lack, first where query_id not in (select query_id from named)",
+}
 
 
-@query("fallback_candidates", sql("select query_id, count(*) as n from (select query_id from queries where query_id not in (select query_id from dense where query_id % 3 = 0)), (select chunk_id from chunks order by chunk_index, chunk_id limit 200) group by 1", "chunks", "queries", dense=_dense))
+@query("fallback_candidates", sql("select query_id, chunk_id, score, rank from csp", "chunks", "queries", **_lacking, **_scoped("cands")))
 def fallback_candidates(spark, d):
     found = dense(spark, d).where("query_id % 3 = 0")
-    return Q.fallback(questions(spark, d), found, chunks(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"))
+    q = questions(spark, d)
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
+    named = q.where("query_id % 3 = 1").join(ids, F.col("query_id") == F.col("document_id")).select("query_id", "document_id")
+    return Q.fallback(q, found, chunks(spark, d), named=named)
+
+
+_variants = {
+    "asked": "select * from queries", "parts": _parts, "pairs": _pairs, "made": _made, "v": "select query_id, query_id * 10 + n as vid, variant from (select *, row_number() over (partition by query_id order by own, variant) as n from made) where n <= 3",
+    **{k: _bm[k] for k in ("toks", "tf", "lens", "tot", "raw", "idf")}, "vt": "select vid, query_id, t as term, count(*) as times from (select vid, query_id, unnest(string_split(lower(variant), ' ')) as t from v) where t <> '' group by 1, 2, 3",
+    "vbm": "select vid, query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) as score from vt join idf using (term) join tf using (term) join lens using (chunk_id), tot group by 1, 2, 3",
+    "best": "select query_id, chunk_id, max(score) as score from vbm where score > 0 group by 1, 2",
+}
+
+
+@query("best_of_variants", sql("select * from (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from best) where rank <= 10", "chunks", "queries", **_variants))
+def best_of_variants(spark, d):
+    v = Q.variants(questions(spark, d)).withColumn("vid", F.col("query_id") * 10 + F.col("variant_no") + 1)
+    scores = Q.bm25(Q.postings(chunks(spark, d)), v.select(F.col("vid").alias("query_id"), F.col("variant").alias("query")), None)
+    return Q.best_of_variants(scores.withColumn("query_id", F.floor(F.col("query_id") / 10)), 10)
+
+
+_final = "round(0.8 / (1 + exp(-(len(list_intersect(string_split(lower(query), ' '), regexp_split_to_array(lower(content), '\\s+'))) / 2.0::double - 1))) + 0.2 * least(score, 1.0), 6)"
+_rr = f"select * from (select query_id, chunk_id, document_id, {_final} as final, cast(row_number() over (partition by query_id order by {_final} desc, chunk_id) as integer) as rank from dense join chunks using (chunk_id) join queries using (query_id) where {_final} >= 0.3)"
 
 
-_final = "round(0.8 / (1 + exp(-((document_id % 13) / 5.0 - 1))) + 0.2 * least(score, 1.0), 6)"
-_rr = f"select * from (select query_id, chunk_id, document_id, {_final} as final, cast(row_number() over (partition by query_id order by {_final} desc, chunk_id) as integer) as rank from dense join chunks using (chunk_id) where {_final} >= 0.3)"
+def scored(spark, d):
+    """The dense results with their chunks and a rerank score: how many words of the question the chunk has."""
+    r = dense(spark, d).withColumnRenamed("score", "fused").drop("rank").join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    met = F.array_intersect(F.split(F.lower("query"), " "), F.split(F.lower("content"), r"\s+"))
+    return r.withColumn("rerank_score", F.size(met) / 2.0 - 1)
 
 
 def reranked(spark, d):
-    r = dense(spark, d).withColumnRenamed("score", "fused").join(chunks(spark, d), "chunk_id").withColumn("rerank_score", F.col("document_id") % 13 / 5.0 - 1)
-    return Q.rerank(r, 0.3)
+    return Q.rerank(scored(spark, d), 0.3)
 
 
-@query("reranked", sql("select query_id, chunk_id, final, rank from rr", "chunks", "queries", dense=_dense, rr=_rr))
+@query("reranked", sql("select query_id, chunk_id, final, rank from rr", "chunks", "queries", **_dense, rr=_rr))
 def reranked_query(spark, d):
     return reranked(spark, d).select("query_id", "chunk_id", "final", "rank")
 
 
-@query("per_document_cap", sql("select query_id, chunk_id from (select *, row_number() over (partition by query_id, document_id % 3 order by rank) as n from rr) where n <= 2", "chunks", "queries", dense=_dense, rr=_rr))
+@query("per_document_cap", sql("select query_id, chunk_id from (select *, row_number() over (partition by query_id, document_id % 3 order by rank) as n from rr) where n <= 2", "chunks", "queries", **_dense, rr=_rr))
 def per_document_cap(spark, d):
     return Q.per_document(reranked(spark, d).withColumn("document_id", F.col("document_id") % 3), 2).select("query_id", "chunk_id")
 
@@ -289,8 +358,7 @@ def diverse_results(spark, d):
 
 @query("retrieve_and_rerank", None)
 def retrieve_and_rerank(spark, d):
-    r = dense(spark, d).withColumnRenamed("score", "fused").join(chunks(spark, d), "chunk_id").withColumn("rerank_score", F.col("document_id") % 13 / 5.0 - 1)
-    return Q.retrieve_and_rerank(r).select("query_id", "chunk_id", "final", "rank")
+    return Q.retrieve_and_rerank(scored(spark, d)).select("query_id", "chunk_id", "final", "rank")
 
 
 _first = "lower(string_split(query, ' ')[1])"
@@ -299,7 +367,7 @@ _first = "lower(string_split(query, ' ')[1])"
 _cut = "case when p = 0 then left(content, 160) || (case when length(content) > 160 then '...' else '' end) else (case when lo > 0 then '...' else '' end) || substr(content, lo + 1, hi - lo) || (case when hi < length(content) then '...' else '' end) end"
 
 
-@query("snippets", sql(f"select query_id, chunk_id, {_cut} as snippet from (select *, greatest(0, p - 81) as lo, least(length(content), p + 79) as hi from (select *, strpos(lower(content), {_first}) as p from dense join chunks using (chunk_id) join queries using (query_id)))", "chunks", "queries", dense=_dense))
+@query("snippets", sql(f"select query_id, chunk_id, {_cut} as snippet from (select *, greatest(0, p - 81) as lo, least(length(content), p + 79) as hi from (select *, strpos(lower(content), {_first}) as p from dense join chunks using (chunk_id) join queries using (query_id)))", "chunks", "queries", **_dense))
 def snippets(spark, d):
     r = dense(spark, d).join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
     return r.select("query_id", "chunk_id", Q.snippet("content", "query").alias("snippet"))
@@ -311,9 +379,9 @@ def highlighted(spark, d):
     return r.select("query_id", "chunk_id", Q.highlighted("content", "query").alias("text"))
 
 
-@query("shaped_results", sql("select query_id, chunk_id, coalesce(case when document_id % 5 <> 0 then 'Title ' || document_id end, 'Unknown Document') as title, 1 as page from dense join chunks using (chunk_id)", "chunks", "queries", dense=_dense))
+@query("shaped_results", sql("select query_id, chunk_id, coalesce(case when document_id % 5 <> 0 then 'Title ' || document_id end, 'Unknown Document') as title, page from dense join chunks using (chunk_id)", "chunks", "queries", **_dense))
 def shaped_results(spark, d):
-    t = chunks(spark, d).where("document_id % 5 <> 0").select("document_id", F.concat(F.lit("Title "), F.col("document_id").cast("string")).alias("title"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("document_id")).where("document_id % 5 <> 0").select("document_id", F.concat(F.lit("Title "), F.col("document_id").cast("string")).alias("title"))
     return Q.shaped(Q.with_content(dense(spark, d), chunks(spark, d)), t).select("query_id", "chunk_id", "title", "page")
 
 
@@ -322,7 +390,7 @@ def search_log(spark, d):
     return Q.search_log(bm25_search(spark, d), questions(spark, d))
 
 
-@query("search_modes", sql("select 'keyword' as mode, query_id, count(*) as n from ranked group by 2 union all select 'semantic', query_id, count(*) from dense group by 2", "chunks", "queries", dense=_dense, **_bm))
+@query("search_modes", sql("select 'keyword' as mode, query_id, count(*) as n from ranked group by 2 union all select 'semantic', query_id, count(*) from dense group by 2", "chunks", "queries", **_dense, **_bm))
 def search_modes(spark, d):
     both = Q.by_mode(keyword=bm25_search(spark, d), semantic=dense(spark, d))
     return both.groupBy("mode", "query_id").agg(F.count("*").alias("n"))

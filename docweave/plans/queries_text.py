@@ -166,25 +166,25 @@ def chunk_runs(spark, d):
 
 
 def text_lines(spark, d):
-    t = S.rendered(spark, d).where("document_id % 7 = 0")
+    t = S.rendered(spark, d)
     b = P.text_blocks(t.select("document_id", "text"))
     return b, t.select("document_id", "document_type")
 
 
 _class = "case when contains(low, 'invoice') or contains(low, 'vendor') or contains(low, 'from') then 'header' when contains(low, 'bill to') or contains(low, 'customer') or contains(low, 'client') then 'customer' when contains(low, 'payment') or contains(low, 'due date') or contains(low, 'terms') then 'payment' when contains(low, 'total') or contains(low, 'tax') then 'totals' else 'other' end"
-_tlines = "select document_id, document_type, trim(line) as text, i, lower(trim(line)) as low from (select document_id, document_type, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from texts where document_id % 7 = 0) where trim(line) <> ''"
+_tlines = "select document_id, document_type, trim(line) as text, i, lower(trim(line)) as low from (select document_id, document_type, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from texts) where trim(line) <> ''"
 
 
 @query("section_chunks", sql(f"select document_id, {_class} as chunk_type, string_agg(text, chr(10) order by i) as content from tlines where document_type in ('invoice', 'receipt', 'purchase_order') group by 1, 2", "texts", tlines=_tlines))
 def section_chunks(spark, d):
     b, types = text_lines(spark, d)
-    return H.by_family(b, types).where("section_name in ('Header', 'Customer', 'Payment', 'Totals', 'Other') and chunk_type <> 'clause'").select("document_id", "chunk_type", "content")
+    return H.by_family(b, types).where("section_name in ('Header', 'Customer', 'Payment', 'Totals', 'Other') and chunk_type not in ('clause', 'section')").select("document_id", "chunk_type", "content")
 
 
-@query("chunk_families", sql("select case when document_type in ('invoice', 'receipt', 'purchase_order') then 'sections' when document_type in ('contract', 'policy') then 'clause' else 'generic' end as family, cast(count(distinct document_id) as bigint) as documents from tlines group by 1", "texts", tlines=_tlines))
+@query("chunk_families", sql("select case when document_type in ('invoice', 'receipt', 'purchase_order') then 'sections' when document_type = 'contract' then 'clause' when document_type = 'policy' then 'section' else 'generic' end as family, cast(count(distinct document_id) as bigint) as documents from tlines group by 1", "texts", tlines=_tlines))
 def chunk_families(spark, d):
     b, types = text_lines(spark, d)
-    kind = F.when(F.col("chunk_type").isin("clause", "generic"), F.col("chunk_type")).otherwise("sections")
+    kind = F.when(F.col("chunk_type").isin("clause", "section", "generic"), F.col("chunk_type")).otherwise("sections")
     return H.by_family(b, types).groupBy(kind.alias("family")).agg(F.count_distinct("document_id").alias("documents"))
 
 
@@ -249,7 +249,8 @@ def field_search(spark, d):
 
 @query("metadata_export", sql("select document_id, string_agg(key || '=' || value, ';' order by key) as fields from fields group by 1", "inv", fields=_all_fields))
 def metadata_export(spark, d):
-    m = E.field_map(fields(spark, d))
+    order = F.array_position(F.array(*map(F.lit, ("currency", "date", "given"))), F.col("extractor"))
+    m = E.field_map(fields(spark, d).withColumn("seq", order))
     return m.select("document_id", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("fields"))
 
 
@@ -260,7 +261,7 @@ def money_facts(spark, d):
 
 @query("wide_facts", sql("select document_id, case when invoice_total >= 0 then invoice_total end as invoice_total, subtotal, tax_amount, cast(null as double) as discount from inv where subtotal is not null or invoice_total >= 0", "inv"))
 def wide_facts(spark, d):
-    return E.fact_map(E.money_facts(S.rendered(spark, d)))
+    return E.fact_map(E.money_facts(S.rendered(spark, d)).withColumn("seq", F.lit(0)))
 
 
 @query("fact_issues", sql("select document_id, 'total off' as issue from inv where abs(subtotal + tax_amount - invoice_total) > 0.02 * greatest(invoice_total, 1.0) union all select document_id, 'negative total' from inv where invoice_total < 0", "inv"))
@@ -297,12 +298,12 @@ def statement_facts(spark, d):
     return E.table_facts(statement_cells(spark, d)).drop("row")
 
 
-@query("statement_text_facts", "select cast(y as integer) as document_id, case o_orderstatus when 'F' then 'revenue' when 'O' then 'cost_of_revenue' else 'net_income' end as fact_type, total as value, 0.5 as confidence from (select year(o_orderdate) as y, o_orderstatus, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders group by 1, 2)")
+@query("statement_text_facts", "select cast(y as integer) as document_id, case o_orderstatus when 'F' then 'revenue' when 'O' then 'cost_of_revenue' else 'net_income' end as fact_type, total as value, 0.5 as confidence from (select year(o_orderdate) as y, o_orderstatus, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders group by 1, 2) where y % 4 <> 0")
 def statement_text_facts(spark, d):
     c = statement_cells(spark, d).where("col <> 1")
     lines = c.groupBy("table_id", "row").agg(F.concat_ws(": ", F.min_by("text", "col"), F.max_by("text", "col")).alias("line"))
     docs = lines.groupBy(F.col("table_id").alias("document_id")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
-    return E.statement_facts(docs)
+    return E.statement_facts(docs, c.where("table_id % 4 = 0").select(F.col("table_id").alias("document_id")))
 
 
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"

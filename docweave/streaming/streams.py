@@ -45,10 +45,13 @@ def error_groups(errors: DataFrame) -> DataFrame:
 
 
 def windowed_alerts(counts: DataFrame, rules: DataFrame, target: str, checkpoint: str):
-    """Each micro-batch of window counts (start, metric, value) against static rules."""
+    """Each micro-batch of window counts (start, metric, value) against static rules.
+
+    In update mode a window is judged with every batch that changes it, so the last windows count as well; of its alerts, the
+    one of the last ``batch`` holds.
+    """
 
     def judge(batch: DataFrame, number: int) -> None:
-        v = batch.select("start", F.col("metric"), F.col("value"))
-        monitoring.alerts(rules, v).join(v, ["metric", "value"]).distinct().write.mode("overwrite").parquet(f"{target}/batch={number}")
+        monitoring.alerts(rules, batch.select("start", "metric", "value")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return counts.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

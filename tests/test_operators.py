@@ -1,6 +1,8 @@
 """Operators on small literal frames."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,88 @@ def test_lsh_finds_nine_of_ten_neighbours(spark):
     recall = len(exact & found) / len(exact)
     print(f"recall {recall:.3f}")
     assert recall >= 0.9
+
+
+def test_percentiles_of_one_heavy_key(spark):
+    rng = random.Random(3)
+    values = {"heavy": [rng.choice([5.0, rng.random() * 100]) for _ in range(3000)], "one": [2.5], "same": [1.0] * 40}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "kind string, ms double")
+    for r in evaluation.percentiles(df, "kind").collect():
+        own = sorted(values[r.kind])
+        assert [r.p50, r.p95, r.p99] == [own[min(len(own) * p // 100, len(own) - 1)] for p in (50, 95, 99)]
+
+
+def test_trail_across_stretches(spark):
+    docs = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(50)], "run_id string, document_id long")
+    found = spark.createDataFrame([(i, i % 2 == 0) for i in range(50) for _ in range(i % 4)], "document_id long, triggered boolean")
+    rows = [sorted(map(tuple, context.memory_trail(found, docs, w).collect())) for w in (7, 1000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 50 and max(r[3] for r in rows[0] if r[0] == "a") == sum(i % 4 for i in range(50) if i % 3)
+
+
+def test_nearest_vectors_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)] if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    q = df.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    good = {i: v for i, v in rows if v and norm(v)}
+    for block in (2_000, 4):
+        got = {}
+        for r in vectors.top_k(df, q, 4, block=block).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+        want = {}
+        for i in (i for i in good if i % 20 == 0):
+            near = sorted((-round(sum(a * b for a, b in zip(good[i], v, strict=True)) / norm(good[i]) / norm(v), 6), j) for j, v in good.items() if j != i)[:4]
+            want[i] = [(k + 1, j, -s + 0.0) for k, (s, j) in enumerate(near)]
+        assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_policies_have_sections_without_a_name(spark):
+    rows = [(d, f"{d}{i}", "heading" if i == 2 else "paragraph", t, 1, i) for d in (1, 2) for i, t in enumerate(["before", "more", "Scope", "after"])]
+    blocks = spark.createDataFrame(rows, "document_id long, block_id string, type string, text string, page int, order int")
+    types = spark.createDataFrame([(1, "policy"), (2, "contract")], "document_id long, document_type string")
+    got = sorted((r.document_id, r.chunk_type, str(r.section_name), r.content) for r in chunking.by_family(blocks, types).collect())
+    assert got == [(1, "section", "None", "before\nmore"), (1, "section", "Scope", "Scope\nafter"), (2, "clause", "Preamble", "before\nmore"), (2, "clause", "Scope", "Scope\nafter")]
+    own = {"policy": lambda b: chunking.clauses(b, "Own", "own")}
+    assert {r.section_name for r in chunking.by_family(blocks, types, own).where("chunk_type = 'own'").collect()} == {"Own", "Scope"}
+
+
+def test_last_value_counts(spark):
+    df = spark.createDataFrame([(1, "vendor", "old", 0.9, 1), (1, "vendor", "new", 0.1, 2)], "document_id long, key string, value string, confidence double, seq int")
+    assert extract.field_map(df).first().fields == {"vendor": "new"}
+    facts = spark.createDataFrame([(1, "subtotal", 5.0, 0.9, 1), (1, "subtotal", 7.0, 0.1, 2), (1, "discount", 1.0, 0.5, 3)], "document_id long, fact_type string, value double, confidence double, seq int")
+    r = extract.fact_map(facts).first()
+    assert (r.subtotal, r.discount, r.invoice_total) == (7.0, 1.0, None)
+
+
+def test_every_reason_of_a_field(spark):
+    rows = [("currency", "CHF", 0.9), ("currency", "ZZZ", 0.9), ("due_date", "1/2/2020", 0.9), ("vendor", " ", 0.9), ("vendor", "x", 0.5)]
+    df = spark.createDataFrame(rows, "key string, value string, confidence double")
+    got = [(r.status, r.issue) for r in extract.validate_fields(df, rules.CURRENCIES).collect()]
+    assert got == [("valid", None), ("needs_review", "unknown currency"), ("needs_review", "date not ISO"), ("invalid", "empty value"), ("needs_review", "low confidence")]
+
+
+def test_embedder_and_reranker_hooks(spark):
+    store = spark.createDataFrame([("a", "m1", True)], "text string, model string, is_active boolean").withColumn("hash", F.sha2("text", 256))
+    new = spark.createDataFrame([("a", "m1"), ("a", "m2"), ("b", "m1")], "text string, model string")
+    todo = vectors.embedded(vectors.to_embed(new, store), lambda t: F.array(F.length(t).cast("double")))
+    assert sorted((r.text, r.model, r.vector) for r in todo.collect()) == [("a", "m2", [1.0]), ("b", "m1", [1.0])]
+    found = spark.createDataFrame([(1, "c1", 0.9, "q", "long content"), (1, "c2", 0.1, "q", "q")], "query_id long, chunk_id string, fused double, query string, content string")
+    top = retrieval.rerank(found, scorer=lambda q, c: F.when(q == c, 5.0).otherwise(-5.0)).where("rank = 1").first()
+    assert top.chunk_id == "c2"
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """Four batches: the last has a row of a window that the watermark passed two batches ago."""
+    from docweave.streaming import streams
+
+    parts = [["10:00:10", "10:00:50", "10:01:10"], ["10:30:00"], ["10:31:00"], ["10:00:20", "10:50:00"]]
+    for i, times in enumerate(parts):
+        rows = spark.createDataFrame([(f"2024-01-01 {t}", "click") for t in times], "ts string, event_type string").withColumn("ts", F.to_timestamp_ntz("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their time
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    counts = streams.counters(streams.read_stream(spark, str(tmp_path / "in"), schema, 1), "event_type")
+    counts.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {str(r.start)[11:16]: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"10:00": 2, "10:01": 1, "10:30": 1, "10:31": 1}
