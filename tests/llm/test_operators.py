@@ -17,7 +17,10 @@ import corpus_pipeline
 from docweave.llm import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts, toxicity
 from docweave.llm.components import components
 
-P = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None  # only the tests of the tokenizer's file need it
 SCHEMA = "doc_id long, text string, n_words int, key string, uid long"
 
 
@@ -46,6 +49,8 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def ranks():
+    if P is None:
+        pytest.skip("no tokenizer files")
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
 
 
