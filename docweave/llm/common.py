@@ -83,6 +83,20 @@ def raw(packed: bytes | None) -> bytes:
     return b"" if packed is None else _unpress(packed)
 
 
+def parcels(batches, at: int, most: int = 1 << 22):
+    """The batches in slices of 256 rows at most whose packed texts, in column ``at``, are ``most`` bytes long or one text."""
+    for b in batches:
+        start = total = 0
+        for i, t in enumerate(b.column(at).to_pylist()):
+            n = 0 if t is None else zstandard.frame_content_size(t)
+            if i > start and (total + n > most or i - start == 256):
+                yield b.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        yield b.slice(start)
+        pa.default_memory_pool().release_unused()
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with its text packed (zstd) and a number for each row, and the name of that column, which no other column has.
 
@@ -109,7 +123,7 @@ def unpacked(every: DataFrame, schema: StructType) -> DataFrame:
     at = schema.names.index("text")
 
     def unpack(batches):
-        for b in slices(batches):
+        for b in parcels(batches, at):
             columns = list(b.columns)
             columns[at] = pa.array([None if t is None else raw(t).decode() for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

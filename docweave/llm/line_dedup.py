@@ -17,13 +17,15 @@ and not read. Lines are equal when their 64-bit hashes are.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, cut, join_counted, numbered, raw, rows, slices, texts_of
+from .common import column, cut, join_counted, numbered, parcels, raw, rows, slices, texts_of
 
 MIN_LINES, MIN_WORDS = 2, 5
 
@@ -117,7 +119,7 @@ def marked(every: DataFrame, uid: str, min_lines: int, min_words: int) -> tuple[
     return every.join(runs.select(F.col("row").alias(uid), F.col("runs").alias(name)), uid, "left"), name
 
 
-def struck(text: bytes, packed: bytes | None) -> tuple[str, int, int, int]:
+def struck(text: bytes, packed: bytes | None) -> tuple[bytes, int, int, int]:
     """What is left of a text without its runs, its lines with words, how many of them go, and how many runs."""
     runs = np.frombuffer(packed or b"", "<i8").reshape(-1, 2).tolist()
     kept, k, at = [], 0, 0
@@ -130,21 +132,23 @@ def struck(text: bytes, packed: bytes | None) -> tuple[str, int, int, int]:
         if at == len(runs) or k < runs[at][0]:
             kept.append(line)
         k += 1
-    return b"\n".join(kept).decode(), k, sum(b - a for a, b in runs), len(runs)
+    return b"\n".join(kept), k, sum(b - a for a, b in runs), len(runs)
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_runs, kept_text_sha256) of each document."""
     found, name = marked(*numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), min_lines, min_words)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept_sha256", pa.string())])
 
     def strike(batches):
         for b in slices(batches):
-            text, *numbers = zip(*(struck(raw(t), r) for t, r in zip(column(b, "text"), column(b, "runs"), strict=True)), strict=True)
-            yield rows(schema, [b.column(0), *numbers, text])
+            out = []
+            for t, r in zip(column(b, "text"), column(b, "runs"), strict=True):
+                kept, *numbers = struck(raw(t), r)
+                out.append((*numbers, hashlib.sha256(kept).hexdigest()))
+            yield rows(schema, [b.column(0), *zip(*out, strict=True)] if out else [[] for _ in schema])
 
-    out = found.select("doc_id", "text", F.col(name).alias("runs")).mapInArrow(strike, "doc_id long, n_lines long, n_removed long, n_runs long, text string")
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "text", F.col(name).alias("runs")).mapInArrow(strike, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string")
 
 
 def apply(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -154,10 +158,10 @@ def apply(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def strike(batches):
-        for b in slices(batches):
+        for b in parcels(batches, text):
             gone = b.column(len(schema)).to_pylist()
             packed = zip(b.column(text).to_pylist(), gone, strict=True)
-            out = [(None if t is None else s[0], bool(g) and s[1] == s[2]) for t, g in packed for s in [struck(raw(t), g)]]
+            out = [(None if t is None else s[0].decode(), bool(g) and s[1] == s[2]) for t, g in packed for s in [struck(raw(t), g)]]
             columns = list(b.columns[: len(schema)])
             columns[text] = pa.array([t for t, _ in out], pa.string())
             if size is not None:
