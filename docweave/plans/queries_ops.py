@@ -46,7 +46,14 @@ def trimmed_history(spark, d):
     return T.within_budget(conv(spark, d), "conv_id", "turn", 120, "text", newest=True).select("conv_id", "turn")
 
 
-@query("prompts", None)
+_prompt = {
+    "src": "select query_id, string_agg('[Source ' || rank || ' | Doc: ' || document_id || ' | Page: 1]' || chr(10) || content, chr(10) || chr(10) order by rank) as sources from ranked join chunks using (chunk_id) where rank <= 3 group by 1",
+    "said": "select conv_id as query_id, string_agg(concat_ws(': ', role, text), chr(10) order by turn) as said from (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations) where back <= 6 group by 1",
+}
+_asks = "'Conversation so far:' || chr(10) || coalesce(said, '(none)') || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(sources, '(no relevant context found)') || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Answer:'"
+
+
+@query("prompts", sql(f"select query_id, {_asks} as prompt from queries left join src using (query_id) left join said using (query_id)", "chunks", "queries", **_bm, **_prompt))
 def prompts(spark, d):
     context = bm25_search(spark, d).where("rank <= 3").join(chunks(spark, d), "chunk_id").withColumn("page", F.lit(1))
     return T.prompts(questions(spark, d), context, conv(spark, d).withColumnRenamed("conv_id", "query_id"))

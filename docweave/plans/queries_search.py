@@ -123,15 +123,6 @@ def bm25_search(spark, d):
     return Q.bm25(Q.postings(chunks(spark, d)), questions(spark, d), 10)
 
 
-@query("keyword_search_in_document", None)
-def keyword_search_in_document(spark, d):
-    from ..sources.frames import blocks
-
-    b = blocks(spark, d).select("document_id", F.col("block_id").alias("chunk_id"), F.col("text").alias("content"))
-    q = b.where("chunk_id like '%_b0'").select(F.col("document_id").alias("query_id"), "document_id", F.array_join(F.slice(F.split("content", " "), 1, 3), " ").alias("query"))
-    return Q.bm25(Q.postings(b, "document_id"), q, 5, ("document_id",))
-
-
 _vec = "select v.vec_id as id, q.vec_id as query_id, round(list_dot_product(cast(v.embedding as double[]), cast(q.embedding as double[])) / (sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))) * sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[])))), 6) as score from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id"
 
 
@@ -296,6 +287,18 @@ def hybrid_search(spark, d):
     return Q.hybrid(filtered, c, questions(spark, d), 10, dense(spark, d))
 
 
+_own = {"chunks": "select block_id as chunk_id, document_id, text as content from blocks", "queries": "select document_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') as query from blocks where block_id like '%_b0'", "cands": "select document_id as query_id, chunk_id from chunks where document_id in (select query_id from queries)"}
+
+
+@query("keyword_search_in_document", sql("select query_id, query_id as document_id, chunk_id, score, rank from csp where rank <= 5", "blocks", **_own, **_scoped("cands")))
+def keyword_search_in_document(spark, d):
+    from ..sources.frames import blocks
+
+    b = blocks(spark, d).select("document_id", F.col("block_id").alias("chunk_id"), F.col("text").alias("content"))
+    q = b.where("chunk_id like '%_b0'").select(F.col("document_id").alias("query_id"), "document_id", F.array_join(F.slice(F.split("content", " "), 1, 3), " ").alias("query"))
+    return Q.bm25(Q.postings(b, "document_id"), q, 5, ("document_id",))
+
+
 _lacking = {
     "first": "select chunk_id from chunks order by chunk_index, chunk_id limit 200", "lack": "select query_id from queries where query_id % 3 <> 0", "named": "select query_id, query_id as document_id from lack where query_id % 3 = 1 and query_id in (select doc_id from documents)",
     "cands": "select query_id, chunk_id from named join chunks using (document_id) union all select query_id, chunk_id from lack, first where query_id not in (select query_id from named)",
@@ -414,7 +417,13 @@ def popular_searches(spark, d):
     return Q.popular(log(spark, d))
 
 
-@query("search_suggestions", None)
+_pool = {
+    "recent": "select user_id, query from (select *, row_number() over (partition by user_id order by at_time desc, id desc) as r from log) where r <= 50", "top": "select query from log group by 1 order by count(*) desc, 1 limit 20",
+    "pool": "select user_id, query from recent where starts_with(lower(query), 't') union select user_id, query from (select distinct user_id from events), top where starts_with(lower(query), 't')",
+}
+
+
+@query("search_suggestions", sql("select * from (select user_id, 't' as prefix, query, cast(row_number() over (partition by user_id order by query) as integer) as rank from pool) where rank <= 5", "queries", log=_log, **_pool))
 def search_suggestions(spark, d):
     prefixes = table(spark, d, "events").select("user_id").distinct().select("user_id", F.lit("t").alias("prefix"))
     return Q.suggestions(log(spark, d), prefixes).select("user_id", "prefix", "query", "rank")

@@ -309,12 +309,15 @@ def statement_text_facts(spark, d):
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
 
 
-@query("emails", None)
+_entities = " union all ".join(f"select document_id, block_id, '{k}' as entity_type, trim(unnest(regexp_extract_all(text, '{p}', 1))) as value from blocks" for k, p in E.ENTITIES.items())
+
+
+@query("emails", sql("select document_id, block_id, value from entities where entity_type = 'email'", "blocks", entities=_entities))
 def emails(spark, d):
     return E.entities(S.blocks(spark, d)).where("entity_type = 'email'").select("document_id", "block_id", "value")
 
 
-@query("entity_counts", None)
+@query("entity_counts", sql("select entity_type, count(*) as n, count(distinct document_id) as documents from entities group by 1", "blocks", entities=_entities))
 def entity_counts(spark, d):
     return E.entities(S.blocks(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
 
