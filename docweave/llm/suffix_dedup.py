@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, cut, join_counted, mix, numbered_texts, raw, rows, slices
+from .common import Scratch, column, cut, mix, numbered_texts, raw, rows, slices
 from .sieve import KEPT, buckets_for, packed, passes, repeated, sieve
 
 LENGTH, TRIGGER = 100, 32
@@ -244,8 +244,9 @@ def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.keep(phrases(texts, sieve(cut(repeated_triggers(texts)), "key")))
     # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
     dictionary = scratch.keep(found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n")).select("trigger", "key", "first.*", "n"))
-    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"), "n")
-    later = join_counted(with_keys(found, sieve(firsts, "key")), firsts, "trigger", "key", size="n").where("row <> first_row or span <> first_span")
+    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
+    # adaptive execution splits the partition of a phrase that very many texts have
+    later = with_keys(found, sieve(firsts, "key")).join(firsts, ["trigger", "key"]).where("row <> first_row or span <> first_span")
     later = later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi"))
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
     wanted = scratch.keep(dictionary.select("trigger", "row", "span").join(several, "trigger"))
