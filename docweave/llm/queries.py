@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, suffix_dedup, token_counts, toxicity
+from . import bpe, chat, decontaminate, license_scan, line_dedup, neighbours, ngram_join, prefix_trie, quality, ranked_search, suffix_dedup, token_counts, toxicity
 from .common import read
 
 
@@ -56,5 +56,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op7_line_dedup, op8_suffix_dedup, op9_chat_format, op10_decontaminate)}
-ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_join, op3_bpe, op4_license_scan, op5_token_counts, op6_quality_rules, op7_line_dedup, op8_suffix_dedup, op9_chat_format, op10_decontaminate, op11_multi_index, op12_prefix_trie, op13_ranked_search)}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
