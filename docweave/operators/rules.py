@@ -46,10 +46,24 @@ def with_history(docs: DataFrame, config: dict, days: int | None = None) -> Data
     same = docs.where("invoice_number is not null").groupBy("invoice_number").agg(F.count("*").alias("same_number"))
     limit = config["approval_limit"]
     near = (F.col("document_type") == "invoice") & (F.col("invoice_total") >= config["split_from"] * limit) & (F.col("invoice_total") < limit) & F.col("vendor").isNotNull()
-    span = days or config["split_days"]
-    around = Window.partitionBy("vendor").orderBy(F.unix_date("invoice_date")).rangeBetween(-span, span)
-    related = docs.where(near).select("document_id", (F.count("*").over(around) - 1).alias("related"))
-    return docs.join(same, "invoice_number", "left").join(related, "document_id", "left")
+    around = counts_around(docs.where(near), "vendor", "invoice_date", days or config["split_days"])
+    related = around.select("vendor", "invoice_date", (F.col("around") - 1).alias("beside"))
+    out = docs.join(same, "invoice_number", "left").join(related, ["vendor", "invoice_date"], "left")
+    return out.withColumn("related", F.when(near, F.col("beside"))).drop("beside")
+
+
+def counts_around(rows: DataFrame, key: str, day: str, span: int) -> DataFrame:
+    """(key, day, around): for each day of a key, the rows of the key at most ``span`` days away; days without a date have none.
+
+    Rows are counted by day first, and days meet by cells of ``span`` days: a day looks into its own cell and the two beside it, so a
+    task gets a few cells of days, never all rows of a key.
+    """
+    daily = rows.where(F.col(day).isNotNull()).groupBy(key, day).agg(F.count("*").alias("n"))
+    cell = F.floor(F.unix_date(day) / span)
+    one = daily.select(key, day, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    other = daily.select(key, F.col(day).alias("its_day"), "n", cell.alias("cell"))
+    close = F.abs(F.unix_date(day) - F.unix_date("its_day")) <= span
+    return one.join(other, [key, "cell"]).where(close).groupBy(key, day).agg(F.sum("n").alias("around"))
 
 
 def rules(as_of: str, config: dict | None = None) -> list[Rule]:
@@ -95,26 +109,52 @@ def item_signals(items: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return items.groupBy("document_id").agg(F.count_if(off).alias("bad_items"))
 
 
-def findings(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = ()) -> DataFrame:
-    """(document_id, rule_key, triggered, severity, confidence): each applicable active rule of each document.
+def _guarded(c: Column) -> Column:
+    """The column as text, null where its evaluation raises an error: bytes made by a ``try_`` function, which catches it.
 
-    A trigger that cannot be told (null) is not triggered, so a bad value of one rule leaves the others as they are.
+    It must stand within a branch of a conditional: an expression that several rules share is otherwise computed once, outside.
     """
-    one = lambda r: F.when(
-        F.lit(not r.types) | F.col("document_type").isin(list(r.types)),
-        F.struct(F.lit(r.key).alias("rule_key"), F.coalesce(r.trigger, F.lit(False)).alias("triggered"), F.lit(r.severity).alias("severity"), (r.confidence if r.confidence is not None else F.lit(1.0)).cast("double").alias("confidence")),
-    )
+    return F.try_to_binary(c.cast("string"), F.lit("utf-8")).cast("string")
+
+
+def evaluated(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, rule_key, triggered, severity, confidence, failed): each applicable active rule of each document.
+
+    A trigger that cannot be told (null) is not triggered. A rule whose trigger or confidence raises an error for a document has
+    failed for it, with no result; the others stay as they are.
+    """
+    every = F.length(F.coalesce("document_type", F.lit(""))) >= 0  # always, but not folded away
+
+    def one(r: Rule) -> Column:
+        sure = _guarded(F.coalesce(r.confidence, F.lit(0.0))) if r.confidence is not None else F.lit("1.0")
+        parts = F.struct(F.lit(r.key).alias("rule_key"), _guarded(F.coalesce(r.trigger, F.lit(False))).alias("triggered"), F.lit(r.severity).alias("severity"), sure.alias("confidence"))
+        return F.when(F.col("document_type").isin(list(r.types)) if r.types else every, parts)
+
     made = F.filter(F.array(*(one(r) for r in chosen if r.key not in inactive)), lambda x: x.isNotNull())
-    return docs.select("document_id", F.explode(made).alias("f")).select("document_id", "f.*")
+    long = docs.select("document_id", F.explode(made).alias("f")).select("document_id", "f.*")
+    failed = F.col("triggered").isNull() | F.col("confidence").isNull()
+    return long.select("document_id", "rule_key", F.coalesce(F.col("triggered") == "true", F.lit(False)).alias("triggered"), "severity", F.col("confidence").cast("double").alias("confidence"), failed.alias("failed"))
+
+
+def findings(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, rule_key, triggered, severity, confidence): the results of ``evaluated`` rules that did not fail."""
+    return evaluated(docs, chosen, inactive).where("not failed").drop("failed")
+
+
+def failed_rules(found: DataFrame) -> DataFrame:
+    """(rule_key, documents): of ``evaluated`` rules, those that failed, and for how many documents."""
+    return found.where("failed").groupBy("rule_key").agg(F.count("*").alias("documents"))
 
 
 def risk_score(found: DataFrame) -> DataFrame:
-    """(document_id, executed, triggered, score, level, route) of findings."""
+    """(document_id, executed, triggered, score, level, route) of findings; of ``evaluated`` rules also ``failed``, which count as not executed."""
     weight = F.lit(OTHER_WEIGHT)
     for severity, w in WEIGHTS.items():
         weight = F.when(F.col("severity") == severity, w).otherwise(weight)
-    score = F.round(F.least(F.lit(100.0), F.sum(F.when(F.col("triggered"), weight * F.col("confidence")).otherwise(0.0))), 6)
-    out = found.groupBy("document_id").agg(F.count("*").alias("executed"), F.count_if("triggered").alias("triggered"), score.alias("score"))
+    known = "failed" in found.columns
+    fine = ~F.col("failed") if known else F.lit(True)
+    score = F.round(F.least(F.lit(100.0), F.sum(F.when(fine & F.col("triggered"), weight * F.col("confidence")).otherwise(0.0))), 6)
+    out = found.groupBy("document_id").agg(F.count_if(fine).alias("executed"), F.count_if(fine & F.col("triggered")).alias("triggered"), *([F.count_if("failed").alias("failed")] if known else []), score.alias("score"))
     return out.withColumn("level", level("score")).withColumn("route", route("level"))
 
 
@@ -142,6 +182,22 @@ def changed(defs: DataFrame, log: DataFrame) -> DataFrame:
     return defs.join(last, "rule_key", "left").select("rule_key", "severity", "types", F.coalesce("now", "active").alias("active"), (F.col("version") + F.coalesce("changes", F.lit(0))).cast("int").alias("version"))
 
 
+def change_events(defs: DataFrame, log: DataFrame) -> DataFrame:
+    """(rule_key, at, action, version): what an audit of rule changes reads, an event for each entry of the change log.
+
+    ``action``: enabled or disabled where the state is set, else updated; ``version`` is that after the entry. Entries of unknown rules are left out.
+    """
+    w = Window.partitionBy("rule_key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    action = F.when(F.col("now"), "enabled").when(~F.col("now"), "disabled").otherwise("updated")
+    entries = log.select("rule_key", "at", F.col("active").alias("now"), F.count("config").over(w).alias("changes"))
+    return entries.join(defs.select("rule_key", "version"), "rule_key").select("rule_key", "at", action.alias("action"), (F.col("version") + F.col("changes")).cast("int").alias("version"))
+
+
+def active_keys(defs: DataFrame, log: DataFrame) -> DataFrame:
+    """(rule_key): the rules that the change log leaves active."""
+    return changed(defs, log).where("active").select("rule_key")
+
+
 def contradictions(answers: DataFrame, facts: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """(answer_id, fact_type): facts named in an answer that has numbers, none of them near the fact's value."""
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"\d[\d,]*\.?\d*"), F.lit(0)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder
 from ..operators import admission as A
 from ..operators import chunking as H
 from ..operators import context as T
@@ -471,17 +470,8 @@ def stage_runs(spark, d):
     return A.activity(A.run_log(c, "chunked"))
 
 
-def _folder(spark) -> str:
-    import uuid
-
-    given = spark.conf.get("spark.checkpoint.dir", "")
-    if not given and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{given or 'file://' + tempfile.mkdtemp(prefix='docweave-')}/{uuid.uuid4().hex}"
-
-
 def _streamed(spark, stream, mode: str):
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     if mode == "append":
         stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -521,7 +511,7 @@ def stream_distinct_contents(spark, d):
 
 @query("stream_ingest", sql("select extension, count(*) as n from (select *, case when contains(s, '.') then lower(string_split(s, '.')[-1]) else '' end as extension from (select string_split(file_name, '/')[-1] as s from files)) group by 1", "files"))
 def stream_ingest(spark, d):
-    folder, t = _folder(spark), table(spark, d, "documents")
+    folder, t = shared_folder(spark), table(spark, d, "documents")
     i = F.col("doc_id")
     names = ["txt", "md", "exe", "html", "TXT", "csv", "zip", "pdf", "js", ""]
     ext = F.element_at(F.array(*map(F.lit, names)), (i % 10 + 1).cast("int"))
@@ -533,7 +523,7 @@ def stream_ingest(spark, d):
 
 @query("stream_alerts", "select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type as metric, n as value, 'busy-' || event_type as name, 'high' as severity from (select date_trunc('hour', ts) as start, event_type, cast(count(*) as double) as n from events group by 1, 2) where n > 1")
 def stream_alerts(spark, d):
-    folder, t = _folder(spark), table(spark, d, "events")
+    folder, t = shared_folder(spark), table(spark, d, "events")
     c = streams.counters(streams.read_stream(spark, f"{d}/events.parquet*", t.schema), "event_type", "1 hour").select("start", F.col("event_type").alias("metric"), F.col("n").cast("double").alias("value"))
     rules = t.select("event_type").distinct().select(F.concat(F.lit("busy-"), "event_type").alias("name"), F.col("event_type").alias("metric"), F.lit("gt").alias("condition"), F.lit(1.0).alias("threshold"), F.lit("high").alias("severity"), F.lit(True).alias("active"))
     streams.windowed_alerts(c, rules, f"{folder}/out", f"{folder}/state").awaitTermination()

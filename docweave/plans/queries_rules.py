@@ -82,6 +82,62 @@ def rule_definitions_seeded(spark, d):
     return R.changed(R.seed(some, defaults), log).select("rule_key", "severity", "active", "version")
 
 
+#: Rules of a user's own that raise errors for some documents: a division by zero, a cast of a text that is no number, a check that is broken.
+def own_rules():
+    total, k = F.col("invoice_total"), F.col("document_id")
+    return [
+        R.Rule("share_of_group", "low", (), total / (k % 5) > 1000.0),
+        R.Rule("number_after_prefix", "medium", ("invoice",), F.col("file_name").substr(9, 3).cast("int") > 500),
+        R.Rule("broken", "critical", ("policy",), F.raise_error(F.lit("no such service")).cast("boolean")),
+        R.Rule("unsure", "high", (), total > 0, F.lit(1.0) / (k % 3)),
+    ]
+
+
+_own_rules = """select document_id, 'share_of_group' as rule_key, coalesce(invoice_total / nullif(document_id % 5, 0) > 1000, false) as triggered, 'low' as severity, 1.0::double as confidence, document_id % 5 = 0 and invoice_total is not null as failed from inv
+union all select document_id, 'number_after_prefix', coalesce(try_cast(n as integer) > 500, false), 'medium', 1.0, n is null from (select *, case when regexp_full_match(substr(file_name, 9, 3), '[0-9]+') then substr(file_name, 9, 3) end as n from inv) where document_type = 'invoice'
+union all select document_id, 'broken', false, 'critical', 1.0, true from inv where document_type = 'policy'
+union all select document_id, 'unsure', coalesce(invoice_total > 0, false), 'high', 1.0 / nullif(document_id % 3, 0), document_id % 3 = 0 from inv"""
+_both_rules = "select *, false as failed from findings union all select * from own"
+_failed_risk = f"select document_id, count(*) filter (not failed) as executed, count(*) filter (not failed and triggered) as triggered, count(*) filter (failed) as failed, round(least(100.0, sum(case when not failed and triggered then {_weights} * confidence else 0.0 end)), 6) as score from both_rules group by 1"
+
+
+def both_rules(spark, d):
+    return R.evaluated(wide(spark, d), [*R.rules(AS_OF, CONFIG), *own_rules()])
+
+
+@query("rule_failures", with_rules("select rule_key, count(*) as documents from own where failed group by 1", own=_own_rules))
+def rule_failures(spark, d):
+    return R.failed_rules(both_rules(spark, d))
+
+
+@query("risk_with_failures", with_rules(f"select *, {_level} as level, case {_level} " + " ".join(f"when '{k}' then '{v}'" for k, v in R.ROUTES.items()) + " end as route from risk", own=_own_rules, both_rules=_both_rules, risk=_failed_risk))
+def risk_with_failures(spark, d):
+    return R.risk_score(both_rules(spark, d))
+
+
+def rule_log(spark, d):
+    """A change log: rules that fire are configured anew with every tenth document, those that fire often are disabled, and some enabled again."""
+    found = findings(spark, d).where("triggered").groupBy("rule_key").agg(F.count("*").alias("n"), F.min("document_id").alias("first"), F.max("document_id").alias("last"))
+    entry = lambda at, active, config: F.struct(at.cast("long").alias("at"), F.lit(active).cast("boolean").alias("active"), F.lit(config).cast("string").alias("config"))
+    entries = F.filter(F.array(entry(F.col("first"), None, "{}"), F.when(F.col("n") % 2 == 0, entry(F.col("last") + 1, False, None)), F.when(F.col("n") % 4 == 0, entry(F.col("last") + 2, True, "{}"))), lambda x: x.isNotNull())
+    return found.select("rule_key", F.explode(entries).alias("e")).select("rule_key", "e.*")
+
+
+_rule_log = "select rule_key, f as at_id, cast(null as boolean) as active, '{}' as config from fired union all select rule_key, l + 1, false, null from fired where n % 2 = 0 union all select rule_key, l + 2, true, '{}' from fired where n % 4 = 0"
+_fired = "select rule_key, count(*) as n, min(document_id) as f, max(document_id) as l from findings where triggered group by 1"
+
+
+@query("rule_change_events", with_rules("select rule_key, at_id, case when active then 'enabled' when not active then 'disabled' else 'updated' end as action, cast(1 + count(config) over (partition by rule_key order by at_id) as integer) as version from log", fired=_fired, log=_rule_log))
+def rule_change_events(spark, d):
+    return R.change_events(R.definitions(R.rules(AS_OF, CONFIG), spark), rule_log(spark, d)).withColumnRenamed("at", "at_id")
+
+
+@query("findings_of_active_rules", with_rules("select rule_key, count(*) as n from findings where rule_key not in (select rule_key from fired where n % 2 = 0 and n % 4 <> 0) group by 1", fired=_fired))
+def findings_of_active_rules(spark, d):
+    active = R.active_keys(R.definitions(R.rules(AS_OF, CONFIG), spark), rule_log(spark, d))
+    return findings(spark, d).join(active, "rule_key", "left_semi").groupBy("rule_key").agg(F.count("*").alias("n"))
+
+
 @query("shared_invoice_numbers", sql("select document_id, same_number from inv join (select invoice_number, count(*) as same_number from inv group by 1) using (invoice_number) where same_number > 1", "inv"))
 def shared_invoice_numbers(spark, d):
     return R.with_history(S.invoices(spark, d), R.DEFAULTS | CONFIG).where("same_number > 1").select("document_id", "same_number")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as Q
+from ..operators import text_index as I
 from ..operators import vectors as V
 from ..sources.tables import table
 from .oracle import STOP, sql, text_list
@@ -113,6 +114,24 @@ _bm = {
 }
 
 
+_indexes: dict[tuple[str, str], I.TextIndex] = {}
+
+
+def text_index(spark, d):
+    """The index of all chunks, built once in a session and then read by every query that ranks by it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = I.build(chunks(spark, d))
+    return _indexes[key]
+
+
+@query("text_index_blocks", sql("select term, count(*) as df, round(max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) as top, any_value(round(idf, 6)) as idf from tf join lens using (chunk_id) join idf using (term), tot group by 1", "chunks", **{k: _bm[k] for k in ("toks", "tf", "lens", "tot", "raw", "idf")}))
+def text_index_blocks(spark, d):
+    index = text_index(spark, d)
+    b = index.blocks.groupBy("term").agg(F.sum("df").alias("df"), F.round(F.max("top"), 6).alias("top"))
+    return b.join(index.terms.select("term", F.round("idf", 6).alias("idf")), "term")
+
+
 @query("bm25_postings", sql("select chunk_id, term, tf, length from tf join lens using (chunk_id)", "chunks", **{k: _bm[k] for k in ("toks", "tf", "lens")}))
 def bm25_postings(spark, d):
     return Q.postings(chunks(spark, d))
@@ -120,7 +139,7 @@ def bm25_postings(spark, d):
 
 @query("bm25_search", sql("select * from ranked", "chunks", "queries", **_bm))
 def bm25_search(spark, d):
-    return Q.bm25(Q.postings(chunks(spark, d)), questions(spark, d), 10)
+    return I.search(text_index(spark, d), questions(spark, d), 10)
 
 
 _vec = "select v.vec_id as id, q.vec_id as query_id, round(list_dot_product(cast(v.embedding as double[]), cast(q.embedding as double[])) / (sqrt(list_dot_product(cast(v.embedding as double[]), cast(v.embedding as double[]))) * sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[])))), 6) as score from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id <> q.vec_id"
