@@ -46,13 +46,32 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Characters of a word's beginning of which deletions are made.
+HEAD = 8
+
+
+def deletions(word: str, edits: int = 2) -> Column:
+    """The beginning of a word with up to ``edits`` of its characters left out, each once, behind the word's first character.
+
+    Words within ``edits`` edits of each other share one of these: at most so many characters of either beginning are not matched.
+    """
+    one = lambda c: F.flatten(F.transform(c, lambda w: F.transform(F.sequence(F.lit(0), F.length(w)), lambda i: F.when(i == F.length(w), w).otherwise(F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.lit(HEAD)))))))
+    made = F.array(F.substring(word, 1, HEAD))
+    for _ in range(edits):
+        made = F.array_distinct(one(made))
+    return F.transform(made, lambda w: F.concat(F.substring(word, 1, 1), F.lit(":"), w))
+
+
 def corrected(words: DataFrame, vocab: DataFrame, edits: int = 2) -> DataFrame:
-    """(word, correction): for words not in the vocabulary, the commonest word of the same beginning within two edits."""
+    """(word, correction): for words not in the vocabulary, the commonest word with the same first letter within ``edits`` edits.
+
+    Words meet by equal ``deletions``, so a word is compared with its neighbours only, not with all of its first letter.
+    """
     unknown = words.select("word").distinct().join(vocab, "word", "left_anti")
-    v = vocab.select(F.col("word").alias("known"), "n", F.substring("word", 1, 1).alias("head"), F.length("word").alias("length"))
-    u = unknown.withColumn("head", F.substring("word", 1, 1)).withColumn("length", F.explode(F.sequence(F.length("word") - edits, F.length("word") + edits)))
-    near = u.join(v, ["head", "length"]).where(F.levenshtein("word", "known", edits) >= 0)
-    return near.groupBy("word").agg(F.max_by("known", F.struct("n", "known")).alias("correction"))
+    u = unknown.select("word", F.explode(deletions("word", edits)).alias("key"))
+    v = vocab.select(F.col("word").alias("known"), "n", F.explode(deletions("word", edits)).alias("key"))
+    pairs = u.join(v, "key").where(F.abs(F.length("word") - F.length("known")) <= edits).select("word", "known", "n").distinct()
+    return pairs.where(F.levenshtein("word", "known", edits) >= 0).groupBy("word").agg(F.max_by("known", F.struct("n", "known")).alias("correction"))
 
 
 def filters_of(q: str) -> dict[str, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as Q
 from ..operators import text_index as I
+from ..operators import vector_index as VI
 from ..operators import vectors as V
 from ..sources.tables import table
 from .oracle import STOP, sql, text_list
@@ -80,12 +81,20 @@ def vocabulary(spark, d):
     return Q.vocabulary(table(spark, d, "documents"))
 
 
-@query("spelling", sql("select word, arg_max(known, (n, known)) as correction from (select t.word, v.word as known, v.n from (select distinct lower(substr(w, 1, 3)) || 'q' || lower(substr(w, 4)) as word from (select string_split(query, ' ')[1] as w from queries)) t join vocab v on left(v.word, 1) = left(t.word, 1) and abs(length(v.word) - length(t.word)) <= 2 and levenshtein(v.word, t.word) <= 2 where t.word not in (select word from vocab) and regexp_full_match(t.word, '[a-z]+') and regexp_full_match(v.word, '[a-z]+')) group by 1", "queries", vocab=_vocab))
+#: Edits in DuckDB count bytes: there, each letter beyond ASCII becomes one capital letter, which no word has, so that edits count letters.
+_letters = "select coalesce(string_agg(c, '' order by c), '') as found, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', cast(count(*) as integer)) as put from (select distinct unnest(string_split(word, '')) as c from (select word from vocab union all select word from typed)) where strlen(c) > 1"
+_typed = "select distinct query_id, lower(case when i = 1 then left(w, 3) || 'q' || substr(w, 4) when i = 2 then substr(w, 2) when i = 3 then left(w, 2) || substr(w, 5) when i = 4 then left(w, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) else w end) as word from (select query_id, unnest(string_split(query, ' ')) as w, unnest(range(1, len(string_split(query, ' ')) + 1)) as i from queries)"
+
+
+@query("spelling", sql("select word, arg_max(known, (n, known)) as correction from (select t.word, v.word as known, v.n from (select distinct word, translate(word, found, put) as plain from typed, letters where word <> '' and word not in (select word from vocab)) t join (select *, translate(word, found, put) as plain from vocab, letters) v on left(v.word, 1) = left(t.word, 1) and abs(length(v.word) - length(t.word)) <= 2 and levenshtein(v.plain, t.plain) <= 2) group by 1", "queries", vocab=_vocab, typed=_typed, letters=_letters))
 def spelling(spark, d):
-    first = F.element_at(F.split("query", " "), 1)
-    words = questions(spark, d).select(F.concat(F.lower(F.substring(first, 1, 3)), F.lit("q"), F.lower(F.expr("substring(element_at(split(query, ' '), 1), 4)"))).alias("word"))
-    plain = "word rlike '^[a-z]+$'"  # the oracle's engine counts edits in bytes
-    return Q.corrected(words.where(plain), Q.vocabulary(table(spark, d, "documents")).where(plain))
+    """Each word of a question is misspelt by its place: a letter more, the first one gone, two gone, two that changed places; the fifth and sixth stay."""
+    w = F.col("w")
+    sub = lambda a, n=None: F.substring(w, a, n) if n else F.expr(f"substring(w, {a})")
+    i = F.col("i")
+    typed = F.when(i == 0, F.concat(sub(1, 3), F.lit("q"), sub(4))).when(i == 1, sub(2)).when(i == 2, F.concat(sub(1, 2), sub(5))).when(i == 3, F.concat(sub(1, 1), sub(3, 1), sub(2, 1), sub(4))).otherwise(w)
+    words = questions(spark, d).select(F.posexplode(F.split("query", " ")).alias("i", "w")).select(F.lower(typed).alias("word")).where("word <> ''")
+    return Q.corrected(words, Q.vocabulary(table(spark, d, "documents")))
 
 
 @query("query_filters", sql("select query_id, case when contains(lower(query), 'invoice') then 'invoice' when contains(lower(query), 'contract') then 'contract' when contains(lower(query), 'receipt') then 'receipt' when contains(lower(query), 'policy') then 'policy' end as document_type, nullif(trim(regexp_extract(query, '(?:from|with|to)\\s+([A-Z][A-Za-z0-9&.\\s]{2,30})', 1)), '') as vendor, nullif(regexp_extract(query, '\\b(20\\d{2}|19\\d{2})\\b', 1), '') || '-01-01' as date_from, case when query_id % 2 = 1 then '2020-12-31' else nullif(regexp_extract(query, '\\b(20\\d{2}|19\\d{2})\\b', 1), '') || '-12-31' end as date_to from asked", asked=_asked))
@@ -170,6 +179,17 @@ def vector_lsh(spark, d):
     return V.lsh_top_k(vectors(spark, d), vector_queries(spark, d), 10, 64)
 
 
+@query("vector_index", None)
+def vector_index(spark, d):
+    return VI.search(VI.build(vectors(spark, d), 64), vector_queries(spark, d), 10)
+
+
+@query("vector_index_lists", sql("select count(*) as n, count(distinct vec_id) as ids from embeddings where embedding is not null and len(embedding) = 64"))
+def vector_index_lists(spark, d):
+    """Every vector lies in exactly one list."""
+    return VI.build(vectors(spark, d), 64).coded.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
 @query("hash_vectors", sql("select doc_id, round(list_sum(list_transform(range(32), lambda i: cast(('0x' || substr(sha256(text), cast(i * 2 + 1 as bigint), 2)) as integer) / 255.0 * 2 - 1)), 6) + 0.0 as total, cast(64 as integer) as dim from documents"))
 def hash_vectors(spark, d):
     v = table(spark, d, "documents").select("doc_id", V.hash_vector("text").alias("v"))

@@ -50,3 +50,43 @@ def test_change_events_and_states(spark):
     log = spark.createDataFrame([("a", 1, None, "{}"), ("a", 3, False, None), ("a", 5, None, "{}"), ("b", 2, False, "{}"), ("b", 4, True, None), ("z", 1, False, None)], "rule_key string, at long, active boolean, config string")
     assert sorted(map(tuple, rules.change_events(defs, log).collect())) == [("a", 1, "updated", 2), ("a", 3, "disabled", 2), ("a", 5, "updated", 3), ("b", 2, "disabled", 2), ("b", 4, "enabled", 2)]
     assert [r.rule_key for r in rules.active_keys(defs, log).collect()] == ["b"]
+
+
+def test_vector_index_recall(spark):
+    """On vectors without structure: recall of the 10 nearest, with 5 % of the rows as candidates."""
+    from docweave.operators import vector_index, vectors
+
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = vector_index.build(v.unionByName(spark.createDataFrame([(-1, [0.0] * 64), (-2, [1.0]), (-3, None)], "id long, vector array<double>").select("id", F.col("vector").cast("array<float>").alias("vector"))), 64)
+    exact, got = vectors.top_k(v, q, 10), vector_index.search(index, q, 10)
+    both = exact.join(got.select("query_id", "id", F.col("score").alias("its")), ["query_id", "id"])
+    assert got.count() == exact.count() and both.where("abs(score - its) > 0.000002").count() == 0
+    assert both.count() >= 0.9 * exact.count()
+    asked = q.select("query_id", vectors.unit("vector").alias("v"))
+    assert vector_index.candidates(index, asked, 100, 30).count() <= 0.1 * v.count() * asked.count()
+    assert index.coded.count() == v.count()
+
+
+def test_words_meet_by_deletions(spark):
+    rng = random.Random(6)
+    letters = "abcä"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 13)))
+    vocab = spark.createDataFrame([(w, rng.randrange(1, 50)) for w in {word() for _ in range(250)}], "word string, n long")
+    words = spark.createDataFrame([(word(),) for _ in range(150)] + [("",)], "word string")
+    known = {r.word: r.n for r in vocab.collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for (w,) in {tuple(r) for r in words.collect()}:
+        near = [(n, k) for k, n in known.items() if k[:1] == w[:1] and edits(w, k) <= 2]
+        if w not in known and near:
+            want[w] = max(near)[1]
+    assert {r.word: r.correction for r in retrieval.corrected(words, vocab).collect()} == want
