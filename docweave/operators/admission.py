@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import lookup
 
 # Fixed values.
-DENIED = ["bat", "cmd", "dll", "exe", "js", "msi", "ps1", "sh", "vbs"]
+DENIED = ["exe", "bat", "sh", "cmd", "msi", "dll", "js", "vbs", "ps1"]
 ALLOWED = ["pdf", "docx", "xlsx", "pptx", "csv", "html", "txt", "md", "png", "jpg", "jpeg", "tiff", "bmp", "eml"]
 MAX_BYTES = 50 * 1024 * 1024
-PARSERS = {"bmp": "image", "docx": "docx", "html": "html", "jpeg": "image", "jpg": "image", "md": "text", "pdf": "pdf", "png": "image", "pptx": "pptx", "tiff": "image", "txt": "text", "xlsx": "xlsx"}
+PARSERS = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "html": "html", "htm": "html", "txt": "text", "md": "text", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "bmp": "image"}
 MIME = {"bmp": "image/bmp", "csv": "text/csv", "eml": "message/rfc822", "html": "text/html", "jpeg": "image/jpeg", "jpg": "image/jpeg", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png", "tiff": "image/tiff", "txt": "text/plain"}
 # File-name patterns in the order in which they are tried, and hints by MIME type.
 NAME_PATTERNS = [
@@ -101,6 +101,18 @@ def sampled_pages(pages: DataFrame, first: int = 15, spread: int = 7) -> DataFra
     return p.where(kept).drop("i", "n")
 
 
+def sampled_preview(blocks: DataFrame, first: int = 15, spread: int = 7, chars: int = 2000, words: int = 50) -> DataFrame:
+    """(document_id, preview): the first words of a document's sampled pages, of each page its first ``chars`` characters.
+
+    ``blocks``: (document_id, page, order, text).
+    """
+    pages = sampled_pages(blocks.select("document_id", "page").distinct(), first, spread)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order", "text"))), lambda b: b["text"]), "\n")
+    texts = blocks.join(pages, ["document_id", "page"], "left_semi").groupBy("document_id", "page").agg(F.substring(joined, 1, chars).alias("text"))
+    whole = texts.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return whole.select("document_id", preview("text", words).alias("preview"))
+
+
 def override(automatic: DataFrame, manual: DataFrame) -> DataFrame:
     """Manual classifications of known types take the place of automatic ones."""
     own = manual.where(F.col("document_type").isin(DOCUMENT_TYPES)).select("document_id", "document_type", F.lit(1.0).alias("confidence"), F.lit("manual").alias("method"))
@@ -136,10 +148,17 @@ def owned(docs: DataFrame, owner, skip: int = 0, limit: int = 50) -> DataFrame:
     return docs.where(F.col("owner") == owner).orderBy(F.desc("created_at"), "document_id").offset(skip).limit(limit)
 
 
-def run_log(rows: DataFrame, stage: str) -> DataFrame:
-    """(document_id, stage, total, invalid, status) of a stage's rows with a ``status`` column."""
+def run_log(rows: DataFrame, stage: str, errors: DataFrame | None = None) -> DataFrame:
+    """(document_id, stage, total, invalid, status) of a stage's rows with a ``status`` column.
+
+    ``errors`` (document_id): documents for which the stage raised an error; they have failed, whatever rows they left.
+    """
     out = rows.groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") != "valid").alias("invalid"))
-    return out.select("document_id", F.lit(stage).alias("stage"), "total", "invalid", F.when(F.col("invalid") > 0, "needs_review").otherwise("completed").alias("status"))
+    status = F.when(F.col("invalid") > 0, "needs_review").otherwise("completed")
+    if errors is not None:
+        out = out.join(errors.select("document_id", F.lit(True).alias("bad")).distinct(), "document_id", "full").fillna(0, ["total", "invalid"])
+        status = F.when(F.col("bad"), "failed").otherwise(status)
+    return out.select("document_id", F.lit(stage).alias("stage"), "total", "invalid", status.alias("status"))
 
 
 def activity(*stages: DataFrame) -> DataFrame:

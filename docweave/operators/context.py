@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from .chunking import packable, starts
 
 # Fixed values.
 REFUSALS = ["i don't have enough information", "cannot find", "no relevant information"]
@@ -87,19 +88,11 @@ def scope(requested: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def batches(chunks: DataFrame, budget: int) -> DataFrame:
     """(document_id, batch, chunk_indexes): greedy batches of a document's chunks under a token budget."""
-    parts = F.sort_array(F.collect_list(F.struct("chunk_index", tokens("content").alias("t"))))
-    g = chunks.groupBy("document_id").agg(parts.alias("parts"))
-    start = F.from_json(F.lit('{"done":[],"now":[],"total":0}'), "struct<done:array<array<int>>,now:array<int>,total:int>")
-
-    def add(s, c):
-        full = (s["total"] + c["t"] > budget) & (F.size(s["now"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(c["chunk_index"])).otherwise(F.concat(s["now"], F.array(c["chunk_index"]))).alias("now"),
-            F.when(full, c["t"]).otherwise(s["total"] + c["t"]).alias("total"),
-        )
-
-    made = F.aggregate("parts", start, add, lambda s: F.concat(s["done"], F.array(s["now"])))
+    sized = packable(chunks.select("document_id", "chunk_index", tokens("content").alias("t")), ["document_id"], ["chunk_index"], F.col("t"), budget)
+    g = sized.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("at", "chunk_index", "sum", "upto"))).alias("parts"))
+    g = g.withColumn("begin", starts(F.col("parts"), budget))
+    begin = F.col("begin")
+    made = F.transform(begin, lambda s, k: F.transform(F.slice("parts", s + 1, F.coalesce(F.get(begin, k + 1), F.size("parts")) - s), lambda x: x["chunk_index"]))
     return g.select("document_id", F.posexplode(made).alias("batch", "chunk_indexes"))
 
 
@@ -129,9 +122,33 @@ def severity_order(c) -> Column:
 def capped(items: DataFrame, n: int, keep_all_high: bool = False) -> DataFrame:
     """Flags (run_id, position, severity) capped to the 2n of highest severity, earlier first."""
     w = Window.partitionBy("run_id").orderBy(F.desc(severity_order("severity")), "position")
-    out = items.withColumn("place", F.row_number().over(w))
-    kept = F.col("place") <= 2 * n
-    return out.where(kept | F.col("severity").isin("high", "critical") if keep_all_high else kept)
+    if keep_all_high:
+        high = F.col("severity").isin("high", "critical")
+        return items.where(high).unionByName(items.where(~high | high.isNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * n).drop("place"))
+    return items.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * n)
+
+
+def last_items(items: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` of each run's items (run_id, position), in their order."""
+    w = Window.partitionBy("run_id").orderBy(F.desc("position"))
+    return items.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).drop("place")
+
+
+def capped_memory(key_findings: DataFrame, risk_flags: DataFrame, open_questions: DataFrame, n: int) -> DataFrame:
+    """(run_id, key_findings, risk_flags, open_questions): a run's memory with its last n findings and questions and its 2n gravest flags.
+
+    Each input is (run_id, position, text), flags with a severity. Every list is cut by a rank with a fixed bound, which tasks apply to their own
+    rows before the shuffle, so what reaches a run's task is bounded by n and the number of tasks.
+    """
+    lists = [
+        last_items(key_findings, n).select("run_id", F.struct("position", "text").alias("key_findings")),
+        capped(risk_flags, n).select("run_id", F.struct("place", "severity", "text").alias("risk_flags")),
+        last_items(open_questions, n).select("run_id", F.struct("position", "text").alias("open_questions")),
+    ]
+    every = lists[0].unionByName(lists[1], allowMissingColumns=True).unionByName(lists[2], allowMissingColumns=True)
+    g = every.groupBy("run_id").agg(*(F.sort_array(F.collect_list(c)).alias(c) for c in ("key_findings", "risk_flags", "open_questions")))
+    texts = lambda c: F.transform(c, lambda x: x["text"]).alias(c)
+    return g.select("run_id", texts("key_findings"), F.transform("risk_flags", lambda x: F.struct(x["severity"].alias("severity"), x["text"].alias("text"))).alias("risk_flags"), texts("open_questions"))
 
 
 def memory_tokens(c: str) -> Column:
@@ -165,6 +182,27 @@ def coverage(scoped: DataFrame, failed: DataFrame) -> DataFrame:
     return out.withColumn("covered", F.col("documents") - F.col("failed")).withColumn("progress", F.round(F.col("covered") / F.col("documents"), 6))
 
 
+def failures_as_questions(scoped: DataFrame, failed: DataFrame) -> DataFrame:
+    """(run_id, position, text): an open question for each document of a run that could not be read, by document."""
+    return scoped.join(failed.select("document_id").distinct(), "document_id", "left_semi").select("run_id", F.col("document_id").alias("position"), F.concat(F.lit("Document "), F.col("document_id").cast("string"), F.lit(" could not be processed")).alias("text"))
+
+
+def flagged_issues(found: DataFrame, scoped: DataFrame) -> DataFrame:
+    """(run_id, severity, document_id, rule_key): every critical or high flag of a run, as rows, for no report may leave one out."""
+    return found.where("triggered and severity in ('critical', 'high')").join(scoped.select("document_id", "run_id"), "document_id").select("run_id", "severity", "document_id", "rule_key")
+
+
+def report_sections(found: DataFrame, scoped: DataFrame, failed: DataFrame) -> DataFrame:
+    """(run_id, section, place, line): the report's tables as lines: flag counts, every flagged issue, and the open questions."""
+    counts = flag_counts(found.join(scoped.select("document_id", "run_id"), "document_id"), "run_id")
+    risk = counts.select("run_id", F.lit("Risk Summary").alias("section"), F.posexplode(F.array(*(F.concat(F.lit(f"| {s} | "), F.col(s).cast("string"), F.lit(" |")) for s in reversed(SEVERITIES)))).alias("place", "line"))
+    issues = flagged_issues(found, scoped)
+    shown = F.concat(F.lit("| "), F.col("severity"), F.lit(" | "), F.col("rule_key"), F.lit(" | document "), F.col("document_id").cast("string"), F.lit(" |"))
+    flagged = issues.select("run_id", F.lit("Flagged Issues Requiring Review").alias("section"), F.col("document_id").alias("place"), shown.alias("line"))
+    asked = failures_as_questions(scoped, failed).select("run_id", F.lit("Open Questions").alias("section"), F.col("position").alias("place"), F.concat(F.lit("- "), "text").alias("line"))
+    return risk.withColumn("place", F.col("place").cast("long")).unionByName(flagged).unionByName(asked)
+
+
 def report(found: DataFrame, scoped: DataFrame, most: int = 5) -> DataFrame:
     """(run_id, report): flag counts and the rules that fire most, as Markdown lines."""
     f = found.where("triggered").join(scoped.select("document_id", "run_id"), "document_id")

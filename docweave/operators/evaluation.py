@@ -60,22 +60,24 @@ RANGES = 64
 def percentiles(samples: DataFrame, *keys: str, value: str = "ms", ps=(50, 95, 99)) -> DataFrame:
     """avg and nearest-rank percentiles of each key, without bringing a key's values together.
 
-    The values of a key are counted by ranges between its approximate quantiles; the counts before each range find the one that
-    holds a rank, and only within that range values are numbered.
+    Equal values of a key are counted once, and everything else reads these counts. They are dealt into ranges between approximate quantiles of
+    the key's different values; the counts before each range find the one that holds a rank, and only within that range values are numbered.
     """
-    bounds = samples.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10_000).alias("bounds"), F.count("*").alias("n"), F.round(F.avg(value), 6).alias("avg"))
+    counted = samples.groupBy(*keys, value).agg(F.count("*").alias("times"))
+    weight = F.col(value) * F.col("times")
+    bounds = counted.groupBy(*keys).agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1_000).alias("bounds"), F.sum("times").alias("n"), F.round(F.sum(weight) / F.sum(F.when(F.col(value).isNotNull(), F.col("times"))), 6).alias("avg"))
     part = F.size(F.filter("bounds", lambda b: b < F.col(value)))
-    dealt = samples.select(*keys, value).join(bounds.select(*keys, "bounds"), list(keys)).select(*keys, value, part.alias("part"))
-    sizes = dealt.groupBy(*keys, "part").agg(F.count("*").alias("size"))
+    dealt = counted.where(F.col(value).isNotNull()).join(bounds.select(*keys, "bounds"), list(keys)).select(*keys, value, "times", part.alias("part"))
+    sizes = dealt.groupBy(*keys, "part").agg(F.sum("times").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size"))  # up to RANGES rows a key
     at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    asked = bounds.select(*keys, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("at")) for p in ps))).alias("a")).select(*keys, "a.*")
-    held = asked.join(before, list(keys)).where("before <= at and at < before + size").select(*keys, "part", "p", (F.col("at") - F.col("before")).alias("at"))
-    values = dealt.join(held.select(*keys, "part").distinct(), [*keys, "part"]).groupBy(*keys, "part", value).agg(F.count("*").alias("times"))
-    upto = values.withColumn("upto", F.sum("times").over(Window.partitionBy(*keys, "part").orderBy(value)))
-    found = held.join(upto, [*keys, "part"]).where("upto > at").groupBy(*keys, "p").agg(F.min(value).alias("found"))
-    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("p") == p, F.col("found"))).alias(f"p{p}") for p in ps))
-    return bounds.select(*keys, "avg").join(wide, list(keys), "left")
+    asked = bounds.select(*keys, "avg", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), at(p).alias("at")) for p in ps))).alias("a")).select(*keys, "avg", "a.*")
+    held = asked.join(before, list(keys)).where("before <= at and at < before + size").select(*keys, "avg", "part", "p", (F.col("at") - F.col("before")).alias("at"))
+    ranks = held.groupBy(*keys, "avg", "part").agg(F.collect_list(F.struct("p", "at")).alias("asked"))  # as many as there are percentiles
+    upto = F.sum("times").over(Window.partitionBy(*keys, "part").orderBy(value))
+    values = dealt.join(ranks, [*keys, "part"]).withColumn("upto", upto)
+    met = values.select(*keys, "avg", value, F.explode(F.filter("asked", lambda a: (a["at"] < F.col("upto")) & (a["at"] >= F.col("upto") - F.col("times")))).alias("a"))
+    return met.groupBy(*keys, "avg").agg(*(F.max(F.when(F.col("a.p") == p, F.col(value))).alias(f"p{p}") for p in ps))
 
 
 def mean_metrics(long: DataFrame, *keys: str) -> DataFrame:
@@ -123,15 +125,57 @@ def failed(cases: DataFrame) -> DataFrame:
     return cases.where(~F.col("passed"))
 
 
-def generated_cases(docs: DataFrame, facts: DataFrame, fields: DataFrame, n_facts: int = 5, n_fields: int = 3) -> DataFrame:
-    """(document_id, kind, question, expected): one summary and a few fact and metadata questions per document."""
+def generated_cases(docs: DataFrame, facts: DataFrame, fields: DataFrame, n_facts: int = 5, n_fields: int = 3, chunks: DataFrame | None = None, n_chunks: tuple[int, int] = (5, 3)) -> DataFrame:
+    """(document_id, kind, question, expected): one summary and a few fact and metadata questions per document.
+
+    With ``chunks`` (document_id, chunk_id, chunk_index) also ``relevant``: a document's first chunks, five for a summary and three for other cases.
+    """
     pick = lambda d, name, n: d.withColumn("i", F.row_number().over(Window.partitionBy("document_id").orderBy(name))).where(F.col("i") <= n)
     ask = lambda kind, q, a: [F.col("document_id"), F.lit(kind).alias("kind"), q.alias("question"), a.cast("string").alias("expected")]
     words = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
     s = docs.select(*ask("summary", F.concat(F.lit("What is "), F.col("file_name"), F.lit(" about?")), F.lit(None)))
     f = pick(facts, "fact_type", n_facts).select(*ask("fact", F.concat(F.lit("What is the "), words("fact_type"), F.lit("?")), F.col("value").cast("decimal(18,2)")))
     m = pick(fields, "key", n_fields).select(*ask("metadata", F.concat(F.lit("What is the "), words("key"), F.lit("?")), F.col("value")))
-    return s.unionByName(f).unionByName(m)
+    every = s.unionByName(f).unionByName(m)
+    if chunks is None:
+        return every
+    first = pick(chunks, "chunk_index", max(n_chunks)).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "chunk_id"))), lambda c: c["chunk_id"]).alias("first"))
+    n = F.when(F.col("kind") == "summary", n_chunks[0]).otherwise(n_chunks[1])
+    none = F.array().cast(first.schema["first"].dataType)
+    return every.join(first, "document_id", "left").select("document_id", "kind", "question", "expected", F.coalesce(F.slice("first", F.lit(1), n), none).alias("relevant"))
+
+
+def run_cases(cases: DataFrame, retrieved: DataFrame, answers: DataFrame, facts: DataFrame, expected: DataFrame, cited: DataFrame, scores: DataFrame) -> DataFrame:
+    """A row for each case of an evaluation run, with all its metrics, its verdict and its latency.
+
+    ``cases`` (case_id, answered, relevant), ``retrieved`` (case_id, item, rank), ``answers`` (case_id, text, status), ``facts`` (case_id, fact_type, value),
+    ``expected`` and ``cited`` (case_id, document_id, page), ``scores`` (case_id, faithfulness, latency_ms), which a judge and a clock gave.
+    """
+    as_query = lambda d: d.withColumnRenamed("case_id", "query_id")
+    as_answer = lambda d: d.withColumnRenamed("case_id", "answer_id")
+    relevant = cases.select("case_id", F.explode("relevant").alias("item"))
+    at = retrieval_metrics(as_query(retrieved), as_query(relevant))
+    wide = at.groupBy(F.col("query_id").alias("case_id")).agg(*(F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{m}_at_{k}") for m in ("recall", "precision", "ndcg", "hit") for k in KS), F.max("mrr").alias("mrr"))
+    cites = citation_metrics(as_answer(cited), as_answer(expected)).select(F.col("answer_id").alias("case_id"), F.col("precision").alias("citation_precision"), F.col("recall").alias("citation_recall"))
+    n_cited = cited.groupBy("case_id").agg(F.count("*").alias("n_cited"))
+    numeric = numerical_accuracy(as_answer(answers), as_answer(facts)).select(F.col("answer_id").alias("case_id"), F.col("accuracy").alias("numerical_accuracy"))
+    out = cases.select("case_id", "answered", F.size("relevant").alias("n_relevant"))
+    for d in (wide, answers.select("case_id", "text", "status"), n_cited, cites, numeric, scores):
+        out = out.join(d, "case_id", "left")
+    out = out.withColumn("n_cited", F.coalesce("n_cited", F.lit(0))).withColumn("citation_coverage", citation_coverage("text", "n_cited"))
+    found = [c for c in wide.columns if c != "case_id"]
+    out = out.fillna(0.0, [c for c in found if not c.startswith("hit")]).fillna(0, [c for c in found if c.startswith("hit")])
+    return verdicts(out).drop("text", "n_cited")
+
+
+def run_metrics(cases: DataFrame) -> DataFrame:
+    """(metric, value): the means of a run's numeric case metrics (``run_cases``), nulls skipped, counts of its verdicts, and percentiles of its latency."""
+    skip = {"case_id", "n_relevant", "latency_ms"}
+    names = [n for n, t in cases.dtypes if t in ("double", "int", "bigint") and n not in skip]
+    one = cases.agg(*(F.round(F.avg(n), 6).alias(n) for n in names), F.count("*").cast("double").alias("total_cases"), F.count_if("passed").cast("double").alias("passed_cases"), F.count_if(~F.col("passed")).cast("double").alias("failed_cases"))
+    times = percentiles(cases.where("latency_ms is not null").select(F.lit("latency").alias("of"), "latency_ms"), "of", value="latency_ms").drop("of")
+    long = lambda d, start="": d.select(F.explode(F.array(*(F.struct(F.lit(start + n).alias("metric"), F.col(n).cast("double").alias("value")) for n in d.columns))).alias("m")).select("m.*")
+    return long(one).unionByName(long(times, "latency_")).where("value is not null")
 
 
 def dataset_documents(listed: DataFrame, cases: DataFrame) -> DataFrame:

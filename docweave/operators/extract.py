@@ -71,6 +71,17 @@ def dates(docs: DataFrame) -> DataFrame:
     return _long(docs, [*((k, v, F.lit(0.8)) for k, v in named), ("document_date", any_date, F.lit(0.5))], "date")
 
 
+def extracted(docs: DataFrame, extractor, name: str) -> DataFrame:
+    """The metadata fields of a user's own extractor, with the columns of the built-in ones, to be united with theirs.
+
+    ``extractor``: a Python UDTF whose ``eval(text)`` gives (key string, value string, confidence double) rows, Arrow-batched if it is made so.
+    Fields without a value are left out; a confidence beyond 0 and 1 is put right.
+    """
+    rows = docs.select("document_id", "text").lateralJoin(extractor(F.col("text").outer()))
+    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return rows.where("coalesce(value, '') <> ''").select("document_id", "key", "value", sure.alias("confidence"), F.lit(name).alias("extractor"))
+
+
 def document_info(docs: DataFrame) -> DataFrame:
     """file_name, file_type, page_count, parser_version and language as metadata rows."""
     kind = F.lower(F.substring_index("file_name", ".", -1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 SENSITIVE = ["password", "hashed_password", "token", "access_token", "refresh_token", "api_key", "secret", "authorization", "ssn", "credit_card"]
-CATEGORIES = {"AuthenticationError": "authentication", "AuthorizationError": "authorization", "DocumentNotFound": "validation", "OCRFailed": "ocr", "RuleEngineError": "internal", "StorageError": "storage", "ValidationFailed": "validation"}
+CATEGORIES = {"AuthenticationError": "authentication", "AuthorizationError": "authorization", "ValidationFailed": "validation", "DocumentNotFound": "validation", "OCRFailed": "ocr", "StorageError": "storage", "RuleEngineError": "internal"}
 
 
 def redacted_text(c: str) -> Column:
@@ -21,6 +21,26 @@ def redacted_map(c: str, longest: int = 2000, keep: int = 200) -> Column:
     return F.transform_values(c, lambda k, v: F.when(hidden(k), "***REDACTED***").otherwise(cut(v)))
 
 
+def redacted_variant(v: Column, depth: int = 4, into_lists: bool = False, longest: int = 2000, keep: int = 200) -> Column:
+    """A VARIANT value with sensitive keys masked and long texts cut, in objects within objects down to ``depth``.
+
+    Lists stay as they are unless ``into_lists``. What lies deeper than ``depth`` is masked as a whole, so nothing passes unread.
+    """
+    kind, mark = F.schema_of_variant(v), F.parse_json(F.lit('"***REDACTED***"'))
+    is_object, is_list = F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY")) & F.lit(into_lists)
+    if depth == 0:
+        return F.when(is_object | is_list, mark).otherwise(v)
+    text = F.try_variant_get(v, "$", "string")
+    cut = F.concat(F.substring(text, 1, keep), F.lit("...[truncated, full document content not logged]")).cast("variant")
+    hidden = lambda k: F.exists(F.array(*map(F.lit, SENSITIVE)), lambda s: F.contains(F.lower(k), s))
+    inner = lambda x: redacted_variant(x, depth - 1, into_lists, longest, keep)
+    fields = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.when(hidden(k), mark).otherwise(inner(x)))
+    out = F.when(is_object, F.to_variant_object(fields))
+    if into_lists:
+        out = out.when(is_list, F.transform(F.try_variant_get(v, "$", "array<variant>"), inner).cast("variant"))
+    return out.when((kind == "STRING") & (F.length(text) > longest), cut).otherwise(v)
+
+
 def fingerprint(kind: str, message: str) -> Column:
     first = F.substring(F.substring_index(message, "\n", 1), 1, 100)
     return F.substring(F.sha2(F.concat_ws(":", kind, first).cast("binary"), 256), 1, 16)

@@ -227,6 +227,45 @@ def retrieve_and_rerank(results: DataFrame, n: int = 5, threshold: float = 0.85,
     return ranked(out, n, score="final")
 
 
+def rerank_report(queries: DataFrame, candidates: DataFrame, final: DataFrame) -> DataFrame:
+    """(query_id, candidates, results, fallback_used): how many results went into a query's reranking and came out.
+
+    A query whose candidates all lack a rerank score (the reranker failed) kept the order of its retrieval: it fell back.
+    """
+    c = candidates.groupBy("query_id").agg(F.count("*").alias("candidates"), (F.count("rerank_score") == 0).alias("fallback_used"))
+    r = final.groupBy("query_id").agg(F.count("*").alias("results"))
+    out = queries.select("query_id").join(c, "query_id", "left").join(r, "query_id", "left")
+    return out.select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"))
+
+
+def holding(rows: DataFrame, column: str, queries: DataFrame) -> DataFrame:
+    """The rows whose text holds a query's text, case ignored, once for each such query (query_id).
+
+    The stated queries travel as one list, so a row meets those only that it holds and no pairs are made.
+    """
+    asked = queries.agg(F.collect_list(F.struct("query_id", F.lower("query").alias("query"))).alias("asked"))  # one row
+    met = F.filter("asked", lambda q: F.contains(F.lower(column), q["query"]))
+    return rows.crossJoin(F.broadcast(asked)).withColumn("q", F.explode(met)).select(F.col("q.query_id").alias("query_id"), *rows.columns)
+
+
+def entity_mode(entities: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, document_id, entity_type, value, rank): entities whose value holds the query, by document."""
+    found = holding(entities, "value", queries)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "entity_type", "value"))).where(F.col("rank") <= k)
+
+
+def fact_mode(facts: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, document_id, fact_type, value, rank): facts whose value, as text, holds the query."""
+    found = holding(facts.withColumn("value", F.col("value").cast("string")), "value", queries)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "fact_type", "value"))).where(F.col("rank") <= k)
+
+
+def metadata_mode(fields: DataFrame, queries: DataFrame, k: int = 20, key: str = "vendor") -> DataFrame:
+    """(query_id, document_id, rank): documents whose field holds the query."""
+    found = holding(fields.where(F.col("key") == key), "value", queries).select("query_id", "document_id").distinct()
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id"))).where(F.col("rank") <= k)
+
+
 def snippet(content: str, query: str, window: int = 160) -> Column:
     c, first = F.col(content), F.element_at(F.split(F.lower(F.trim(query)), r"\s+"), 1)
     at = F.position(first, F.lower(c))
@@ -239,7 +278,7 @@ def snippet(content: str, query: str, window: int = 160) -> Column:
 def highlighted(text: str, query: str) -> Column:
     words = F.filter(F.split(query, r"\s+"), lambda w: F.length(w) > 2)
     quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1"))
-    pattern = F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")"))
+    pattern = F.concat(F.lit("(?iu)("), F.array_join(quoted, "|"), F.lit(")"))
     return F.when(F.size(words) == 0, F.col(text)).otherwise(F.regexp_replace(F.col(text), pattern, F.lit("**$1**")))
 
 
@@ -248,9 +287,30 @@ def shaped(results: DataFrame, titles: DataFrame) -> DataFrame:
     return out.withColumn("title", F.coalesce("title", F.lit("Unknown Document"))).withColumn("page", F.try_element_at("pages", F.lit(1)))
 
 
-def search_log(results: DataFrame, queries: DataFrame) -> DataFrame:
+def search_log(results: DataFrame, queries: DataFrame, filters: DataFrame | None = None, latency_ms: float | None = None) -> DataFrame:
+    """A row for each query with its number of results; with ``filters`` (query_id and columns) those that are set, as JSON, and its latency.
+
+    Queries are answered together, so each has the time of its job (``timed``).
+    """
     n = results.groupBy("query_id").agg(F.count("*").alias("results"))
-    return queries.join(n, "query_id", "left").withColumn("results", F.coalesce("results", F.lit(0)))
+    out = queries.join(n, "query_id", "left").withColumn("results", F.coalesce("results", F.lit(0)))
+    if filters is not None:
+        names = sorted(c for c in filters.columns if c != "query_id")
+        out = out.join(filters.select("query_id", F.to_json(F.struct(*names)).alias("filters")), "query_id", "left").fillna("{}", ["filters"])
+    return out if latency_ms is None else out.withColumn("latency_ms", F.lit(float(latency_ms)))
+
+
+def timed(results: DataFrame, folder: str | None = None) -> tuple[DataFrame, float, int]:
+    """Results written to the shared folder, the milliseconds that their job took, and how many rows it gave (an observed metric of the same job)."""
+    import time
+
+    from pyspark.sql import Observation
+
+    from ..functions.storage import shared_folder, written
+
+    seen, began = Observation(), time.monotonic()
+    out = written(results.observe(seen, F.count(F.lit(1)).alias("rows")), folder or shared_folder(results.sparkSession))
+    return out, (time.monotonic() - began) * 1000, seen.get["rows"]
 
 
 def recent(log: DataFrame, n: int = 10) -> DataFrame:

@@ -152,12 +152,6 @@ def audit_memory_records(spark, d):
     return m.select("event_id", F.size("m.key_findings").alias("findings"), F.size("m.risk_flags").alias("flags"))
 
 
-@query("audit_memory_sizes", None)
-def audit_memory_sizes(spark, d):
-    m = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return m.select("event_id", T.memory_tokens("m").alias("n_tokens"))
-
-
 @query("audit_coverage", sql("select document_type as run_id, count(*) as documents, count(*) filter (document_id % 9 = 0) as failed, count(*) filter (document_id % 9 <> 0) as covered, round(count(*) filter (document_id % 9 <> 0) / count(*), 6) as progress from inv group by 1", "inv"))
 def audit_coverage(spark, d):
     inv = S.invoices(spark, d).select("document_id", F.col("document_type").alias("run_id"))

@@ -47,7 +47,7 @@ def canonical_documents(spark, d):
     return c.select("document_id", F.size("document.blocks").cast("long").alias("blocks"), F.sha2("document.raw_text", 256).alias("raw_text_sha256"))
 
 
-@query("canonical_json", None)
+@query("canonical_json", sql("select document_id, to_json({'schema_version': '1.0', 'blocks': list({'page': page, 'order': ord, 'block_id': block_id, 'type': type, 'text': text} order by page, ord, block_id), 'raw_text': string_agg(text, chr(10) order by page, ord)})::varchar as json from blocks group by 1", "blocks"))
 def canonical_json(spark, d):
     return H.canonical(S.blocks(spark, d)).select("document_id", F.to_json("document").alias("json"))
 
@@ -192,7 +192,7 @@ _fields = """select document_id, 'vendor' as key, trim(regexp_extract(text, '(?i
 union all select document_id, 'customer', trim(regexp_extract(text, '(?i)(?:bill\\s*to|customer|client)[:\\s]+([A-Z][A-Za-z0-9&.,\\s]{2,50})(?:\\n|$)', 1)), 0.65 from texts"""
 
 
-@query("companies", None)
+@query("companies", sql("select document_id, key, value, confidence, 'company' as extractor from f where value <> ''", "texts", f=_fields))
 def companies(spark, d):
     return E.companies(S.rendered(spark, d))
 

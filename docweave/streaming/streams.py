@@ -23,6 +23,34 @@ def ingest(files: DataFrame, target: str, checkpoint: str):
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_documents(files: DataFrame, target: str, checkpoint: str, key: str = "file_id", version: str = "version", buckets: int = 64):
+    """Every document once, as its newest version has it, however often and in whatever batches it comes.
+
+    The target is dealt into buckets of documents. A batch reads the buckets that its documents lie in, keeps the newest row of each document (of
+    equal versions the one that was there), and overwrites these buckets only. A batch that is replayed finds its own rows and changes nothing.
+    """
+    spark = files.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def shaped(d: DataFrame) -> DataFrame:
+        return admission.admit(d).withColumn("bucket", bucket)
+
+    schema = shaped(spark.createDataFrame([], files.schema)).schema
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = shaped(batch).withColumn("at_first", F.lit(1))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` rows at most
+        if touched:
+            old = spark.read.schema(schema).parquet(target).where(F.col("bucket").isin(touched)).withColumn("at_first", F.lit(0))
+            both = old.unionByName(new)
+            order = F.struct(F.col(version), -F.col("at_first"))
+            kept = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), order).alias("row")).select("row.*").drop("at_first")
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_contents(files: DataFrame, time: str, delay: str = "1 day") -> DataFrame:
     """The first file of each content within the watermark."""
     return files.withColumn("hash", admission.content_hash("content")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["hash"])
