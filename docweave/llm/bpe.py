@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, column, rows, slices
+from .common import column, rows, slices
 
 #: Characters of a chunk without its overlap, and of the overlap with the next chunk.
 CHUNK, OVERLAP = 32_768, 1_024
+#: Bytes from which on a piece is merged with a heap; pieces that a worker's memo keeps, some 200 bytes each, before it starts anew.
+SCANNED, KEPT = 48, 400_000
 
 IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 CHUNKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("start", pa.int64()), ("text", pa.string())])
@@ -44,6 +46,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n < SCANNED:
+        return scanned(piece, ranks)
     ends, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -66,6 +70,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def scanned(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merge``, by a scan of all neighbours for each merge, which short pieces need less time for than a heap."""
+    get, none = ranks.get, 1 << 62
+    cuts = list(range(len(piece) + 1))
+    found = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while found and (least := min(found)) < none:
+        i = found.index(least)
+        del cuts[i + 1], found[i]
+        if i < len(found):
+            found[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        if i:
+            found[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+
 class Pieces(dict):
     """pre-token -> its ids as little-endian 32-bit integers; grows to a bound."""
 
@@ -73,7 +92,7 @@ class Pieces(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO_LIMIT:
+        if len(self) > KEPT:
             self.clear()
         ids = np.array(merge(piece.encode("utf-8", "replace"), self.ranks), "<i4").tobytes()
         if len(piece) < 64:

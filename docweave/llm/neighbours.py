@@ -40,6 +40,8 @@ SAMPLE = 20_000
 FIRST, MARGIN = 500, 2.9
 #: Entries of a piece, queries of a piece, centroids of a half at most, and entries of a cell on average.
 PIECE, ASKED, MOST, CELL = 1_024, 512, 1_024, 12
+#: Queries whose walks are one task.
+WALKS = 256
 _ENTRY = pa.schema([("cid", pa.int64()), ("v", pa.binary()), ("least", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("r2", pa.float64())])
 _PROBE = pa.schema([("i", pa.int32()), ("qid", pa.int64()), ("v", pa.binary()), ("js", pa.binary()), ("floor", pa.float64())])
 _FOUND = pa.schema([("qid", pa.int64()), ("score", pa.float64()), ("cid", pa.int64()), ("least", pa.int64())])
@@ -217,10 +219,11 @@ def search(every: DataFrame, dim: int, queries: DataFrame, k: int = 20) -> DataF
     with Scratch(spark) as scratch:
         index = MultiIndex(every, dim, k, scratch)
         asked = cut(queries.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v"))
-        one = scratch.keep(index.probes(asked.withColumn("floor", F.lit(None).cast("double")), True))
+        tasks = max(1, math.ceil(asked.count() / WALKS))  # few bytes, but long walks
+        one = scratch.keep(index.probes(asked.withColumn("floor", F.lit(None).cast("double")).repartition(tasks, "qid"), True))
         near = scratch.keep(index.best(index.rerank(one)))
         floors = near.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("qid", F.when(F.col("n") > k, F.col("least")).alias("floor"))
-        two = scratch.keep(index.probes(asked.join(floors, "qid", "left"), False))
+        two = scratch.keep(index.probes(asked.join(floors, "qid", "left").repartition(tasks, "qid"), False))
         best = cut(index.best(near.unionByName(index.rerank(two))))
     own = cut(queries.select("uid", F.col("id").alias("query_id"), "v").join(asked, "v").select("uid", "query_id", "qid"))
     rows_ = best.join(index.distinct.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("one")).select("qid", "score", "one.id", F.col("one.uid").alias("its"))
