@@ -93,51 +93,61 @@ def unit(v: str) -> Column:
     return F.when(norm > 0, F.transform(F.col(v), lambda x: x.cast("double") / norm))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000) -> DataFrame:
+def common_length(vectors: DataFrame) -> int:
+    """The length that most vectors have, the shorter of equally common ones; rows of other lengths are those that ``vector_issue`` reports."""
+    found = vectors.where("vector is not null and size(vector) > 0").groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    return found["dim"] if found else 0
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000, dim: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine, without the query itself. ``queries`` (query_id, vector) is a stated set.
 
-    The queries are sent in blocks of about ``block``. Every task multiplies its vectors with a block as matrices, and hands
-    on no more than its own ``k`` best of each query; ties go to the lower id.
+    Vectors and queries of another length than ``dim`` (stated, else the ``common_length`` of all vectors) take no part. The queries are sent in
+    blocks of about ``block``: every task multiplies its vectors with a block as matrices, and hands on no more than its own ``k`` best of each
+    query; ties go to the lower id. Of several blocks, each one's results are written before the next is sent, so the plan does not grow with them.
     """
     import math
 
-    base = (vectors if where is None else vectors.where(where)).select("id", "vector").where("vector is not null")
-    asked = queries.select("query_id", "vector").where("vector is not null")
+    from ..functions.storage import shared_folder, written
+
+    dim = common_length(vectors) if dim is None else dim
+    sized = F.col("vector").isNotNull() & (F.size("vector") == dim)
+    base = (vectors if where is None else vectors.where(where)).select("id", "vector").where(sized)
+    asked = queries.select("query_id", "vector").where(sized)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    blocks, out = max(1, math.ceil(asked.count() / block)), None
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.hash("query_id"), F.lit(blocks)) == i).toArrow()  # about ``block`` vectors
-        best = base.mapInArrow(_nearest(part, k), kinds)
-        out = best if out is None else out.unionByName(best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = lambda d: d.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = max(1, math.ceil(asked.count() / block))
+    if blocks == 1:
+        return best(base.mapInArrow(_nearest(asked.toArrow(), k, dim), kinds))
+    folder, spark = shared_folder(vectors.sparkSession), vectors.sparkSession
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # about ``block`` vectors
+        out = written(best(base.mapInArrow(_nearest(part, k, dim), kinds)), f"{folder}/block={i}")
+    return spark.read.schema(out.schema).parquet(*(f"{folder}/block={i}" for i in range(blocks)))
 
 
-def _nearest(part, k: int):
+def _nearest(part, k: int, dim: int):
     """A function for mapInArrow that gives the ``k`` nearest rows of a partition for each query of an Arrow table."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     def units(ids, vectors, dim):
-        """The ids and scaled vectors of those of the right length that are not all zero."""
-        sized = pc.equal(pc.list_value_length(vectors), dim)
-        ids, m = ids.filter(sized), vectors.filter(sized).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        """The ids and scaled vectors of those that are not all zero."""
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         norm = np.sqrt((m * m).sum(axis=1))
         some = norm > 0
         return np.array(ids.to_pylist(), dtype=object)[some], m[some] / norm[some, None]
 
     asked = part.combine_chunks()
-    sizes = [n for n in pc.list_value_length(asked["vector"]).to_pylist() if n]
-    dim = max(set(sizes), key=sizes.count) if sizes else 0
-    names, q = units(asked["query_id"].combine_chunks(), asked["vector"].combine_chunks(), dim) if dim else ([], None)
+    names, q = units(asked["query_id"].combine_chunks(), asked["vector"].combine_chunks(), dim) if dim and part.num_rows else ([], None)
 
     def find(batches):
         held: list[list[tuple[float, object]]] = [[] for _ in names]
         kind = None
         for b in batches:
             kind = b.column(0).type
-            for at in range(0, b.num_rows if dim else 0, 2_048):
+            for at in range(0, b.num_rows if len(names) else 0, 2_048):
                 ids, v = units(b.column(0).slice(at, 2_048), b.column(1).slice(at, 2_048), dim)
                 if not len(ids):
                     continue

@@ -438,11 +438,13 @@ def search_modes(spark, d):
     return both.groupBy("mode", "query_id").agg(F.count("*").alias("n"))
 
 
-_log = "select event_id as id, user_id, ts as at_time, query from (select *, event_id % 40 as item from events where event_type in ('click', 'view')) join queries on query_id = item"
+_log = "select event_id as id, user_id, ts as at_time, query from (select *, event_id % (select count(*) from benchmark) as item from events where event_type in ('click', 'view')) join queries on query_id = item"
 
 
 def log(spark, d):
-    e = table(spark, d, "events").where("event_type in ('click', 'view')").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("at"), (F.col("event_id") % 40).alias("query_id"))
+    items = table(spark, d, "benchmark").agg(F.count("*").alias("items"))  # one row
+    e = table(spark, d, "events").where("event_type in ('click', 'view')").crossJoin(F.broadcast(items))
+    e = e.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("at"), (F.col("event_id") % F.col("items")).alias("query_id"))
     return e.join(questions(spark, d), "query_id").drop("query_id")
 
 
