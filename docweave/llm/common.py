@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -51,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner follows the garbage collection of the driver, which an operator of many jobs with few objects seldom sets off by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """Arrow batches of ``n`` rows for the jobs that run within the block: wide rows then fill no worker's memory."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, cut, mix, numbered_texts, raw, rows, slices
+from .common import Scratch, column, cut, free, mix, numbered_texts, raw, rows, slices
 from .sieve import KEPT, buckets_for, packed, passes, repeated, sieve
 
 LENGTH, TRIGGER = 100, 32
@@ -242,6 +242,7 @@ def with_keys(found: DataFrame, bitmap) -> DataFrame:
 def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The repeats (row, lo, hi) in the texts (id, row, packed): every window that starts in lo..hi is a repeat."""
     found = scratch.keep(phrases(texts, sieve(cut(repeated_triggers(texts)), "key")))
+    free(texts.sparkSession)
     # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
     dictionary = scratch.keep(found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n")).select("trigger", "key", "first.*", "n"))
     firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
@@ -250,6 +251,7 @@ def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     later = later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi"))
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
     wanted = scratch.keep(dictionary.select("trigger", "row", "span").join(several, "trigger"))
+    free(texts.sparkSession)
     # Suffixes of the dictionary's phrases that share a trigger.
     listed = with_lists(with_bits(texts, sieve(wanted, "row")), wanted)  # both branches read the same shuffle
     beside = side_by_side(expanded(listed, True))
@@ -284,6 +286,7 @@ def remove(docs: DataFrame) -> DataFrame:
     texts = texts_of(docs)
     with Scratch(docs.sparkSession) as scratch:
         marks = cut(runs(spans(texts, scratch)))
+    free(docs.sparkSession)
     bitmap = sieve(marks, "row")
 
     def strike(batches):
