@@ -6,7 +6,8 @@ turn is lost. Control strings inside texts are broken by a backslash and backsla
 only where the template put them and each text can be read back.
 
 Defined results: turns are ordered by (turn, role, text); a null text or role counts as empty; repeated rows are turns
-of their own; a null conv_id is a conversation like any other; columns besides the four are not read. An example holds
+of their own, and turns equal in all three are alike in either order; a null conv_id is a conversation like any other; very long texts stay
+whole; an empty table gives no examples; columns besides the four are not read, whatever their names. An example holds
 its whole prefix, so the output of one conversation grows with the square of its turns: that is what is asked for.
 """
 

@@ -12,8 +12,8 @@ phrases with equal continuations: the dictionary is the distinct keys, the parse
   trigger; more of them by grouping their single windows, so that no group of phrases is brought together.
 
 Order is (doc_id, row, start). Defined results: null and empty texts, and texts of fewer than 100 bytes, lose nothing;
-repeated rows are documents of their own in the order of their row number; rows without a doc_id come first; extra
-columns are not read. Windows are equal when a 64-bit trigger hash and a 64-bit window hash are equal. A phrase across
+repeated rows are documents of their own in the order of their row number; rows without a doc_id come first; very long
+texts are parsed whole, in blocks; an empty table gives no rows; extra columns are not read. Windows are equal when a 64-bit trigger hash and a 64-bit window hash are equal. A phrase across
 the edge of two blocks of a long text is two phrases of one trigger occurrence, which are not compared with each other.
 """
 

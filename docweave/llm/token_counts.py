@@ -6,8 +6,9 @@ added, and the node for the rest is known beforehand. So each byte of a word is
 on average, and no piece is built. Words are the blank-separated words of the whole text; the vocabulary must hold all 256
 single bytes, so every word can be cut up.
 
-Defined results: null and empty texts have no words and no tokens; repeated rows are counted each for itself; extra
-columns are not read.
+Defined results: null and empty texts have no words and no tokens; an empty table gives no rows; repeated rows are counted each
+for itself; very long texts and words are read whole; of all pieces that begin a word the longest is taken, so there are no ties; extra columns
+are not read.
 """
 
 from __future__ import annotations

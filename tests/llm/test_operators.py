@@ -161,6 +161,20 @@ def test_large_groups_of_near_copies(spark, monkeypatch, shape):
     assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
 
 
+def test_rounds_do_not_grow_with_a_group(spark, monkeypatch):
+    """Copies of one text with 1 to 3 words changed, most of which do not link with each other."""
+    rng, rounds, of = random.Random(250), [], ngram_join.with_pivots
+    monkeypatch.setattr(ngram_join, "with_pivots", lambda *a: rounds.append(1) or of(*a))
+    base, texts = words(150, rng), []
+    for _ in range(250):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(150)] = f"v{rng.randrange(100_000)}"
+        texts.append(" ".join(w))
+    assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
+    assert len(rounds) <= 4
+
+
 def test_join_of_odd_rows(odd, empty):
     got = {r.doc_id: r.component_id for r in ngram_join.duplicates(odd).collect()}
     assert len(got) == odd.count() and got[5] == 4 and got[8] == 7 and got[1] == 1
