@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
 
 
 def test_line_dedup_sql(spark):
