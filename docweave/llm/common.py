@@ -210,6 +210,51 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: A-Z become a-z, and every blank a space.
+LOWER_SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Bytes of a text that are hashed at once, and the longest word (bytes) that is hashed with the others of its piece.
+PIECE, LONG_WORD = 1 << 18, 64
+_VALUES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0xD6E8FEB86659FD93
+_POWERS = np.cumprod(np.full(PIECE, _BASE, np.uint64))
+_BACK = np.cumprod(np.full(PIECE, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def _hashes_of_piece(text: bytes) -> np.ndarray:
+    d = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(d == 32)
+    start, end = np.append(0, gaps + 1), np.append(gaps, len(d))
+    some = start < end
+    start, end = start[some], end[some]
+    total = np.zeros(len(d) + 1, np.uint64)
+    np.cumsum(_VALUES[d] * _POWERS[: len(d)], out=total[1:])
+    h = mix((total[end] - total[start]) * _BACK[start] + (end - start).astype(np.uint64) * _STEP)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
+    return h
+
+
+def lower_word_hashes(text: bytes) -> np.ndarray:
+    """Hash of each word ``[^\\x20\\x09-\\x0D]+`` of a text's UTF-8 after A-Z are lower-cased: a polynomial of its bytes, from sums over whole pieces."""
+    text, out, at = text.translate(LOWER_SPACED), [], 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= PIECE else text.rfind(b" ", at, at + PIECE)
+        if end < 0:  # a word longer than a piece
+            end = text.find(b" ", at + PIECE)
+            end = len(text) if end < 0 else end
+            out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end])], np.uint64))
+        else:
+            out.append(_hashes_of_piece(text[at:end]))
+        at = end + 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def distinct(g: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    g = np.sort(g)
+    return g[np.append(True, g[1:] != g[:-1])] if len(g) else g
+
+
 #: ASCII letters and digits and all bytes of non-ASCII characters stay; A-Z become a-z, every other byte a blank.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
