@@ -161,6 +161,32 @@ def test_large_groups_of_near_copies(spark, monkeypatch, shape):
     assert sorted(tuple(r)[:3] for r in ngram_join.duplicates(frame(spark, texts)).collect()) == joined(texts)
 
 
+@pytest.mark.parametrize("sent", [0, 32 << 20])
+def test_pairs_are_verified_alike_in_blocks(spark, monkeypatch, sent):
+    """Many pairs, sent to the sets or shuffled, are decided as all pairs are by brute force."""
+    rng = np.random.default_rng(5)
+    sets = {i: np.sort(rng.choice(40, int(rng.integers(20, 38)), replace=False)).astype(np.uint64) for i in range(30)}
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30) if a < 3 or (a + b) % 3 == 0]
+    want = {(a, b) for a, b in pairs if 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 70 * len(set(sets[a].tolist()) | set(sets[b].tolist()))}
+    monkeypatch.setattr(ngram_join, "TOGETHER", 0)
+    monkeypatch.setattr(ngram_join, "SENT", sent)
+    frames = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i, g.tobytes()) for i, g in sets.items()], "node long, grams binary")
+    got = [tuple(r) for r in ngram_join.verified(*frames, 70).select("a", "b").collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_word_hashes_of_pieces(spark):
+    """Words are equal when their hashes are, also across pieces, beside long words and runs of blanks."""
+    from docweave.llm.common import PIECE, lower_word_hashes
+
+    texts = [b"", b"  ", b"A b\ta\r\nB", b"y " * PIECE, b"a " + b"q" * (2 * PIECE) + b" A", b" " * (2 * PIECE) + b"b", b"q" * PIECE, b"z" * 70 + b" a " + b"z" * 71]
+    seen = {}
+    for text in texts:
+        words, found = text.lower().split(), lower_word_hashes(text).tolist()
+        assert len(words) == len(found) and all(seen.setdefault(w, h) == h for w, h in zip(words, found, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_rounds_do_not_grow_with_a_group(spark, monkeypatch):
     """Copies of one text with 1 to 3 words changed, most of which do not link with each other."""
     rng, rounds, of = random.Random(250), [], ngram_join.with_pivots
