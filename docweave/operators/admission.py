@@ -86,9 +86,9 @@ def status_and_pipeline(kind: str, sure: str, least: float = 0.6) -> tuple[Colum
 
 
 def preview(text: str, words: int = 50) -> Column:
-    """The first words of a text, lines trimmed and blank runs collapsed."""
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
-    return F.array_join(F.slice(F.split(F.trim(clean), r"[ \n\t]+"), 1, words), " ")
+    """The first words of a text, one blank between them; blanks and line ends before, behind and between words are no words."""
+    found = F.regexp_extract_all(F.regexp_replace(text, "\r\n?", "\n"), F.lit(r"[^ \n\t]+"), F.lit(0))
+    return F.array_join(F.slice(found, 1, words), " ")
 
 
 def sampled_pages(pages: DataFrame, first: int = 15, spread: int = 7) -> DataFrame:
