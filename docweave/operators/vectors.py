@@ -25,9 +25,9 @@ def summary_texts(docs: DataFrame, chars: int = 1500) -> DataFrame:
 
 def hash_vector(text: str, dim: int = 64) -> Column:
     """The bytes of the text's SHA-256, repeated to the dimension and scaled to -1 .. 1."""
-    digest = F.sha2(F.col(text).cast("binary"), 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(i) / 255 * 2 - 1)
+    byte = lambda h, i: F.conv(F.substring(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    digest = F.array(F.sha2(F.col(text).cast("binary"), 256))  # a list of one, so that the inner function has the digest and does not make it again
+    return F.get(F.transform(digest, lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(h, i) / 255 * 2 - 1)), F.lit(0))
 
 
 def vector_issue(v: str, dim: int) -> Column:

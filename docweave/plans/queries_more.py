@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_folder
+from ..functions.storage import shared_folder, written
 from ..operators import admission as A
 from ..operators import chunking as H
 from ..operators import context as T
@@ -204,8 +204,9 @@ _modes = {
 def search_in_six_modes(spark, d):
     """One entry for all modes: rows of every mode with the columns that it has."""
     ask, entities, facts, fields = mode_parts(spark, d)
-    fused = Q.ranked(Q.reciprocal_rank_fusion(dense(spark, d), bm25_search(spark, d)), 20, score="fused")
-    every = Q.by_mode(hybrid=fused, keyword=bm25_search(spark, d), semantic=dense(spark, d), entity=Q.entity_mode(entities, ask), fact=Q.fact_mode(facts, ask), metadata=Q.metadata_mode(fields, ask))
+    near, best = dense(spark, d), bm25_search(spark, d)
+    fused = Q.ranked(Q.reciprocal_rank_fusion(near, best), 20, score="fused")
+    every = Q.by_mode(hybrid=fused, keyword=best, semantic=near, entity=Q.entity_mode(entities, ask), fact=Q.fact_mode(facts, ask), metadata=Q.metadata_mode(fields, ask))
     return every.groupBy("mode", "query_id").agg(F.count("*").alias("n"), F.count("document_id").alias("documents"))
 
 
@@ -270,7 +271,7 @@ _ranks = " union all ".join(f"select 'latency_p{p}', max(latency_ms) filter (i =
 
 @query("evaluation_run_metrics", sql(f"{_means} union all select 'total_cases', count(*) from judged union all select 'passed_cases', count(*) from judged where reason is null union all select 'failed_cases', count(*) from judged where reason is not null union all select 'latency_avg', round(avg(latency_ms), 6) from judged union all {_ranks}", "chunks", "queries", **_bm, **_run, lat="select latency_ms, row_number() over (order by latency_ms) - 1 as i, count(*) over () as n from judged"))
 def evaluation_run_metrics(spark, d):
-    return X.run_metrics(evaluated_cases(spark, d))
+    return X.run_metrics(written(evaluated_cases(spark, d), shared_folder(spark)))  # a row a case, read by several jobs
 
 
 # ---- audits, monitoring, streams ------------------------------------------------------------------------------------

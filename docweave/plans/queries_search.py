@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder, written
 from ..operators import retrieval as Q
 from ..operators import text_index as I
 from ..operators import vector_index as VI
@@ -270,10 +271,10 @@ def payloads(spark, d):
 
 
 def dense(spark, d):
-    """(query_id, chunk_id, score, rank): the 30 nearest chunks of each question by their vectors."""
+    """(query_id, chunk_id, score, rank): the 30 nearest chunks of each question by their vectors, written once for all that read them."""
     c = chunks(spark, d).select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
     q = questions(spark, d).select("query_id", V.hash_vector("query", 32).alias("vector"))
-    return V.top_k(c, q, 30).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+    return written(V.top_k(c, q, 30, dim=32).select("query_id", F.col("id").alias("chunk_id"), "score", "rank"), shared_folder(spark))
 
 
 def _bytes(text):
@@ -363,8 +364,9 @@ _variants = {
 
 @query("best_of_variants", sql("select * from (select *, cast(row_number() over (partition by query_id order by score desc, chunk_id) as integer) as rank from best) where rank <= 10", "chunks", "queries", **_variants))
 def best_of_variants(spark, d):
+    """A variant's own k best hold whatever it gives to the k best of its question."""
     v = Q.variants(questions(spark, d)).withColumn("vid", F.col("query_id") * 10 + F.col("variant_no") + 1)
-    scores = Q.bm25(Q.postings(chunks(spark, d)), v.select(F.col("vid").alias("query_id"), F.col("variant").alias("query")), None)
+    scores = I.search(text_index(spark, d), v.select(F.col("vid").alias("query_id"), F.col("variant").alias("query")), 10)
     return Q.best_of_variants(scores.withColumn("query_id", F.floor(F.col("query_id") / 10)), 10)
 
 
