@@ -350,7 +350,7 @@ def stream_documents(spark, d):
     t = table(spark, d, "documents")
     row = lambda name, version: [i.alias("file_id"), F.concat(F.lit(name), i.cast("string"), F.lit(".md")).alias("file_name"), F.octet_length("text").cast("long").alias("size"), F.lit(version).alias("version")]
     for n, part in enumerate((t.select(*row("doc-", 1)), t.where(i % 3 == 0).select(*row("new-", 2)).unionByName(t.where(i % 4 == 0).select(*row("doc-", 1))), t.where(i % 6 == 0).select(*row("doc-", 1)))):
-        part.coalesce(1).write.parquet(f"{folder}/in/{n}")
-    s = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-    streams.ingest_documents(s, f"{folder}/out", f"{folder}/state", buckets=4).awaitTermination()
+        part.write.parquet(f"{folder}/in/{n}")
+        s = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        streams.ingest_documents(s, f"{folder}/out", f"{folder}/state", buckets=4).awaitTermination()  # all files that came since: one batch
     return spark.read.parquet(f"{folder}/out").select("file_id", "file_name", "version")
