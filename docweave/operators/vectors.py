@@ -99,9 +99,11 @@ def common_length(vectors: DataFrame) -> int:
     return found["dim"] if found else 0
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000, dim: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000, dim: int | None = None, meet: Callable | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine, without the query itself. ``queries`` (query_id, vector) is a stated set.
 
+    ``meet`` makes a function of the queries' unit vectors that says of other unit vectors which queries each may answer (a matrix of booleans).
+
     Vectors and queries of another length than ``dim`` (stated, else the ``common_length`` of all vectors) take no part. The queries are sent in
     blocks of about ``block``: every task multiplies its vectors with a block as matrices, and hands on no more than its own ``k`` best of each
     query; ties go to the lower id. Of several blocks, each one's results are written before the next is sent, so the plan does not grow with them.
@@ -119,15 +121,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
     best = lambda d: d.withColumn("rank", rank).where(F.col("rank") <= k)
     blocks = max(1, math.ceil(asked.count() / block))
     if blocks == 1:
-        return best(base.mapInArrow(_nearest(asked.toArrow(), k, dim), kinds))
+        return best(base.mapInArrow(_nearest(asked.toArrow(), k, dim, meet), kinds))
     folder, spark = shared_folder(vectors.sparkSession), vectors.sparkSession
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # about ``block`` vectors
-        out = written(best(base.mapInArrow(_nearest(part, k, dim), kinds)), f"{folder}/block={i}")
+        out = written(best(base.mapInArrow(_nearest(part, k, dim, meet), kinds)), f"{folder}/block={i}")
     return spark.read.schema(out.schema).parquet(*(f"{folder}/block={i}" for i in range(blocks)))
 
 
-def _nearest(part, k: int, dim: int):
+def _nearest(part, k: int, dim: int, meet: Callable | None = None):
     """A function for mapInArrow that gives the ``k`` nearest rows of a partition for each query of an Arrow table."""
     import numpy as np
     import pyarrow as pa
@@ -141,6 +143,7 @@ def _nearest(part, k: int, dim: int):
 
     asked = part.combine_chunks()
     names, q = units(asked["query_id"].combine_chunks(), asked["vector"].combine_chunks(), dim) if dim and part.num_rows else ([], None)
+    met = meet(q) if meet is not None and len(names) else None
 
     def find(batches):
         held: list[list[tuple[float, object]]] = [[] for _ in names]
@@ -152,12 +155,14 @@ def _nearest(part, k: int, dim: int):
                 if not len(ids):
                     continue
                 scores = np.round(v @ q.T, 6)
+                if met is not None:
+                    scores[~met(v)] = -np.inf
                 # one more than k, for the query itself may be among them
                 least = np.partition(scores, -min(k + 1, len(ids)), axis=0)[-min(k + 1, len(ids))]
                 for j, name in enumerate(names):
                     own = held[j]
                     floor = max(least[j], -own[-1][0]) if len(own) == k else least[j]
-                    new = [(-scores[i, j], ids[i]) for i in np.flatnonzero(scores[:, j] >= floor) if ids[i] != name]
+                    new = [(-scores[i, j], ids[i]) for i in np.flatnonzero((scores[:, j] >= floor) & (scores[:, j] > -np.inf)) if ids[i] != name]
                     if new:
                         held[j] = sorted(own + new)[:k]
         if kind is None:
@@ -172,30 +177,43 @@ def _nearest(part, k: int, dim: int):
 def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 12, bits: int = 6, seed: int = 7, probes: int = 4) -> DataFrame:
     """As ``top_k`` among vectors in a random-hyperplane bucket of the query's or in a neighbouring one (approximate).
 
-    In each table a query looks into its own bucket and those beyond the ``probes`` hyperplanes it lies nearest to.
+    In each table a query looks into its own bucket and those beyond the ``probes`` hyperplanes it lies nearest to. No pairs are joined or shuffled:
+    a task tells by the numbers of the buckets which of its vectors a query meets.
     """
     import numpy as np
 
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4).tolist()
-    sent = F.array(*(F.array(*(F.array(*map(F.lit, p)) for p in own)) for own in planes))
-
-    def hashed(d, c):
-        """A row for each table ``t``, with the distances ``m`` to its hyperplanes."""
-        return d.select("*", F.posexplode(F.transform(sent, lambda own: F.transform(own, lambda p: _dot(F.col(c), p)))).alias("t", "m"))
-
-    def bucket(flip):
-        sign = F.transform("m", lambda x, b: F.when((x >= 0) != (b == flip), "1").otherwise("0"))
-        return F.concat_ws(":", F.col("t").cast("string"), F.array_join(sign, ""))
-
-    base = vectors.select("id", unit("vector").alias("v")).where("v is not null")
-    q = queries.select("query_id", unit("vector").alias("q")).where("q is not null")
-    order = F.array_sort(F.transform("m", lambda x, b: F.struct(F.abs(x).alias("x"), b.alias("b"))))
-    near = F.transform(F.slice(order, 1, probes), lambda s: s["b"])
-    asked = hashed(q, "q").select("query_id", "t", "m", F.explode(F.concat(F.array(F.lit(-1)), near)).alias("flip"))
-    a, b = hashed(base, "v").select("id", bucket(F.lit(-1)).alias("bucket")), asked.select("query_id", bucket(F.col("flip")).alias("bucket"))
-    pairs = a.join(b, "bucket").where("id <> query_id").select("id", "query_id").distinct()
-    scored = pairs.join(base, "id").join(q, "query_id").select("query_id", "id", F.round(_dot(F.col("q"), F.col("v")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4)
+    return top_k(vectors, queries, k, dim=dim, meet=_buckets(planes, probes))
+
+
+def _buckets(planes, probes: int) -> Callable:
+    """The ``meet`` of ``top_k``: a vector lies in a bucket of each table of hyperplanes, and a query looks into some."""
+    import numpy as np
+
+    tables, bits, dim = planes.shape
+
+    def sides(v):
+        m = (v @ planes.reshape(-1, dim).T).reshape(-1, tables, bits)
+        return m, ((m >= 0) << np.arange(bits)).sum(axis=2)
+
+    def meet(q):
+        m, own = sides(q)
+        near = np.argsort(np.abs(m), axis=2, kind="stable")[:, :, :probes]
+        looked = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << near)], axis=2)
+        open_ = np.zeros((tables, 2**bits, len(q)), dtype=bool)
+        for t in range(tables):
+            open_[t, looked[:, t, :].T, np.arange(len(q))[None, :]] = True
+
+        def met(v):
+            _, at = sides(v)
+            out = open_[0, at[:, 0]]
+            for t in range(1, tables):
+                out |= open_[t, at[:, t]]
+            return out
+
+        return met
+
+    return meet
 
 
 def collection_stats(index: DataFrame) -> DataFrame:
