@@ -16,7 +16,7 @@ from ..sources.tables import table
 from ..streaming import streams
 from .oracle import sql
 from .queries_rules import _risk, findings, with_rules
-from .queries_search import _bm, bm25_search, chunks, questions
+from .queries_search import _bm, bm25_search, kept_chunks, questions
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,7 +37,7 @@ def conv(spark, d):
 
 @query("context_in_budget", sql("select query_id, chunk_id from (select *, sum(greatest(1, length(content) // 4)) over (partition by query_id order by rank) as t from ranked join chunks using (chunk_id)) where t <= 350", "chunks", "queries", **_bm))
 def context_in_budget(spark, d):
-    return T.within_budget(bm25_search(spark, d).join(chunks(spark, d), "chunk_id"), "query_id", "rank", 350).select("query_id", "chunk_id")
+    return T.within_budget(bm25_search(spark, d).join(kept_chunks(spark, d), "chunk_id"), "query_id", "rank", 350).select("query_id", "chunk_id")
 
 
 @query("trimmed_history", "select conv_id, turn from (select *, sum(greatest(1, length(text) // 4)) over (partition by conv_id order by turn desc) as t from conversations) where t <= 120")
@@ -54,7 +54,7 @@ _asks = "'Conversation so far:' || chr(10) || coalesce(said, '(none)') || chr(10
 
 @query("prompts", sql(f"select query_id, {_asks} as prompt from queries left join src using (query_id) left join said using (query_id)", "chunks", "queries", **_bm, **_prompt))
 def prompts(spark, d):
-    context = bm25_search(spark, d).where("rank <= 3").join(chunks(spark, d), "chunk_id").withColumn("page", F.lit(1))
+    context = bm25_search(spark, d).where("rank <= 3").join(kept_chunks(spark, d), "chunk_id").withColumn("page", F.lit(1))
     return T.prompts(questions(spark, d), context, conv(spark, d).withColumnRenamed("conv_id", "query_id"))
 
 

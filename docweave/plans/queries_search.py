@@ -34,6 +34,17 @@ def chunks(spark, d):
     return c.select(F.concat(F.col("document_id").cast("string"), F.lit("_c"), F.col("section").cast("string")).alias("chunk_id"), "document_id", F.col("section").alias("chunk_index"), "content", "pages", "section_name")
 
 
+_kept = {}
+
+
+def kept_chunks(spark, d):
+    """The ``chunks``, written once in a session for all queries that read them more than once or pick few of them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _kept:
+        _kept[key] = written(chunks(spark, d), shared_folder(spark))
+    return _kept[key]
+
+
 def questions(spark, d):
     """The stated set of questions: of each benchmark item, its first six words."""
     t = table(spark, d, "benchmark")
@@ -131,7 +142,7 @@ def text_index(spark, d):
     """The index of all chunks, built once in a session and then read by every query that ranks by it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = I.build(chunks(spark, d))
+        _indexes[key] = I.build(kept_chunks(spark, d))
     return _indexes[key]
 
 
@@ -272,7 +283,7 @@ def payloads(spark, d):
 
 def dense(spark, d):
     """(query_id, chunk_id, score, rank): the 30 nearest chunks of each question by their vectors, written once for all that read them."""
-    c = chunks(spark, d).select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
+    c = kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
     q = questions(spark, d).select("query_id", V.hash_vector("query", 32).alias("vector"))
     return written(V.top_k(c, q, 30, dim=32).select("query_id", F.col("id").alias("chunk_id"), "score", "rank"), shared_folder(spark))
 
@@ -320,7 +331,7 @@ _fused = "select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 9) as
 def hybrid_search(spark, d):
     """Questions ask for German texts, every fifth for a language that no text is in: these fall back to all texts."""
     german = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("document_id"))
-    c = chunks(spark, d)
+    c = kept_chunks(spark, d)
     v = c.join(german, "document_id", "left_semi").select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
     q = questions(spark, d).where("query_id % 5 <> 0").select("query_id", V.hash_vector("query", 32).alias("vector"))
     filtered = V.top_k(v, q, 30).withColumnRenamed("id", "chunk_id")
@@ -351,7 +362,7 @@ def fallback_candidates(spark, d):
     q = questions(spark, d)
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
     named = q.where("query_id % 3 = 1").join(ids, F.col("query_id") == F.col("document_id")).select("query_id", "document_id")
-    return Q.fallback(q, found, chunks(spark, d), named=named)
+    return Q.fallback(q, found, kept_chunks(spark, d), named=named)
 
 
 _variants = {
@@ -376,7 +387,7 @@ _rr = f"select * from (select query_id, chunk_id, document_id, {_final} as final
 
 def scored(spark, d):
     """The dense results with their chunks and a rerank score: how many words of the question the chunk has."""
-    r = dense(spark, d).withColumnRenamed("score", "fused").drop("rank").join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    r = dense(spark, d).withColumnRenamed("score", "fused").drop("rank").join(kept_chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
     met = F.array_intersect(F.split(F.lower("query"), " "), F.split(F.lower("content"), r"\s+"))
     return r.withColumn("rerank_score", F.size(met) / 2.0 - 1)
 
@@ -413,20 +424,20 @@ _cut = "case when p = 0 then left(content, 160) || (case when length(content) >
 
 @query("snippets", sql(f"select query_id, chunk_id, {_cut} as snippet from (select *, greatest(0, p - 81) as lo, least(length(content), p + 79) as hi from (select *, strpos(lower(content), {_first}) as p from dense join chunks using (chunk_id) join queries using (query_id)))", "chunks", "queries", **_dense))
 def snippets(spark, d):
-    r = dense(spark, d).join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    r = dense(spark, d).join(kept_chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
     return r.select("query_id", "chunk_id", Q.snippet("content", "query").alias("snippet"))
 
 
 @query("highlighted", None)
 def highlighted(spark, d):
-    r = dense(spark, d).join(chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
+    r = dense(spark, d).join(kept_chunks(spark, d), "chunk_id").join(questions(spark, d), "query_id")
     return r.select("query_id", "chunk_id", Q.highlighted("content", "query").alias("text"))
 
 
 @query("shaped_results", sql("select query_id, chunk_id, coalesce(case when document_id % 5 <> 0 then 'Title ' || document_id end, 'Unknown Document') as title, page from dense join chunks using (chunk_id)", "chunks", "queries", **_dense))
 def shaped_results(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("document_id")).where("document_id % 5 <> 0").select("document_id", F.concat(F.lit("Title "), F.col("document_id").cast("string")).alias("title"))
-    return Q.shaped(Q.with_content(dense(spark, d), chunks(spark, d)), t).select("query_id", "chunk_id", "title", "page")
+    return Q.shaped(Q.with_content(dense(spark, d), kept_chunks(spark, d)), t).select("query_id", "chunk_id", "title", "page")
 
 
 @query("search_log", sql("select query_id, query, count(chunk_id) as results from queries left join ranked using (query_id) group by 1, 2", "chunks", "queries", **_bm))

@@ -66,3 +66,29 @@ def test_lsh_makes_no_pairs(spark):
         own = sorted((-round(float(u[a] @ u[i]), 6), i) for i in range(300) if met[i] and i != a)[:5]
         want += [(a, i, -s, n + 1) for n, (s, i) in enumerate(own)]
     assert sorted((r.query_id, r.id, r.score + 0.0, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_what_picks_few_chunks_does_not_derive_them_again(spark):
+    from docweave.plans import queries_ops, queries_search
+
+    d = "/root/testdata/sf0.001"
+    for f in (queries_ops.context_in_budget, queries_ops.prompts, queries_search.snippets, queries_search.reranked_query):
+        assert not [p for p in f(spark, d).inputFiles() if "documents.parquet" in p]
+    assert queries_search.kept_chunks(spark, d) is queries_search.kept_chunks(spark, d)
+
+
+def test_blocks_of_a_shard_that_comes_in_many_batches(spark, tmp_path):
+    """Words as the postings split them, whatever blanks, letters and batches there are; a shard's words are not exploded into rows."""
+    texts = ["a\x0bA b \tİx ΣΣ", "\n a a ", "", None, "\x0b", " x y a"] * 20
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "a x   İx σσ"), (2, "a b"), (3, "x y A")], "query_id long, query string")
+    key, kept = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(key, 3)
+        index = text_index.build(chunks, str(tmp_path / "index"), 50)
+    finally:
+        spark.conf.set(key, kept)
+    want = retrieval.postings(chunks)
+    assert sorted(map(tuple, index.blocks.selectExpr("term", "inline(postings)").select("chunk_id", "term", "tf").collect())) == sorted(map(tuple, want.select("chunk_id", "term", "tf").collect()))
+    assert index.blocks.where("size(postings) <> df or postings <> sort_array(postings)").count() == 0 and index.chunks.columns == ["shard", "chunk_id", "length"]
+    assert sorted(map(str, text_index.search(index, asked, 5).collect())) == sorted(map(str, retrieval.bm25(want, asked, 5).select("query_id", "chunk_id", "score", "rank").collect()))
