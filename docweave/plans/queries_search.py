@@ -347,7 +347,7 @@ def keyword_search_in_document(spark, d):
 
     b = blocks(spark, d).select("document_id", F.col("block_id").alias("chunk_id"), F.col("text").alias("content"))
     q = b.where("chunk_id like '%_b0'").select(F.col("document_id").alias("query_id"), "document_id", F.array_join(F.slice(F.split("content", " "), 1, 3), " ").alias("query"))
-    return Q.bm25(Q.postings(b, "document_id"), q, 5, ("document_id",))
+    return Q.bm25_scoped(b, q, 5, "document_id")
 
 
 _lacking = {

@@ -92,3 +92,15 @@ def test_blocks_of_a_shard_that_comes_in_many_batches(spark, tmp_path):
     assert sorted(map(tuple, index.blocks.selectExpr("term", "inline(postings)").select("chunk_id", "term", "tf").collect())) == sorted(map(tuple, want.select("chunk_id", "term", "tf").collect()))
     assert index.blocks.where("size(postings) <> df or postings <> sort_array(postings)").count() == 0 and index.chunks.columns == ["shard", "chunk_id", "length"]
     assert sorted(map(str, text_index.search(index, asked, 5).collect())) == sorted(map(str, retrieval.bm25(want, asked, 5).select("query_id", "chunk_id", "score", "rank").collect()))
+
+
+def test_scoped_search_shuffles_texts_and_no_postings(spark):
+    rng = np.random.default_rng(11)
+    text = lambda: None if rng.random() < 0.05 else " ".join(f"W{int(x)}" for x in rng.zipf(1.6, rng.integers(0, 12)) if x < 40)
+    chunks = spark.createDataFrame([(i % 9 if i % 11 else None, f"c{i:03d}", text()) for i in range(300)], "document_id int, chunk_id string, content string")
+    asked = spark.createDataFrame([(i, i % 10, f"w1 w{i % 6} W{i % 4} w1 w99") for i in range(40)] + [(50, 1, None), (51, 2, " "), (52, None, "w1")], "query_id int, document_id int, query string")
+    want = retrieval.bm25(retrieval.postings(chunks, "document_id"), asked, 5, ("document_id",))
+    got = retrieval.bm25_scoped(chunks, asked, 5, "document_id")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 100
+    deals = [line.split("hashpartitioning(")[1] for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert deals and not [x for x in deals if "chunk_id" in x and "query_id" not in x]  # postings of all terms of all chunks
