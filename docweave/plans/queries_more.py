@@ -99,7 +99,7 @@ def integrity_of_parts(spark, d):
 # ---- hooks, chunks, previews, stages --------------------------------------------------------------------------------
 
 
-@F.udtf(returnType="key string, value string, confidence double", useArrow=True)
+@F.udtf(returnType="key string, value string, confidence double")
 class LineKeys:
     """A user's own extractor: the lines ``Bill To`` and ``Currency`` of a document."""
 
