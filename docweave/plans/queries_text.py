@@ -218,8 +218,7 @@ def document_info(spark, d):
 
 
 def fields(spark, d):
-    t = S.rendered(spark, d)
-    return E.currencies(t).unionByName(E.dates(t)).unionByName(S.invoices(spark, d).select("document_id", F.lit("currency_code").alias("key"), F.col("currency").alias("value"), F.lit(0.5).alias("confidence"), F.lit("given").alias("extractor")))
+    return E.fields(S.rendered(spark, d, "currency"), {"currency_code": "currency"})
 
 
 _all_fields = "select document_id, 'currency' as key, currency as value, 0.9 as confidence from inv where currency <> 'ZZZ' union all select document_id, 'invoice_date', strftime(invoice_date, '%Y-%m-%d'), 0.8 from inv union all select document_id, 'due_date', strftime(due_date, '%Y-%m-%d'), 0.8 from inv where due_date is not null union all select document_id, 'currency_code', currency, 0.5 from inv"

@@ -49,8 +49,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id, document_type, file_name, text): the documents as texts with labelled lines."""
+def rendered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(document_id, document_type, file_name, text): the documents as texts with labelled lines, and ``more`` columns of the ``invoices``."""
     inv = invoices(spark, sf_dir)
     line = F.concat_ws(" ", "item_name", F.col("quantity").cast("int").cast("string"), money(F.col("unit_price")), money(F.col("line_total")))
     items = line_items(spark, sf_dir).groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("items"))
@@ -65,7 +65,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((kind == "contract") & (j % 4 != 0), "Signature: on file"), F.when((kind == "contract") & (j % 5 != 0), "Either side may give notice of termination."),
         F.when((kind == "policy") & (j % 6 != 0), "Purpose of this text."), F.when((kind == "policy") & (j % 7 != 0), "Scope of this text."), F.when((kind == "policy") & (j % 8 != 0), "Policy owner: audit."),
     )
-    return inv.join(items, "document_id", "left").select("document_id", "document_type", "file_name", text.alias("text"))
+    return inv.join(items, "document_id", "left").select("document_id", "document_type", "file_name", text.alias("text"), *more)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
