@@ -99,7 +99,7 @@ def common_length(vectors: DataFrame) -> int:
     return found["dim"] if found else 0
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 2_000, dim: int | None = None, meet: Callable | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, block: int = 20_000, dim: int | None = None, meet: Callable | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine, without the query itself. ``queries`` (query_id, vector) is a stated set.
 
     ``meet`` makes a function of the queries' unit vectors that says of other unit vectors which queries each may answer (a matrix of booleans).
@@ -143,10 +143,12 @@ def _nearest(part, k: int, dim: int, meet: Callable | None = None):
 
     asked = part.combine_chunks()
     names, q = units(asked["query_id"].combine_chunks(), asked["vector"].combine_chunks(), dim) if dim and part.num_rows else ([], None)
-    met = meet(q) if meet is not None and len(names) else None
+    cuts = [slice(lo, lo + 1_000) for lo in range(0, len(names), 1_000)]
+    met = [meet(q[cut]) for cut in cuts] if meet is not None else None
 
     def find(batches):
         held: list[list[tuple[float, object]]] = [[] for _ in names]
+        floor = np.full(len(names), -np.inf)  # the k-th best score so far
         kind = None
         for b in batches:
             kind = b.column(0).type
@@ -154,17 +156,27 @@ def _nearest(part, k: int, dim: int, meet: Callable | None = None):
                 ids, v = units(b.column(0).slice(at, 2_048), b.column(1).slice(at, 2_048), dim)
                 if not len(ids):
                     continue
-                scores = np.round(v @ q.T, 6)
-                if met is not None:
-                    scores[~met(v)] = -np.inf
-                # one more than k, for the query itself may be among them
-                least = np.partition(scores, -min(k + 1, len(ids)), axis=0)[-min(k + 1, len(ids))]
-                for j, name in enumerate(names):
-                    own = held[j]
-                    floor = max(least[j], -own[-1][0]) if len(own) == k else least[j]
-                    new = [(-scores[i, j], ids[i]) for i in np.flatnonzero((scores[:, j] >= floor) & (scores[:, j] > -np.inf)) if ids[i] != name]
-                    if new:
-                        held[j] = sorted(own + new)[:k]
+                for i, cut in enumerate(cuts):
+                    scores = q[cut] @ v.T
+                    if met is not None:
+                        scores[~met[i](v).T] = -np.inf
+                    least = floor[cut].copy()
+                    if (new := np.isinf(least)).any():
+                        # one more than k, for the query itself may be among them
+                        least[new] = np.partition(scores[new], -min(k + 1, len(ids)), axis=1)[:, -min(k + 1, len(ids))]
+                    # what rounding may raise to the floor is rounded
+                    rows, cols = np.nonzero((scores >= least[:, None] - 0.000001) & (scores > -np.inf))
+                    if not len(rows):
+                        continue
+                    own = np.round(scores[rows, cols], 6)
+                    starts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+                    for lo, hi in zip(starts, [*starts[1:], len(rows)], strict=True):
+                        j = cut.start + int(rows[lo])
+                        new = [(-s, x) for s, x in zip(own[lo:hi].tolist(), ids[cols[lo:hi]], strict=True) if s >= floor[j] and x != names[j]]
+                        if new:
+                            held[j] = sorted(held[j] + new)[:k]
+                            if len(held[j]) == k:
+                                floor[j] = -held[j][-1][0]
         if kind is None:
             return
         flat = [(name, i, -s + 0.0) for name, own in zip(names, held, strict=True) for s, i in own]

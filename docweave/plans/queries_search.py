@@ -281,9 +281,21 @@ def payloads(spark, d):
     return V.payloads(v, t.drop("lang"), f).select("id", "document_id", "source", "language")
 
 
+_vectors = {}
+
+
+def kept_vectors(spark, d):
+    """(id, document_id, vector) of the ``kept_chunks``, written once in a session: each block of questions reads them again."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _vectors:
+        made = kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), "document_id", V.hash_vector("content", 32).alias("vector"))
+        _vectors[key] = written(made, shared_folder(spark))
+    return _vectors[key]
+
+
 def dense(spark, d):
     """(query_id, chunk_id, score, rank): the 30 nearest chunks of each question by their vectors, written once for all that read them."""
-    c = kept_chunks(spark, d).select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
+    c = kept_vectors(spark, d).select("id", "vector")
     q = questions(spark, d).select("query_id", V.hash_vector("query", 32).alias("vector"))
     return written(V.top_k(c, q, 30, dim=32).select("query_id", F.col("id").alias("chunk_id"), "score", "rank"), shared_folder(spark))
 
@@ -332,7 +344,7 @@ def hybrid_search(spark, d):
     """Questions ask for German texts, every fifth for a language that no text is in: these fall back to all texts."""
     german = table(spark, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("document_id"))
     c = kept_chunks(spark, d)
-    v = c.join(german, "document_id", "left_semi").select(F.col("chunk_id").alias("id"), V.hash_vector("content", 32).alias("vector"))
+    v = kept_vectors(spark, d).join(german, "document_id", "left_semi").select("id", "vector")
     q = questions(spark, d).where("query_id % 5 <> 0").select("query_id", V.hash_vector("query", 32).alias("vector"))
     filtered = V.top_k(v, q, 30).withColumnRenamed("id", "chunk_id")
     return Q.hybrid(filtered, c, questions(spark, d), 10, dense(spark, d))
