@@ -19,6 +19,7 @@ the edge of two blocks of a long text is two phrases of one trigger occurrence,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -39,7 +40,7 @@ NO_ID = -(1 << 62)
 BLOCK = 1 << 19
 
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_STEPS = np.random.default_rng(20240301).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
+_BASE = 0xD1342543DE82EF95
 
 PHRASES = pa.schema([("trigger", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("span", pa.int64())])
 EXPANDED = pa.schema([("trigger", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int64()), ("span", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
@@ -47,39 +48,48 @@ SPANS = pa.schema([("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def hashes(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all 32-byte strings and of all 100-byte windows of ``d``, by doubling of the width."""
-    by, h, w = {1: _BYTES[d]}, _BYTES[d], 1
-    for i in range(6):
-        h = mix(h[:-w] * _STEPS[i] + h[w:]) if len(h) > w else h[:0]
-        w *= 2
-        by[w] = h
-    n = len(d) - LENGTH + 1
-    window = mix((by[64][:n] * _STEPS[6] + by[32][64 : 64 + n]) * _STEPS[7] + by[4][96 : 96 + n])
-    return by[32], window
+@functools.cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base of the hashes, and of its inverse."""
+    return np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def sums(d: np.ndarray) -> np.ndarray:
+    """Sums of the polynomial of the bytes of ``d``: the hash of any string in it is made of two of them."""
+    total = np.zeros(len(d) + 1, np.uint64)
+    np.cumsum(_BYTES[d] * powers(BLOCK + LENGTH)[0][: len(d)], out=total[1:])
+    return total
+
+
+def windows(total: np.ndarray, at: np.ndarray | slice, width: int = LENGTH) -> np.ndarray:
+    """Hashes of the strings of ``width`` bytes that start at the places ``at``."""
+    return mix((total[width:][at] - total[:-width][at]) * powers(BLOCK + LENGTH)[1][: len(total) - width][at])
 
 
 def least(h: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` windows, the place of its trigger: the leftmost least of the hashes' upper 40 bits."""
-    packed = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-    k = -(-len(h) // REACH)
-    grid = np.full(k * REACH, np.iinfo(np.uint64).max, np.uint64)
-    grid[: len(h)] = packed
-    grid = grid.reshape(k, REACH)
-    before = np.minimum.accumulate(grid, axis=1).ravel()
-    after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(after[:n], before[REACH - 1 : REACH - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    low, w = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * w <= REACH:
+        low, w = np.minimum(low[:-w], low[w:]), 2 * w
+    return (np.minimum(low[:n], low[REACH - w : REACH - w + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def parse(raw: bytes):
-    """(offset, 32-byte hashes, window hashes, lo, hi, trigger place) of a text, block by block."""
+def triggers(raw: bytes):
+    """(offset, sums, 32-byte hashes, lo, hi, trigger place) of a text's phrases, block by block."""
     d = np.frombuffer(raw, np.uint8)
     for at in range(0, len(d) - LENGTH + 1, BLOCK):
-        h, window = hashes(d[at : at + BLOCK + LENGTH - 1])
-        place = least(h, len(window))
-        lo = np.flatnonzero(np.diff(place, prepend=-1))
+        total = sums(d[at : at + BLOCK + LENGTH - 1])
+        h = windows(total, slice(None), TRIGGER)
+        place = least(h, len(total) - LENGTH)
+        lo = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         hi = np.append(lo[1:], len(place)) - 1
-        yield at, h, window, lo, hi, place[lo]
+        yield at, total, h, lo, hi, place[lo]
+
+
+def parse(raw: bytes):
+    """``triggers`` with the hashes of all windows: (offset, 32-byte hashes, window hashes, lo, hi, trigger place)."""
+    for at, total, h, lo, hi, place in triggers(raw):
+        yield at, h, windows(total, slice(None)), lo, hi, place
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -109,7 +119,7 @@ def repeated_triggers(texts: DataFrame) -> DataFrame:
         held, size = [], 0
         for b in slices(batches):
             for text in column(b, "packed"):
-                for _, h, _, _, _, place in parse(raw(text)):
+                for _, _, h, _, _, place in triggers(raw(text)):
                     held.append(h[place])
                     size += len(place)
             if size > 1_000_000:
@@ -128,12 +138,12 @@ def phrases(texts: DataFrame, bitmap) -> DataFrame:
         for b in slices(batches):
             out, size = [], 0
             for i, row, text in zip(*(column(b, c) for c in ("id", "row", "packed")), strict=True):
-                for at, h, window, lo, hi, place in parse(raw(text)):
+                for at, total, h, lo, hi, place in triggers(raw(text)):
                     k = np.flatnonzero(passes(bitmap.value, h[place] >> np.uint64(64 - KEPT)))
                     if not len(k):
                         continue
                     lo, hi, place = lo[k], hi[k], place[k]
-                    key = mix(mix(window[lo] + np.uint64(7) * window[hi]) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
+                    key = mix(mix(windows(total, lo) + np.uint64(7) * windows(total, hi)) + (place - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
                     out.append((signed(h[place]), signed(key), np.full(len(k), NO_ID if i is None else i), np.full(len(k), row), packed_span(lo + at, hi + at, place + at)))
                     size += len(k)
             if out:
@@ -169,12 +179,12 @@ def expanded(listed: DataFrame, side: bool) -> DataFrame:
                     out.append((int(trigger[k]), None, i, row, p, int(span[k]), text[max(0, p - REACH + 1) : p][::-1], text[p + TRIGGER : p + LENGTH]))
                 trigger, lo, hi = trigger[~few], lo[~few], hi[~few]
                 for at in range(0, len(text) - LENGTH + 1 if len(lo) and not side else 0, BLOCK):
-                    _, window = hashes(np.frombuffer(text, np.uint8)[at : at + BLOCK + LENGTH - 1])
-                    k = np.flatnonzero((lo >= at) & (lo < at + len(window)))
+                    k = np.flatnonzero((lo >= at) & (lo < min(at + BLOCK, len(text) - LENGTH + 1)))
                     if len(k):
+                        total = sums(np.frombuffer(text, np.uint8)[at : at + BLOCK + LENGTH - 1])
                         n = hi[k] - lo[k] + 1
                         starts = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        many.append((np.repeat(trigger[k], n), signed(window[starts - at]), np.full(len(starts), i), np.full(len(starts), row), starts))
+                        many.append((np.repeat(trigger[k], n), signed(windows(total, starts - at)), np.full(len(starts), i), np.full(len(starts), row), starts))
             for s in range(0, len(out), 20_000):
                 yield rows(EXPANDED, list(zip(*out[s : s + 20_000], strict=True)))
             for part in many:
@@ -241,16 +251,19 @@ def with_keys(found: DataFrame, bitmap) -> DataFrame:
 
 def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """The repeats (row, lo, hi) in the texts (id, row, packed): every window that starts in lo..hi is a repeat."""
-    found = scratch.keep(phrases(texts, sieve(cut(repeated_triggers(texts)), "key")))
-    free(texts.sparkSession)
-    # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
-    dictionary = scratch.keep(found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n")).select("trigger", "key", "first.*", "n"))
-    firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
-    # adaptive execution splits the partition of a phrase that very many texts have
-    later = with_keys(found, sieve(firsts, "key")).join(firsts, ["trigger", "key"]).where("row <> first_row or span <> first_span")
-    later = later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi"))
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
-    wanted = scratch.keep(dictionary.select("trigger", "row", "span").join(several, "trigger"))
+    with Scratch(texts.sparkSession) as first:  # phrases and dictionary go before texts are shuffled
+        found = first.keep(phrases(texts, sieve(cut(repeated_triggers(texts)), "key")))
+        free(texts.sparkSession)
+        # Corpus order of equal phrases: the first one stays, the others are repeats from end to end.
+        dictionary = first.keep(found.groupBy("trigger", "key").agg(F.min(F.struct("id", "row", "span")).alias("first"), F.count("*").alias("n")).select("trigger", "key", "first.*", "n"))
+        free(texts.sparkSession)
+        firsts = dictionary.where("n > 1").select("trigger", "key", F.col("row").alias("first_row"), F.col("span").alias("first_span"))
+        # adaptive execution splits the partition of a phrase that very many texts have
+        later = with_keys(found, sieve(firsts, "key")).join(firsts, ["trigger", "key"]).where("row <> first_row or span <> first_span")
+        later = scratch.keep(later.select("row", F.expr("shiftright(span, 16)").alias("lo"), F.expr("shiftright(span, 16) + (shiftright(span, 8) & 255)").alias("hi")))
+        free(texts.sparkSession)
+        several = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
+        wanted = scratch.keep(dictionary.select("trigger", "row", "span").join(several, "trigger"))
     free(texts.sparkSession)
     # Suffixes of the dictionary's phrases that share a trigger.
     listed = with_lists(with_bits(texts, sieve(wanted, "row")), wanted)  # both branches read the same shuffle
