@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
 from .chunking import packable, starts
+from .rules import risk_score
 
 # Fixed values.
 REFUSALS = ["i don't have enough information", "cannot find", "no relevant information"]
@@ -96,11 +97,20 @@ def batches(chunks: DataFrame, budget: int) -> DataFrame:
     return g.select("document_id", F.posexplode(made).alias("batch", "chunk_indexes"))
 
 
-def evidence(docs: DataFrame, facts: DataFrame, found: DataFrame, risk: DataFrame) -> DataFrame:
-    """(document_id, facts, flags, level): what an audit reads about each document."""
-    f = facts.groupBy("document_id").agg(F.count("*").alias("facts"))
-    t = found.where("triggered").groupBy("document_id").agg(F.array_join(F.sort_array(F.collect_set("rule_key")), ",").alias("flags"))
-    out = docs.select("document_id").join(f, "document_id", "left").join(t, "document_id", "left").join(risk.select("document_id", "level"), "document_id", "left")
+def evidence(docs: DataFrame, found: DataFrame, keys: list[str], scored: Column) -> DataFrame:
+    """(document_id, facts, flags, level): what an audit reads about each document; the level is unknown where ``scored`` is not true.
+
+    ``found`` has the ``evaluated`` rules with each document's number of ``facts``; it is read once, and so is all that it is made of.
+    The rules of a document that are triggered are gathered as the bits of a number, by their place in ``keys`` (63 at most), so that tasks add up rows without a sort.
+    """
+    assert len(keys) < 64
+    keys = sorted(keys)
+    bit = F.coalesce(F.create_map(*(F.lit(x) for i, k in enumerate(keys) for x in (k, 1 << i)))[F.col("rule_key")].cast("long"), F.lit(0).cast("long"))
+    hit = F.bit_or(F.when(~F.col("failed") & F.col("triggered"), bit).otherwise(F.lit(0).cast("long")))
+    flags = F.concat_ws(",", *(F.when(F.col("hit").bitwiseAND(F.lit(1 << i).cast("long")) != 0, k) for i, k in enumerate(keys)))
+    judged = risk_score(found, F.max("facts").alias("facts"), hit.alias("hit"))
+    judged = judged.select("document_id", "facts", flags.alias("flags"), F.when((F.col("executed") > 0) & scored, F.col("level")).alias("level"))
+    out = docs.select("document_id").join(judged, "document_id", "left")
     return out.select("document_id", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("flags", F.lit("")).alias("flags"), F.coalesce("level", F.lit("unknown")).alias("level"))
 
 

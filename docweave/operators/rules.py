@@ -103,10 +103,15 @@ def rules(as_of: str, config: dict | None = None) -> list[Rule]:
     ]
 
 
-def item_signals(items: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """(document_id, bad_items): line items whose quantity times price is off the line's total."""
+def bad_items(tolerance: float = 0.02) -> Column:
+    """An aggregate: how many line items' quantity times price is off the line's total."""
     off = F.abs(F.col("quantity") * F.col("unit_price") - F.col("line_total")) > tolerance * F.greatest("line_total", F.lit(1.0))
-    return items.groupBy("document_id").agg(F.count_if(off).alias("bad_items"))
+    return F.count_if(off).alias("bad_items")
+
+
+def item_signals(items: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(document_id, bad_items): see ``bad_items``."""
+    return items.groupBy("document_id").agg(bad_items(tolerance))
 
 
 def _guarded(c: Column) -> Column:
@@ -117,8 +122,8 @@ def _guarded(c: Column) -> Column:
     return F.try_to_binary(c.cast("string"), F.lit("utf-8")).cast("string")
 
 
-def evaluated(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = ()) -> DataFrame:
-    """(document_id, rule_key, triggered, severity, confidence, failed): each applicable active rule of each document.
+def evaluated(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, rule_key, triggered, severity, confidence, failed): each applicable active rule of each document, with ``more`` columns of it.
 
     A trigger that cannot be told (null) is not triggered. A rule whose trigger or confidence raises an error for a document has
     failed for it, with no result; the others stay as they are.
@@ -131,9 +136,9 @@ def evaluated(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = (
         return F.when(F.col("document_type").isin(list(r.types)) if r.types else every, parts)
 
     made = F.filter(F.array(*(one(r) for r in chosen if r.key not in inactive)), lambda x: x.isNotNull())
-    long = docs.select("document_id", F.explode(made).alias("f")).select("document_id", "f.*")
+    long = docs.select("document_id", *more, F.explode(made).alias("f")).select("document_id", *more, "f.*")
     failed = F.col("triggered").isNull() | F.col("confidence").isNull()
-    return long.select("document_id", "rule_key", F.coalesce(F.col("triggered") == "true", F.lit(False)).alias("triggered"), "severity", F.col("confidence").cast("double").alias("confidence"), failed.alias("failed"))
+    return long.select("document_id", "rule_key", F.coalesce(F.col("triggered") == "true", F.lit(False)).alias("triggered"), "severity", F.col("confidence").cast("double").alias("confidence"), failed.alias("failed"), *more)
 
 
 def findings(docs: DataFrame, chosen: list[Rule], inactive: tuple[str, ...] = ()) -> DataFrame:
@@ -146,15 +151,18 @@ def failed_rules(found: DataFrame) -> DataFrame:
     return found.where("failed").groupBy("rule_key").agg(F.count("*").alias("documents"))
 
 
-def risk_score(found: DataFrame) -> DataFrame:
-    """(document_id, executed, triggered, score, level, route) of findings; of ``evaluated`` rules also ``failed``, which count as not executed."""
+def risk_score(found: DataFrame, *more: Column) -> DataFrame:
+    """(document_id, executed, triggered, score, level, route) of findings; of ``evaluated`` rules also ``failed``, which count as not executed.
+
+    ``more``: further aggregates of each document's findings.
+    """
     weight = F.lit(OTHER_WEIGHT)
     for severity, w in WEIGHTS.items():
         weight = F.when(F.col("severity") == severity, w).otherwise(weight)
     known = "failed" in found.columns
     fine = ~F.col("failed") if known else F.lit(True)
     score = F.round(F.least(F.lit(100.0), F.sum(F.when(fine & F.col("triggered"), weight * F.col("confidence")).otherwise(0.0))), 6)
-    out = found.groupBy("document_id").agg(F.count_if(fine).alias("executed"), F.count_if(fine & F.col("triggered")).alias("triggered"), *([F.count_if("failed").alias("failed")] if known else []), score.alias("score"))
+    out = found.groupBy("document_id").agg(F.count_if(fine).alias("executed"), F.count_if(fine & F.col("triggered")).alias("triggered"), *([F.count_if("failed").alias("failed")] if known else []), score.alias("score"), *more)
     return out.withColumn("level", level("score")).withColumn("route", route("level"))
 
 

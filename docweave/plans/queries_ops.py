@@ -15,7 +15,7 @@ from ..sources import frames as S
 from ..sources.tables import table
 from ..streaming import streams
 from .oracle import sql
-from .queries_rules import _risk, findings, with_rules
+from .queries_rules import AS_OF, CONFIG, _risk, findings, wide, with_rules
 from .queries_search import _bm, bm25_search, kept_chunks, questions
 
 QUERIES, ORACLES = {}, {}
@@ -124,8 +124,10 @@ _level = "case when score >= 85 then 'critical' when score >= 60 then 'high' whe
 
 @query("audit_evidence", with_rules(f"select i.document_id, coalesce(n, 0) as facts, coalesce(flags, '') as flags, case when score is null then 'unknown' else {_level} end as level from inv i left join (select document_id, count(*) as n from items group by 1) f on i.document_id = f.document_id left join (select document_id, string_agg(distinct rule_key, ',' order by rule_key) as flags from findings where triggered group by 1) t on i.document_id = t.document_id left join (select * from risk where document_id % 4 <> 0) r on i.document_id = r.document_id", risk=_risk))
 def audit_evidence(spark, d):
-    found = findings(spark, d)
-    return T.evidence(S.invoices(spark, d), S.line_items(spark, d), found, R.risk_score(found).where("document_id % 4 <> 0"))
+    rules = R.rules(AS_OF, CONFIG)
+    found = R.evaluated(wide(spark, d), rules, more=("facts",))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"))
+    return T.evidence(docs, found, [r.key for r in rules], F.col("document_id") % 4 != 0)
 
 
 @query("audit_flag_counts", with_rules("select document_type as run_id, " + ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in R.WEIGHTS) + " from findings join inv using (document_id) where triggered group by 1"))

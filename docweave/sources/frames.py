@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
@@ -49,15 +49,18 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rendered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """(document_id, document_type, file_name, text): the documents as texts with labelled lines, and ``more`` columns of the ``invoices``."""
-    inv = invoices(spark, sf_dir)
+def item_lines(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """(document_id, items): the line items as lines of a text, and ``more`` aggregates of each document's ``line_items``."""
     line = F.concat_ws(" ", "item_name", F.col("quantity").cast("int").cast("string"), money(F.col("unit_price")), money(F.col("line_total")))
-    items = line_items(spark, sf_dir).groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("items"))
+    return line_items(spark, sf_dir).groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", line.alias("line")))), lambda x: x["line"]), "\n").alias("items"), *more)
+
+
+def labelled_text() -> Column:
+    """The text of a document, over the columns of ``invoices`` and ``item_lines``."""
     j = F.floor(F.col("document_id") / 10).cast("long")
     date = lambda c: F.date_format(c, "MM/dd/yyyy")
     kind = F.col("document_type")
-    text = F.concat_ws(
+    return F.concat_ws(
         "\n", F.upper(kind), F.concat(F.lit("Invoice No: "), F.col("invoice_number")), F.concat(F.lit("Vendor: "), F.regexp_replace("vendor", "#", " ")),
         F.concat(F.lit("Bill To: Customer "), F.col("owner").cast("string")), F.concat(F.lit("Invoice Date: "), date("invoice_date")), F.concat(F.lit("Due Date: "), date("due_date")),
         F.lit("Description Qty Price Amount"), F.col("items"), F.concat(F.lit("Subtotal: "), money(F.col("subtotal"))), F.concat(F.lit("Tax: "), money(F.col("tax_amount"))),
@@ -65,7 +68,12 @@ def rendered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
         F.when((kind == "contract") & (j % 4 != 0), "Signature: on file"), F.when((kind == "contract") & (j % 5 != 0), "Either side may give notice of termination."),
         F.when((kind == "policy") & (j % 6 != 0), "Purpose of this text."), F.when((kind == "policy") & (j % 7 != 0), "Scope of this text."), F.when((kind == "policy") & (j % 8 != 0), "Policy owner: audit."),
     )
-    return inv.join(items, "document_id", "left").select("document_id", "document_type", "file_name", text.alias("text"), *more)
+
+
+def rendered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(document_id, document_type, file_name, text): the documents as texts with labelled lines, and ``more`` columns of the ``invoices``."""
+    every = invoices(spark, sf_dir).join(item_lines(spark, sf_dir), "document_id", "left")
+    return every.select("document_id", "document_type", "file_name", labelled_text().alias("text"), *more)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
